@@ -26,9 +26,11 @@ from .common import held_out, id_and_text, read, training_rows
 FIT_ROWS = 1_000_000
 THRESHOLD = 0.3
 STATISTICS = (
-    "log_chars", "log_words", "log_word_chars", "word_chars_spread", "upper", "digits", "marks", "symbols", "bars", "short_words", "symbol_words",
-    "distinct_words", "log_lines", "distinct_lines", "ends_marked", "top_byte",
+    "log_chars", "log_word_chars", "word_chars_spread", "upper", "digits", "marks", "symbols", "bars", "short_words", "symbol_words",
+    "distinct_words", "lines", "distinct_lines", "ends_marked", "top_byte",
 )
+#: Rates are smoothed towards a typical value as if the text had so many more characters, words and lines of it: short texts say little.
+MORE_CHARS, MORE_WORDS, MORE_LINES = 60.0, 12.0, 4.0
 _SYMBOLS = b"#$%&*+<=>@[\\]^_`{|}~!"
 _MARKS = b".,;:?'\"()-"
 
@@ -48,18 +50,24 @@ def statistics(text: str, kind: np.ndarray) -> list[float]:
         return [0.0] * len(STATISTICS)
     raw = np.frombuffer(data, np.uint8)
     own = kind[raw]
-    counts = np.bincount(own, minlength=6).astype(float)
-    solid = max(1.0, len(data) - counts[5])
+    counts, each = np.bincount(own, minlength=6).astype(float), np.bincount(raw, minlength=256)
     words, lines = data.split(), data.split(b"\n")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    n = len(words)
-    last = own[np.flatnonzero((own[:-1] != 5) & (own[1:] == 5))] if len(own) > 1 else own[:0]
-    root = math.sqrt
-    letters = np.bincount(raw, minlength=256)
+    solid, n = max(1.0, len(data) - counts[5]), len(words)
+    last = own[np.flatnonzero(np.append((own[:-1] != 5) & (own[1:] == 5), own[-1] != 5))]
+
+    def chars(count, usual):
+        return math.sqrt((count + MORE_CHARS * usual) / (solid + MORE_CHARS))
+
+    def of_words(count, usual):
+        return math.sqrt((count + MORE_WORDS * usual) / (n + MORE_WORDS))
+
     return [
-        math.log1p(len(data)), math.log1p(n), math.log(lengths.mean()), math.log1p(lengths.std()), root(counts[1] / solid), root(counts[2] / solid),
-        root(counts[3] / solid), root(counts[4] / solid), root(letters[124] / solid), root(float((lengths <= 3).mean())), root(float(np.isin(last, [4]).sum()) / n),
-        math.log((len(set(words)) + 1) / (n + 1)), math.log1p(len(lines)), math.log(len(set(lines)) / len(lines)), root(float((last == 3).sum()) / n), root(float(letters[33:].max()) / solid),
+        math.log(len(data) + MORE_CHARS), math.log((solid + MORE_WORDS * 5) / (n + MORE_WORDS)), math.log1p(lengths.std() * n / (n + MORE_WORDS)),
+        chars(counts[1], 0.02), chars(counts[2], 0.005), chars(counts[3], 0.03), chars(counts[4], 0.001), chars(each[124], 0.001),
+        of_words((lengths <= 3).sum(), 0.3), of_words((last == 4).sum(), 0.01), math.log((len(set(words)) + MORE_WORDS) / (n + MORE_WORDS)),
+        math.sqrt((len(lines) + MORE_WORDS * 0.05) / (n + MORE_WORDS)), math.log((len(set(lines)) + MORE_LINES) / (len(lines) + MORE_LINES)),
+        of_words((last == 3).sum(), 0.15), chars(each[33:].max(), 0.12),
     ]
 
 
