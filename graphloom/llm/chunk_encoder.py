@@ -30,24 +30,23 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of this encoder's dtype."""
-        split, new = [t.split(" ") for t in texts], set()
-        words = self.words
-        for pieces in split:
-            new.update(p for p in pieces[1:] if p not in words)
+        split, get = [t.split(" ") for t in texts], self.words.get
+        known = [list(map(get, pieces[1:])) for pieces in split]
+        new = {p for pieces, ids in zip(split, known) if None in ids for p, i in zip(pieces[1:], ids) if i is None}
         found = {}
         if new:
             sound = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
             found = dict.fromkeys(new, b"")  # what stays empty marks a text that must be encoded whole
             found.update(zip(sound, self._library([" " + p for p in sound])))
-            if len(words) < self.limit:
-                words.update(found)
+            if len(self.words) < self.limit:
+                self.words.update(found)
         heads = self._library([pieces[0] for pieces in split])
         out, whole = [], []
         for i, pieces in enumerate(split):
             if len(pieces) == 1:
                 out.append(heads[i])
                 continue
-            ids = [words[p] if p in words else found[p] for p in pieces[1:]]
+            ids = [found[p] if own is None else own for p, own in zip(pieces[1:], known[i])] if None in known[i] else known[i]
             if b"" in ids or not pieces[0] or pieces[0][-1:].isspace():
                 whole.append(i)
                 out.append(b"")

@@ -162,15 +162,16 @@ def minimal_perfect_hash(h: np.ndarray) -> np.ndarray:
     largest_first = np.argsort(-sizes, kind="stable")
     for b in largest_first[: int((sizes > 1).sum())]:
         keys = h[order[starts[b] : starts[b] + sizes[b]]]
-        seed = 1
-        while True:
-            slots = _slots(keys, seed, n).astype(np.int64)
-            if not taken[slots].any() and len(set(slots.tolist())) == len(slots):
+        first = 1
+        while True:  # 64 seeds at a time
+            slots = np.sort(_slots(keys[None], np.arange(first, first + 64)[:, None], n).astype(np.int64), axis=1)
+            good = np.flatnonzero(~taken[slots].any(axis=1) & (slots[:, 1:] != slots[:, :-1]).all(axis=1))
+            if len(good):
                 break
-            seed += 1
-            if seed > 10_000_000:
+            first += 64
+            if first > 10_000_000:
                 raise ValueError("two keys with one hash")
-        taken[slots], seeds[b] = True, seed
+        taken[slots[good[0]]], seeds[b] = True, first + good[0]
     single = largest_first[int((sizes > 1).sum()) : int((sizes > 0).sum())]
     seeds[single] = -1 - np.flatnonzero(~taken)[: len(single)]
     return seeds
