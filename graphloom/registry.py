@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import graph, text
+
+QUERIES: dict = {**graph.QUERIES, **text.QUERIES}
+ORACLES: dict[str, str] = {**graph.ORACLES, **text.ORACLES}
