@@ -56,7 +56,7 @@ def read_projects(files: DataFrame) -> DataFrame:
     last = F.element_at(F.concat(F.array(F.lit("")), _list(x, "//OutputType/text()")), -1)
     read = own.select(
         "path", paths.stem(F.col("path")).alias("name"), _first(x, "/Project/@Sdk").alias("sdk"),
-        F.filter(F.transform(F.split(F.concat_ws(";", _list(x, "//TargetFramework/text()"), _list(x, "//TargetFrameworks/text()")), ";"), F.trim), lambda t: t != "").alias("frameworks"),
+        F.filter(F.transform(F.split(F.concat_ws(";", _list(x, "//TargetFramework/text()"), _list(x, "//TargetFrameworks/text()")), ";"), lambda t: F.trim(t)), lambda t: t != "").alias("frameworks"),
         last.alias("output_type"), _list(x, "//PackageReference/@Include").alias("packages"),
         F.transform(_list(x, "//ProjectReference/@Include"), lambda p: F.regexp_replace(paths.basename(p), r"\.[^.]*$", "")).alias("references"), F.lower(_first(x, "//IsTestProject")).alias("flag"),
     )
