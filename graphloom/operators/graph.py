@@ -21,14 +21,17 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def top_per_key(df: DataFrame, keys: list, order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each key, with place (from 1), total and truncated (rows of the key left out)."""
-    own = W.partitionBy(*keys)
-    return (
-        df.withColumns({"place": F.row_number().over(own.orderBy(*order)), "total": F.count("*").over(own)})
-        .where(F.col("place") <= max(1, k))
-        .withColumn("truncated", F.greatest(F.col("total") - max(1, k), F.lit(0)))
-    )
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each key, with place (from 1), total and truncated (rows of the key left out).
+
+    Totals are partial sums and ranks are cut before the shuffle, so a key that holds most rows meets in no task.
+    """
+    totals = df.groupBy(*keys).agg(F.count("*").alias("total")).select(*[F.col(c).alias(f"_key_{c}") for c in keys], "total")
+    first = df.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= max(1, k))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return first.join(totals, same).select(*df.columns, "place", "total", F.greatest(F.col("total") - max(1, k), F.lit(0)).alias("truncated"))
 
 
 def upsert_nodes(*batches: DataFrame) -> DataFrame:

@@ -36,10 +36,10 @@ def resolve_targets(nodes: DataFrame, edges: DataFrame, query: str | None = None
 
 def page(rows: DataFrame, section: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows in order as (section, place, id, path, line, total)."""
-    total = F.count("*").over(W.partitionBy())
-    numbered = rows.select("id", "file_path", "line", total.alias("total"), *[o.alias(f"_o{i}") for i, o in enumerate(order)]).orderBy(*[f"_o{i}" for i in range(len(order))]).limit(max(1, k))
-    place = F.row_number().over(W.partitionBy().orderBy(*[f"_o{i}" for i in range(len(order))]))
-    return numbered.select(F.lit(section).alias("section"), place.alias("place"), "id", F.col("file_path").alias("path"), "line", "total")
+    keys = [f"_o{i}" for i in range(len(order))]
+    own = materialize(rows.select("id", F.col("file_path").alias("path"), "line", *[o.alias(c) for o, c in zip(order, keys)]), section)
+    place = F.row_number().over(W.partitionBy().orderBy(*keys))  # over k rows
+    return own.orderBy(*keys).limit(max(1, k)).select(F.lit(section).alias("section"), place.alias("place"), "id", "path", "line", F.lit(own.count()).cast("long").alias("total"))
 
 
 def sections(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None, k: int = 20, tests: DataFrame | None = None) -> DataFrame:
