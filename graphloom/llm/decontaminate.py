@@ -16,8 +16,6 @@ ids are kept as null; repeated items are items of their own; empty tables give n
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +25,36 @@ from .common import read
 
 Q, RATE = 12, 0.06
 BLOCK_CHARS = 8_000_000
-TABLE_BITS = 24
-_APART = re.compile(r"[\W_]+")
-
-
-def fold(text: str | None) -> str:
-    return _APART.sub(" ", (text or "").lower()).strip()
+TABLE_BITS = 21  # a table that stays in a core's cache
+_FOLDED: list = []
+
+
+def _folded_characters() -> np.ndarray:
+    """Per character of the basic plane its lower case, or a space for what is neither letter nor digit; made once for each process."""
+    if not _FOLDED:
+        table = np.full(1 << 16, 32, np.uint32)
+        for c in range(1 << 16):
+            if chr(c).isalnum():
+                low = chr(c).lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        _FOLDED.append(table)
+    return _FOLDED[0]
+
+
+def fold(text: str | None) -> np.ndarray:
+    """The folded text as code points. Characters beyond the basic plane count as letters."""
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = _folded_characters()
+    if len(points) and points.max() >> 16:
+        points = np.where(points >> 16, points, table[points & 0xFFFF])
+    else:
+        points = table[points]
+    gap = points == 32
+    keep = ~gap
+    keep[1:] |= gap[1:] & ~gap[:-1]
+    points = points[keep]
+    first, last = int(len(points) > 0 and points[0] == 32), len(points) - int(len(points) > 1 and points[-1] == 32)
+    return points[first : max(first, last)]
 
 
 def edit_budget(m: int, q: int = Q, rate: float = RATE) -> int:
@@ -40,9 +62,9 @@ def edit_budget(m: int, q: int = Q, rate: float = RATE) -> int:
     return max(0, min(int(rate * m), (m - q) // q))
 
 
-def gram_hashes(text: str, q: int = Q) -> np.ndarray:
-    """A 64-bit hash of each q-gram of the text, by doubling."""
-    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of each q-gram of a folded text, by doubling."""
+    h = points.astype(np.uint64) + np.uint64(1)
     if len(h) < q:
         return h[:0]
     out, done, step, base = None, 0, 1, 0x9E3779B97F4A7C15
@@ -77,7 +99,7 @@ class Block:
         self.last = np.append(self.first[1:], len(h))
         self.table = None
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item number, edits, start, end) of each item found in the folded text, its best place."""
         if self.table is None:
             self.table = np.zeros(1 << TABLE_BITS, bool)
@@ -95,22 +117,32 @@ class Block:
         item, diagonal = self.item[post], np.repeat(where, n) - self.at[post]
         width = self.budgets[item] + 1
         band = diagonal // width
-        keys = np.concatenate([np.stack([item, band], 1), np.stack([item, band - 1], 1)])
-        keys, count = np.unique(keys, axis=0, return_counts=True)
+        keys = (item << 32) + band + (1 << 24)
+        keys, count = np.unique(keys, return_counts=True)
+        below = np.searchsorted(keys, keys - 1)  # a band's diagonals are its own and those of the next
+        above = np.minimum(np.searchsorted(keys, keys + 1), len(keys) - 1)
+        both = np.concatenate([keys, keys - 1])
+        sums = np.concatenate([count + np.where(keys[above] == keys + 1, count[above], 0), np.where(keys[below] == keys - 1, 0, count)])
         best: dict[int, tuple[int, int, int]] = {}
-        for i, b in keys[count >= self.needed[keys[:, 0]]].tolist():
-            e = int(self.budgets[i])
+        for key in both[sums >= self.needed[both >> 32]].tolist():
+            i, b = key >> 32, (key & 0xFFFFFFFF) - (1 << 24)
+            if best.get(i, (1,))[0] == 0:
+                continue
+            e, m = int(self.budgets[i]), int(self.sizes[i])
             low = b * (e + 1)  # the band holds the diagonals low .. low + 2e + 1
+            own = diagonal[(item == i) & (diagonal >= low) & (diagonal <= low + 2 * e + 1)]
+            d = int(np.bincount(own - low).argmax()) + low
+            if 0 <= d and np.array_equal(text[d : d + m], self.texts[i]):
+                best[i] = (0, d, d + m)  # no alignment has fewer edits
+                continue
             found = banded_alignment(self.texts[i], text, low - e, low + 3 * e + 1)
             if found and found[0] <= e and (i not in best or found < best[i]):
                 best[i] = found
         return [(i, *v) for i, v in sorted(best.items())]
 
 
-def banded_alignment(item: str, text: str, low: int, high: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best alignment of the whole item within text on diagonals low..high; None without any."""
-    a = np.frombuffer(item.encode("utf-32-le", "surrogatepass"), np.uint32)
-    b = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def banded_alignment(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best alignment of the whole of a within b on diagonals low..high; None without any."""
     far, offsets = 1 << 20, np.arange(low, high + 1)
     cost = np.where((offsets >= 0) & (offsets <= len(b)), 0, far)
     start = offsets.copy()
