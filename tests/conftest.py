@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-SMALLEST = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,7 @@
 """Every registered query of the library against its SQL."""
 
 import pytest
-from conftest import SMALLEST
-from oracle import assert_same
+from oracle import SMALLEST, assert_same
 
 from graphloom import registry
 
