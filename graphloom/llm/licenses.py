@@ -43,15 +43,21 @@ TEMPLATES = [
 ]
 
 
-def _postings(spark: SparkSession) -> DataFrame:
-    """template, label, base, word, rel, mandatory, n_words, n_mandatory: a table whose size the templates fix."""
+POSTING = ("template", "label", "base", "word", "rel", "mandatory", "n_words", "n_mandatory")
+
+
+def _posting_rows() -> list[tuple]:
     rows = []
     for t, (label, words, key, base) in enumerate([*[(b, a, a, True) for a, b in BASE.items()], *[(*x, False) for x in TEMPLATES]]):
         words, key = words.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         rows += [(t, label, base, w, i, at <= i < at + len(key), len(words), len(key)) for i, w in enumerate(words)]
-    names = ("template", "label", "base", "word", "rel", "mandatory", "n_words", "n_mandatory")
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])))
+    return rows
+
+
+def _postings(spark: SparkSession) -> DataFrame:
+    """A row for each word of each template: a table whose size the templates fix."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(POSTING, row)]) for row in _posting_rows()])))
 
 
 def template_words() -> list[str]:
@@ -110,3 +116,22 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
+
+
+#: The same by matching every word of every text with every posting.
+OP8_SQL = f"""
+WITH postings({", ".join(POSTING)}) AS (VALUES {", ".join(str(row) for row in _posting_rows())}),
+docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+places AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM docs),
+found AS (
+  SELECT doc_id, template, label, base, pos - rel AS start, count(*) / n_words AS coverage FROM places JOIN postings USING (word)
+  GROUP BY doc_id, template, label, base, pos - rel, n_words, n_mandatory HAVING count(*) FILTER (mandatory) = n_mandatory
+), sums AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN sums USING (doc_id)
+"""
