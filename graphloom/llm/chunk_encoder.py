@@ -47,7 +47,7 @@ class ChunkEncoder:
                 out.append(heads[i])
                 continue
             ids = [found[p] if own is None else own for p, own in zip(pieces[1:], known[i])] if None in known[i] else known[i]
-            if b"" in ids or not pieces[0] or pieces[0][-1:].isspace():
+            if b"" in ids or pieces[0][-1:].isspace():
                 whole.append(i)
                 out.append(b"")
             else:
