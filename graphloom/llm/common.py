@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path, materialize  # noqa: F401  the other modules take them from here
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: The white space of the contracts: `[\x20\x09-\x0D]`.
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that every executor can reach: the one in ``spark.checkpoint.dir``.
-
-    Where the setting is absent, only local mode gets a folder of this machine; a cluster must name one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there and a lost executor costs nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -63,6 +37,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
 
     Of more than max_rows labelled rows it takes the share max_rows / rows by a hash of the id, so that what a model
     is fitted on is bounded. Repeated labels of one id count once (the larger label wins); null labels are left out.
+    The picked ids, at most about max_rows pairs of numbers, are broadcast, so no text is shuffled.
     """
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -73,7 +48,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     n = picked.count()
     if n > max_rows:
         picked = picked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    return id_and_text(docs).join(picked, "doc_id")
+    return id_and_text(docs).join(F.broadcast(picked), "doc_id")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import held_out, id_and_text, read, training_rows
 
 #: At most about so many labelled rows are used to fit.
-FIT_ROWS = 1_000_000
+FIT_ROWS = 200_000
 THRESHOLD = 0.3
 STATISTICS = (
     "log_chars", "log_word_chars", "word_chars_spread", "upper", "digits", "marks", "symbols", "bars", "short_words", "symbol_words",
