@@ -10,8 +10,9 @@ table of 16 scores for each subspace, two of which are read as one byte, then th
 are scored exactly on the original vectors in double precision. The best k of all blocks are the result.
 
 Edge cases: vectors that are null, zero or hold a null or non-finite component, rows without an id and vectors whose
-length is not the commonest one take no part; ties go to the smaller id; with fewer than k candidates all are
-returned; an empty table gives no row; further columns are ignored.
+length is not the commonest one take no part; ties go to the smaller id; repeated rows count once, and an id of
+several vectors is as near as its nearest one; with fewer than k candidates all are returned; an empty table gives no
+row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 96,
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_blocks = max(1, -(-distinct.count() // block_rows))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).distinct()
     n_asked = max(1, -(-asked.count() // query_rows))
 
     def every(n):
@@ -183,11 +184,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 96,
                 for i, near in enumerate(rows, at):
                     me, score = int(asked["query_id"].iloc[i]), cosines(q[i], x[near])
                     cut = np.partition(score, -min(k + 1, len(score)))[-min(k + 1, len(score))]
-                    some = sorted((-s, int(v)) for s, r in zip(score.tolist(), near.tolist()) if s >= cut for v in ids[r] if v != me)
-                    found += [(me, v, -s) for s, v in some[:k]]
+                    for least in (cut, -np.inf):  # all rows only where an id of several vectors took more than one place
+                        nearest = {}
+                        for s, v in ((s, int(v)) for s, r in zip(score.tolist(), near.tolist()) if s >= least for v in ids[r] if v != me):
+                            nearest[v] = max(s, nearest.get(v, s))
+                        if len(nearest) >= k:
+                            break
+                    found += [(me, v, s) for v, s in sorted(nearest.items(), key=lambda x: (-x[1], x[0]))[:k]]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     pairs = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, out)
+    # an id with several vectors, as query or as row, meets the same neighbour more than once
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -51,6 +51,22 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert got == {0: [1, 2, 3, 4, 5], 8: [0, 1, 2, 3, 4], 20: [0, 1, 2, 3, 4]}
 
 
+def test_repeated_query_rows(spark):
+    x = np.random.default_rng(3).normal(size=(12, 4))
+    rows = list(enumerate(x)) + [(0, x[0])] * 4 + [(1, x[1])] + [(7, x[0]), (7, x[7]), (0, -x[0])]
+    vectors = frame(spark, rows)
+    got = {}
+    for r in ann.search(vectors, ann.usable_vectors(vectors).where("vec_id in (0, 1, 2)"), block_rows=5, query_rows=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    score = {}
+    for q, a in rows:
+        for v, b in rows:
+            if q in (0, 1, 2) and v != q:
+                s = round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 12)
+                score[q, v] = max(s, score.get((q, v), s))
+    assert got == {q: [v for v in sorted((v for p, v in score if p == q), key=lambda v: (-score[q, v], v))[:5]] for q in (0, 1, 2)}
+
+
 def test_few_and_none(spark):
     vectors = frame(spark, [(0, [1.0, 2.0]), (50, [2.0, 1.0])])
     assert [(r.query_id, r.vec_id) for r in ann.search(vectors, ann.usable_vectors(vectors)).orderBy("query_id").collect()] == [(0, 50), (50, 0)]
