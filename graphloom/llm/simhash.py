@@ -145,7 +145,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The rows of docs that stay: of each group the document of the smallest id (of its repeated rows one); rows without an id stay."""
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return rows_that_stay(docs, near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct())
+
+
+def rows_that_stay(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs for each doc_id of kept, and the rows without an id."""
     some = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in ("text", "lang", "source") if c in docs.columns])
     return some.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row").unionByName(docs.where("doc_id is null")).select(*docs.columns)
