@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import graph
 from ..storage import materialize
 
@@ -42,6 +43,28 @@ def page(rows: DataFrame, section: str, order: list[Column], k: int) -> DataFram
     return own.orderBy(*keys).limit(max(1, k)).select(F.lit(section).alias("section"), place.alias("place"), "id", "path", "line", F.lit(own.count()).cast("long").alias("total"))
 
 
+def candidate_names(targets: DataFrame) -> DataFrame:
+    """(name): display, metadata and documentation names of the targets and their trailing identifiers, in upper case."""
+    payload = names.after_colon(F.col("documentation_id"))
+    whole = F.array(*[F.substring_index(F.trim(c), "(", 1) for c in ("display_name", "metadata_name")], payload)
+    own = targets.select(F.explode(whole).alias("name"))
+    both = own.select(F.explode(F.array("name", names.trailing_identifier(F.col("name")))).alias("name"))
+    return both.where(~names.blank(F.col("name"))).select(F.upper("name").alias("name")).distinct()
+
+
+def entrypoints(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Hosts of the targets' projects, and the entrypoints of any project in a target's file or that name a target."""
+    found = nodes.where("kind = 'Entrypoint'")
+    parts = F.split("documentation_id", r"\|", 4)
+    packed = (F.size(parts) == 4) & (parts[0] == "entrypoint")
+    host = found.where(packed & (parts[1] == "host_project")).join(targets.select("owning_project_id").where("owning_project_id is not null").distinct(), "owning_project_id", "left_semi")
+    here = targets.where(~names.blank(F.col("file_path"))).select(F.upper("file_path").alias("here")).distinct()
+    placed = found.join(here, F.upper("file_path") == F.col("here"), "left_semi")
+    said = F.upper(F.concat_ws("\n", "display_name", F.when(packed, parts[2]), F.when(packed, parts[3])))
+    named = found.withColumn("_said", said).join(F.broadcast(candidate_names(targets)), F.col("_said").contains(F.col("name")), "left_semi").drop("_said")
+    return host.select(*nodes.columns).unionByName(placed).unionByName(named).dropDuplicates(["id"])
+
+
 def sections(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None, k: int = 20, tests: DataFrame | None = None) -> DataFrame:
     """Targets, callers, relations, registrations, entrypoints and tests of a change, each at most k rows.
 
@@ -55,7 +78,7 @@ def sections(nodes: DataFrame, edges: DataFrame, query: str | None = None, path:
     related = graph.keep_first(graph.related_symbols(nodes, edges, holders), [F.col("id")], [F.col("edge_kind")])
     registered = graph.neighbors(edges, nodes, holders, ["registered_as", "consumed_by"], incoming=True)
     registered = graph.keep_first(registered, [F.col("id")], [F.col("edge_kind")])
-    hosts = nodes.where("kind = 'Entrypoint'").join(targets.select("owning_project_id").where("owning_project_id is not null").distinct(), "owning_project_id", "left_semi")
+    hosts = entrypoints(nodes, targets)
     out = page(targets, "target", [F.col("way"), *order], max(3, k))
     for section, rows in (("caller", callers), ("relation", related), ("registration", registered), ("entrypoint", hosts)):
         out = out.unionByName(page(rows, section, order, k))
