@@ -1,26 +1,56 @@
-"""Name functions: identifiers, containers, type names, text clean-up. Comparisons that ignore case fold to upper case."""
+"""Name functions: identifiers, containers, type names, text clean-up. Comparisons that ignore case fold character by character."""
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _upper_of(c: str) -> str:
+    """The one character that stands for c in comparisons that ignore case: its upper case, where that is one character and,
+    for a character beyond ASCII, not an ASCII one."""
+    for other in (c.upper(), c.title()):
+        if len(other) == 1:
+            return c if other.isascii() and not c.isascii() else other
+    return c
+
+
+_FOLDS = {c: _upper_of(c) for c in map(chr, range(sys.maxunicode + 1)) if c.lower() != c.upper() and _upper_of(c) != c}
+_FROM, _TO = "".join(_FOLDS), "".join(_FOLDS.values())
+_TABLE = str.maketrans(_FOLDS)
+
+
+def fold_text(x: str) -> str:
+    """The same as fold_ci, of a Python string."""
+    return x.translate(_TABLE)
+
+
+def fold_ci(x: Column | str) -> Column:
+    """A text (or the column of that name) with each character in place of all that differ from it in case only.
+
+    Unlike upper(), no character becomes two, so "ß" isn't "SS". Pure ASCII texts take the faster of two equal ways.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(F.octet_length(x) == F.char_length(x), F.upper(x)).otherwise(F.translate(x, _FROM, _TO))
+
+
 def blank(x: Column) -> Column:
     """Null or white space only."""
     return F.coalesce(F.trim(x), F.lit("")) == ""
 
 
 def equals_ci(a: Column, b: Column) -> Column:
-    return F.upper(a) == F.upper(b)
+    return fold_ci(a) == fold_ci(b)
 
 
 def contains_ci(a: Column, b: Column) -> Column:
-    return F.upper(a).contains(F.upper(b))
+    return fold_ci(a).contains(fold_ci(b))
 
 
 def ends_with_ci(a: Column, b: Column) -> Column:
-    return F.upper(a).endswith(F.upper(b))
+    return fold_ci(a).endswith(fold_ci(b))
 
 
 def trailing_identifier(x: Column) -> Column:

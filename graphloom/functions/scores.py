@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .names import after_colon, container_prefix, ends_with_ci, equals_ci, trailing_identifier
+from .names import after_colon, container_prefix, ends_with_ci, equals_ci, fold_ci, trailing_identifier
 from .paths import test_path
 
 
@@ -14,7 +14,7 @@ def _ends(a: Column, b: Column) -> Column:
 
 
 def _has(a: Column, b: Column) -> Column:
-    return F.coalesce(F.upper(a).contains(F.upper(b)), F.lit(False))
+    return F.coalesce(fold_ci(a).contains(fold_ci(b)), F.lit(False))
 
 
 def _is(a: Column, b: Column) -> Column:
@@ -44,7 +44,7 @@ def symbol_search_score(query: str, name: Column, container: Column, path: Colum
     has_container = F.coalesce(F.trim(container), F.lit("")) != ""
     qualified = F.when(has_container, F.concat_ws(".", container, name)).otherwise(name)
     score = F.when(qualified == q, 1000).when(_is(qualified, q), 950).when(_ends(qualified, q), 700).otherwise(0)
-    score += F.when(name == q, 700).when(_is(name, q), 650).when(F.upper(name).startswith(F.upper(q)), 450).when(_has(name, q), 250).otherwise(0)
+    score += F.when(name == q, 700).when(_is(name, q), 650).when(fold_ci(name).startswith(fold_ci(q)), 450).when(_has(name, q), 250).otherwise(0)
     score += F.when(simple != q, F.when(name == simple, 600).when(_is(name, simple), 550).otherwise(0)).otherwise(0)
     score += F.when(prefix.isNotNull() & has_container, F.when(container == prefix, 500).when(_is(container, prefix), 475).when(_ends(container, prefix), 300).otherwise(0)).otherwise(0)
     score += F.when(path_matches(query, path), 400).otherwise(0)

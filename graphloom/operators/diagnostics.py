@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
 from .graph import top_per_key
 
 # Ranks of severity names; an unknown name counts as WARNING.
@@ -25,9 +26,9 @@ def filtered(rows: DataFrame, minimum: str = "ALL", exclude_codes=(), exclude_so
     out = rows.where(severity_rank(F.col("severity")) >= minimum_rank(minimum))
     for column, values in (("code", exclude_codes), ("source", exclude_sources)):
         if values:
-            out = out.where(F.coalesce(~F.upper(column).isin([v.upper() for v in values]), F.lit(True)))
+            out = out.where(F.coalesce(~names.fold_ci(column).isin([names.fold_text(v) for v in values]), F.lit(True)))
     for part in exclude_paths:
-        out = out.where(~F.upper(F.coalesce("uri", F.lit(""))).contains(part.upper()))
+        out = out.where(~names.fold_ci(F.coalesce("uri", F.lit(""))).contains(names.fold_text(part)))
     return out
 
 
@@ -48,7 +49,7 @@ def in_focus(rows: DataFrame, files: DataFrame | None) -> DataFrame:
     """Diagnostics of the focus files (path), ignoring case; all of them without a focus."""
     if files is None:
         return rows
-    return rows.withColumn("_key", F.upper("uri")).join(files.select(F.upper("path").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
+    return rows.withColumn("_key", names.fold_ci("uri")).join(files.select(names.fold_ci("path").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
 
 
 def within_lines(rows: DataFrame, first: int, last: int) -> DataFrame:

@@ -199,8 +199,8 @@ def best_types(registered: DataFrame, types: DataFrame) -> DataFrame:
 
     Every way to match implies equal simple names, so that is the join; a name that nothing matches gets no node.
     """
-    wanted = registered.withColumn("simple", F.upper(names.simple_type_name(F.col("type"))))
-    known = types.select(F.col("id"), F.col("display_name"), F.col("metadata_name"), F.col("project").alias("own_project"), F.upper(names.trailing_identifier(F.col("display_name"))).alias("simple"))
+    wanted = registered.withColumn("simple", names.fold_ci(names.simple_type_name(F.col("type"))))
+    known = types.select(F.col("id"), F.col("display_name"), F.col("metadata_name"), F.col("project").alias("own_project"), names.fold_ci(names.trailing_identifier(F.col("display_name"))).alias("simple"))
     score = (
         F.when(F.col("metadata_name") == F.col("type"), 300)
         .when(F.col("display_name") == F.col("type"), 260)
@@ -257,7 +257,7 @@ def startup_calls(rows: DataFrame) -> DataFrame:
     """name, line of the start-up calls in Program.cs, once for each name and line."""
     own = rows.where(F.lower(paths.basename(F.col("path"))) == "program.cs")
     found = own.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(STARTUP_CALL), 2)).alias("name"))
-    return keep_first(found, [F.upper("name"), F.col("path"), F.col("line")], [F.col("name")])
+    return keep_first(found, [names.fold_ci("name"), F.col("path"), F.col("line")], [F.col("name")])
 
 
 def semantic_search(files: DataFrame, mode: str) -> DataFrame:
@@ -269,7 +269,7 @@ def semantic_search(files: DataFrame, mode: str) -> DataFrame:
         found = {"aspnet_endpoints": routes, "hosted_services": hosted_services, "config_bindings": config_bindings, "middleware_pipeline": middleware}[mode](lines(own))
     else:
         raise ValueError(f"unknown mode {mode!r}; the modes are {', '.join(MODES)}")
-    return found.orderBy(F.upper("path"), "line", "kind")
+    return found.orderBy(names.fold_ci("path"), "line", "kind")
 
 
 def test_map(rows: DataFrame, candidates: list[str]) -> DataFrame:
@@ -277,16 +277,16 @@ def test_map(rows: DataFrame, candidates: list[str]) -> DataFrame:
 
     100 for a file named after a candidate, 60 where its name holds one, and 10 for each line that does, 80 at most.
     """
-    stem = F.upper(paths.stem(F.col("path")))
-    hits = [F.upper("text").contains(c.upper()) for c in candidates]
+    stem = names.fold_ci(paths.stem(F.col("path")))
+    hits = [names.fold_ci("text").contains(names.fold_text(c)) for c in candidates]
     any_hit = hits[0]
     for h in hits[1:]:
         any_hit = any_hit | h
     per_file = rows.groupBy("path").agg(F.count_if(any_hit).alias("n_lines"))
     score, reasons = F.least(F.lit(80), 10 * F.col("n_lines")), []
     for c in candidates:
-        named = stem.isin(f"{c}Tests".upper(), f"{c}Test".upper())
-        holds = stem.contains(c.upper())
+        named = stem.isin(names.fold_text(f"{c}Tests"), names.fold_text(f"{c}Test"))
+        holds = stem.contains(names.fold_text(c))
         score = score + F.when(named, 100).when(holds, 60).otherwise(0)
         reasons.append(F.when(named, F.lit(f"file:{c}")).when(holds, F.lit(f"file-contains:{c}")))
     reasons.append(F.when(F.col("n_lines") > 0, F.concat(F.lit("content:"), F.col("n_lines").cast("string"))))

@@ -13,7 +13,7 @@ from ..storage import materialize
 
 def node_order(path: str = "file_path", line: str = "line") -> list[Column]:
     """Missing paths sort as empty, missing lines last; the id settles ties."""
-    return [F.upper(F.coalesce(path, F.lit(""))), F.coalesce(line, F.lit(schema.LAST_LINE)), F.col("id")]
+    return [names.fold_ci(F.coalesce(path, F.lit(""))), F.coalesce(line, F.lit(schema.LAST_LINE)), F.col("id")]
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -57,7 +57,7 @@ def edges_within(edges: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def kind_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.upper("kind").alias("kind_key")).agg(F.min("kind").alias("kind"), F.count("*").alias("n")).select("kind", "n")
+    return rows.groupBy(names.fold_ci("kind").alias("kind_key")).agg(F.min("kind").alias("kind"), F.count("*").alias("n")).select("kind", "n")
 
 
 def owner_counts(nodes: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def ranked_symbols(nodes: DataFrame, query: str, limit: int) -> DataFrame:
     """Symbol nodes that match the query, best first: score, tier, and the order project, path, line, id."""
     parts = (F.lit(query), F.col("documentation_id"), F.col("metadata_name"), F.col("display_name"))
     scored = nodes.where(~F.col("kind").isin(*schema.NOT_SYMBOLS)).withColumns({"score": scores.node_match_score(*parts), "tier": scores.identity_match(*parts)}).where("score > 0")
-    return scored.orderBy(F.desc("score"), F.upper(F.coalesce("project_name", F.lit(""))), *node_order()).limit(max(1, limit))
+    return scored.orderBy(F.desc("score"), names.fold_ci(F.coalesce("project_name", F.lit(""))), *node_order()).limit(max(1, limit))
 
 
 def preferred(matches: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def file_scores(sections: DataFrame) -> DataFrame:
     """(path, section, weight) to path, score and its distinct sections: paths fold case, the first spelling stays."""
     rows = sections.where(~names.blank(F.col("path")))
     return (
-        rows.groupBy(F.upper("path").alias("key"))
+        rows.groupBy(names.fold_ci("path").alias("key"))
         .agg(F.min("path").alias("path"), F.sum("weight").cast("long").alias("score"), F.array_join(F.array_sort(F.collect_set("section")), ",").alias("reasons"))
         .drop("key")
     )
@@ -143,7 +143,7 @@ def select_slice(scored: DataFrame, nodes: DataFrame, edges: DataFrame, max_node
 
     Limits are the feature: a slice is a picture of bounded size.
     """
-    order = [F.desc("score"), F.desc("priority"), F.upper(F.coalesce("project_name", F.lit(""))), F.upper(F.coalesce("file_path", F.lit(""))), F.upper("display_name"), F.col("id")]
+    order = [F.desc("score"), F.desc("priority"), names.fold_ci(F.coalesce("project_name", F.lit(""))), names.fold_ci(F.coalesce("file_path", F.lit(""))), names.fold_ci("display_name"), F.col("id")]
     best = max_score_reason(scored)
     top = nodes.join(best, "id").withColumn("priority", schema.priority(F.col("kind"), schema.NODE_PRIORITY)).orderBy(*order).limit(max(5, max_nodes))
     numbered = top.withColumn("graph_id", F.concat(F.lit("n"), (F.row_number().over(W.partitionBy().orderBy(*order)) - 1).cast("string")))

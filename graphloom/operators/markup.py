@@ -7,6 +7,8 @@ from xml.parsers import expat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
+
 # The patterns of markup extensions, and corrections of common attribute typos.
 BINDING = r"\{(?:Binding|x:Bind)\s*([^}]*)\}"
 STATIC_RESOURCE = r"\{StaticResource\s+([^}]+)\}"
@@ -45,12 +47,12 @@ def elements(files: DataFrame) -> DataFrame:
     """One row per element of each file (path, content); each task parses the files of its partition."""
     import pandas as pd
 
-    names = [c.split()[0] for c in ELEMENTS.split(", ")]
+    columns = [c.split()[0] for c in ELEMENTS.split(", ")]
 
     def apply(batches):
         for pdf in batches:
             rows = [r for p, c in zip(pdf["path"], pdf["content"]) for r in parse(p, c)]
-            out = pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=columns)
             out["parent_id"] = out["parent_id"].astype("Int32")
             out["attributes"] = [[{"name": n, "value": v} for n, v in own] for own in out["attributes"]]
             yield out
@@ -121,14 +123,14 @@ def system_resource(key: Column) -> Column:
 
 def missing_resources(defined: DataFrame, used: DataFrame) -> DataFrame:
     """Static references whose key nothing defines, ignoring case; system resources are exempt."""
-    known = defined.select("path", F.upper("key").alias("_key")).distinct()
-    return used.where(F.col("is_static") & ~system_resource(F.col("key"))).withColumn("_key", F.upper("key")).join(known, ["path", "_key"], "left_anti").drop("_key")
+    known = defined.select("path", names.fold_ci("key").alias("_key")).distinct()
+    return used.where(F.col("is_static") & ~system_resource(F.col("key"))).withColumn("_key", names.fold_ci("key")).join(known, ["path", "_key"], "left_anti").drop("_key")
 
 
 def typos(attrs: DataFrame) -> DataFrame:
     """Attributes that are known misspellings, with the correction."""
-    corrections = F.create_map(*[F.lit(x) for pair in TYPOS.items() for x in (pair[0].upper(), pair[1])])
-    return attrs.withColumn("correction", F.element_at(corrections, F.upper("name"))).where("correction is not null")
+    corrections = F.create_map(*[F.lit(x) for pair in TYPOS.items() for x in (names.fold_text(pair[0]), pair[1])])
+    return attrs.withColumn("correction", F.element_at(corrections, names.fold_ci("name"))).where("correction is not null")
 
 
 def issues(rows: DataFrame, known_types: DataFrame | None = None) -> DataFrame:
@@ -146,7 +148,7 @@ def issues(rows: DataFrame, known_types: DataFrame | None = None) -> DataFrame:
         issue(typos(attrs), "XAML003", "Warning", F.concat(F.lit("Did you mean "), "correction")),
         issue(bound.where("binding_path is null and element_name is null"), "XAML004", "Warning", F.lit("Empty binding path")),
         issue(missing_resources(defined, used), "XAML005", "Warning", F.concat(F.lit("Unknown resource "), "key")),
-        issue(repeated_after_first(named, [F.col("path"), F.upper("name")], [F.col("line"), F.col("col")]), "XAML006", "Error", F.concat(F.lit("Duplicate name "), "name")),
+        issue(repeated_after_first(named, [F.col("path"), names.fold_ci("name")], [F.col("line"), F.col("col")]), "XAML006", "Error", F.concat(F.lit("Duplicate name "), "name")),
     ]
     if known_types is not None:
         elements_ = rows.where(F.col("error").isNull() & ~F.col("name").contains("."))

@@ -21,8 +21,8 @@ def with_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
 
 def project_by_segment(rows: DataFrame, projects: DataFrame) -> DataFrame:
     """rows (path) with the project whose name is a folder of the path; the longest name wins. Folders are exploded, so it is an equi-join."""
-    known = projects.select("project_id", "project_name", F.upper("project_name").alias("_name"))
-    folder = F.explode(F.slice(F.split(F.upper(paths.normalized(F.col("path"))), "/"), F.lit(1), F.greatest(F.size(F.split(paths.normalized(F.col("path")), "/")) - 1, F.lit(0))))
+    known = projects.select("project_id", "project_name", names.fold_ci("project_name").alias("_name"))
+    folder = F.explode(F.slice(F.split(names.fold_ci(paths.normalized(F.col("path"))), "/"), F.lit(1), F.greatest(F.size(F.split(paths.normalized(F.col("path")), "/")) - 1, F.lit(0))))
     found = rows.select("path", folder.alias("_name")).distinct().join(known, "_name")
     return rows.join(keep_first(found, [F.col("path")], [F.desc(F.char_length("project_name")), F.col("project_id")]).select("path", "project_id", "project_name"), "path")
 
@@ -87,7 +87,7 @@ def entrypoint_files(files: DataFrame, per_project: int = 3) -> DataFrame:
     kind = F.when(F.lower(paths.basename(F.col("path"))) == "program.cs", "program").when(worker, "worker").when(handler, "serverless")
     from .graph import top_per_key
 
-    top = top_per_key(own.select("project_id", "path", kind.alias("kind")).where("kind is not null"), ["project_id", "kind"], [F.upper("path"), F.col("path")], per_project)
+    top = top_per_key(own.select("project_id", "path", kind.alias("kind")).where("kind is not null"), ["project_id", "kind"], [names.fold_ci("path"), F.col("path")], per_project)
     return top.select("project_id", "path", "kind")
 
 
@@ -108,4 +108,4 @@ def invocation_probes(rows: DataFrame, symbol: str, most: int = 24) -> DataFrame
     bare = F.regexp_replace("code", r"\b(new|class|record)\s+[A-Za-z_][A-Za-z0-9_<>,.]*\s*\(", "(")
     calls = body.select("path", "line", F.posexplode(F.regexp_extract_all(bare, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)).alias("pos", "name"))
     wanted = calls.where(~F.col("name").isin(*KEYWORDS) & (F.col("name") != symbol))
-    return keep_first(wanted, [F.upper("name"), F.col("path")], [F.col("line"), F.col("pos")]).orderBy("path", "line", "pos").limit(most).select("name", "path", "line")
+    return keep_first(wanted, [names.fold_ci("name"), F.col("path")], [F.col("line"), F.col("pos")]).orderBy("path", "line", "pos").limit(most).select("name", "path", "line")

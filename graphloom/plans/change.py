@@ -32,7 +32,7 @@ def plan_steps(found: DataFrame, k: int = 10) -> DataFrame:
     titles = F.create_map(*[F.lit(x) for s, t in STEPS for x in (s, t)])
     ranks = F.create_map(*[F.lit(x) for i, (s, _) in enumerate(STEPS) for x in (s, i)])
     rows = found.where(~names.blank(F.col("path"))).select(phase.alias("phase"), F.col("place").alias("own_place"), "path")
-    first = graph.keep_first(rows, [F.col("phase"), F.upper("path")], [F.col("own_place"), F.col("path")])
+    first = graph.keep_first(rows, [F.col("phase"), names.fold_ci("path")], [F.col("own_place"), F.col("path")])
     top = graph.top_per_key(first, ["phase"], [F.col("own_place"), F.col("path")], k)
     files = top.groupBy("phase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x.path), ",").alias("files"))
     order = F.element_at(ranks, F.col("phase"))
@@ -41,8 +41,8 @@ def plan_steps(found: DataFrame, k: int = 10) -> DataFrame:
 
 def secondary_files(found: DataFrame) -> DataFrame:
     """Files of any section but those of the targets, ignoring case."""
-    others = found.where("section <> 'target'").select("path").where(~names.blank(F.col("path"))).withColumn("key", F.upper("path"))
-    first = found.where("section = 'target'").select(F.upper("path").alias("key")).distinct()
+    others = found.where("section <> 'target'").select("path").where(~names.blank(F.col("path"))).withColumn("key", names.fold_ci("path"))
+    first = found.where("section = 'target'").select(names.fold_ci("path").alias("key")).distinct()
     return graph.keep_first(others.join(first, "key", "left_anti"), ["key"], [F.col("path")]).select("path")
 
 
@@ -50,7 +50,7 @@ def focus_files(changed: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
     """Changed files (path) first, then target files, then the rest; each once, k at most."""
     other = found.select("path", F.when(F.col("section") == "target", 1).otherwise(2).alias("rank"))
     rows = changed.select("path", F.lit(0).alias("rank")).unionByName(other).where(~names.blank(F.col("path")))
-    return graph.keep_first(rows, [F.upper("path")], [F.col("rank"), F.col("path")]).orderBy("rank", F.upper("path")).limit(max(1, k))
+    return graph.keep_first(rows, [names.fold_ci("path")], [F.col("rank"), F.col("path")]).orderBy("rank", names.fold_ci("path")).limit(max(1, k))
 
 
 def verify_change(found: DataFrame, changed: DataFrame, diagnostic_rows: DataFrame, minimum: str = "WARNING", k: int = 10) -> DataFrame:

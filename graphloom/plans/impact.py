@@ -25,7 +25,7 @@ def resolve_targets(nodes: DataFrame, edges: DataFrame, query: str | None = None
     if query:
         parts.append(graph.preferred(graph.ranked_symbols(nodes, query, SYMBOL_CANDIDATES)).select("id", F.lit(0).alias("way")))
     if path:
-        own = nodes.where(F.upper("file_path") == path.upper())
+        own = nodes.where(names.fold_ci("file_path") == names.fold_text(path))
         parts += [own.where(~F.col("kind").isin("Document")).select("id", F.lit(1).alias("way")), own.where("kind = 'Document'").select("id", F.lit(2).alias("way"))]
     if not parts:
         raise ValueError("a symbol query or a file path is needed")
@@ -49,7 +49,7 @@ def candidate_names(targets: DataFrame) -> DataFrame:
     whole = F.array(*[F.substring_index(F.trim(c), "(", 1) for c in ("display_name", "metadata_name")], payload)
     own = targets.select(F.explode(whole).alias("name"))
     both = own.select(F.explode(F.array("name", names.trailing_identifier(F.col("name")))).alias("name"))
-    return both.where(~names.blank(F.col("name"))).select(F.upper("name").alias("name")).distinct()
+    return both.where(~names.blank(F.col("name"))).select(names.fold_ci("name").alias("name")).distinct()
 
 
 def entrypoints(nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -58,9 +58,9 @@ def entrypoints(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     parts = F.split("documentation_id", r"\|", 4)
     packed = (F.size(parts) == 4) & (parts[0] == "entrypoint")
     host = found.where(packed & (parts[1] == "host_project")).join(targets.select("owning_project_id").where("owning_project_id is not null").distinct(), "owning_project_id", "left_semi")
-    here = targets.where(~names.blank(F.col("file_path"))).select(F.upper("file_path").alias("here")).distinct()
-    placed = found.join(here, F.upper("file_path") == F.col("here"), "left_semi")
-    said = F.upper(F.concat_ws("\n", "display_name", F.when(packed, parts[2]), F.when(packed, parts[3])))
+    here = targets.where(~names.blank(F.col("file_path"))).select(names.fold_ci("file_path").alias("here")).distinct()
+    placed = found.join(here, names.fold_ci("file_path") == F.col("here"), "left_semi")
+    said = names.fold_ci(F.concat_ws("\n", "display_name", F.when(packed, parts[2]), F.when(packed, parts[3])))
     named = found.withColumn("_said", said).join(F.broadcast(candidate_names(targets)), F.col("_said").contains(F.col("name")), "left_semi").drop("_said")
     return host.select(*nodes.columns).unionByName(placed).unionByName(named).dropDuplicates(["id"])
 
@@ -92,7 +92,7 @@ def ranked_files(found: DataFrame, k: int = 20) -> DataFrame:
     """Files of the sections by summed weight: path, score, reasons."""
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), F.col("section"))
     rows = found.select("path", "section", weight.alias("weight"))
-    return graph.file_scores(rows).orderBy(F.desc("score"), F.upper("path"), "path").limit(max(1, k))
+    return graph.file_scores(rows).orderBy(F.desc("score"), names.fold_ci("path"), "path").limit(max(1, k))
 
 
 def change_impact(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None, k: int = 20, tests: DataFrame | None = None) -> DataFrame:

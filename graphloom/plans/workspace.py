@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import names, scores
 from ..functions.paths import test_path
 from ..operators import closure, diagnostics, facts, graph, markup, render
 from ..sources import snapshot, text
@@ -56,7 +56,7 @@ class Workspace:
 
     def search_symbols(self, query: str, k: int = 50) -> DataFrame:
         score = scores.symbol_search_score(query, F.col("name"), F.col("container_name"), F.col("path"))
-        return self.symbols.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), test_path(F.col("path")), F.upper("name"), F.upper("container_name"), "id").limit(max(1, k))
+        return self.symbols.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), test_path(F.col("path")), names.fold_ci("name"), names.fold_ci("container_name"), "id").limit(max(1, k))
 
     def semantic_search(self, mode: str) -> DataFrame:
         return facts.semantic_search(self.files, mode)
@@ -87,10 +87,10 @@ class Workspace:
         for category, scan in kinds:
             own = scan(rows).withColumn("category", F.lit(category))
             out = own if out is None else out.unionByName(own)
-        return out.orderBy("category", F.upper("path"), "line")
+        return out.orderBy("category", names.fold_ci("path"), "line")
 
     def find_registrations(self) -> DataFrame:
-        return facts.registrations(facts.source_files(self.files)).orderBy("service", "implementation", F.upper("path"), "line")
+        return facts.registrations(facts.source_files(self.files)).orderBy("service", "implementation", names.fold_ci("path"), "line")
 
     # tests and dead code
     def test_map(self, names: list[str]) -> DataFrame:
