@@ -39,15 +39,17 @@ MAGIC = b"TOKSHRD1"
 HEADER = "<8sIQQQ"
 HEADER_SIZE = struct.calcsize(HEADER)
 DIRECTORY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("occurrence", "<u4"), ("n", "<u8")])
-LOCATION = np.dtype([("shard", "<i8"), ("offset", "<u8"), ("n", "<u8"), ("crc", "<u4")])
+LOCATION = np.dtype([("shard", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 BLOCKS = 1 << 24  # of shards within one partition
 KEYS_PER_PART = 50_000
+RANGE_CHARS = 64
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = 4_000_000, partitions: int | None = None) -> None:
     """Encodes every whole text, appends end_id and writes the shards below path.
 
-    The text is dealt out by ranges of the id before it is encoded: it is smaller than its ids.
+    The text is dealt out before it is encoded, by ranges of the id and, so that rows without an id or of one id part
+    too, of the text's first ``RANGE_CHARS`` characters.
     """
     spark = docs.sparkSession
 
@@ -79,7 +81,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     order = F.col("doc_id").asc_nulls_first()
     (
         id_and_text(docs)
-        .repartitionByRange(partitions or shuffle_partitions(spark), order)
+        .repartitionByRange(partitions or shuffle_partitions(spark), order, F.substring("text", 1, RANGE_CHARS))
         .sortWithinPartitions(order, "text")
         .mapInArrow(shards, "shard binary")
         .select(F.col("shard").cast("string").alias("value"))
@@ -192,7 +194,7 @@ def build_index(records: DataFrame, parts: int | None = None) -> DataFrame:
         slots = find_slots(h, seeds, len(h))
         prints, places = np.zeros(len(h), "<u4"), np.zeros(len(h), LOCATION)
         prints[slots] = _fingerprints(h)
-        for field, column in (("shard", "shard"), ("offset", "offset"), ("n", "n_tokens"), ("crc", "ids_crc32")):
+        for field, column in (("shard", "shard"), ("offset", "offset"), ("n", "n_tokens")):
             places[field][slots] = pdf[column].to_numpy()
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "n": [len(h)], "seeds": [seeds.tobytes()], "fingerprints": [prints.tobytes()], "locations": [places.tobytes()]})
 
@@ -208,15 +210,15 @@ def look_up(index: DataFrame, keys: DataFrame, parts: int) -> DataFrame:
 
     def find(keys: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(keys):
-            return pd.DataFrame({c: [] for c in ("doc_id", "occurrence", "shard", "offset", "n_tokens", "ids_crc32")})
+            return pd.DataFrame({c: [] for c in ("doc_id", "occurrence", "shard", "offset", "n_tokens")})
         n, places = int(own["n"].iloc[0]), np.frombuffer(own["locations"].iloc[0], LOCATION)
         h = _key_hash(keys["doc_id"], keys["occurrence"])
         slots = find_slots(h, np.frombuffer(own["seeds"].iloc[0], "<i8"), n)
         hit = np.frombuffer(own["fingerprints"].iloc[0], "<u4")[slots] == _fingerprints(h)
         at, keys = places[slots[hit]], keys[hit]
-        return pd.DataFrame({"doc_id": keys["doc_id"], "occurrence": keys["occurrence"], "shard": at["shard"], "offset": at["offset"].astype(np.int64), "n_tokens": at["n"].astype(np.int64), "ids_crc32": at["crc"].astype(np.int64)})
+        return pd.DataFrame({"doc_id": keys["doc_id"], "occurrence": keys["occurrence"], "shard": at["shard"], "offset": at["offset"].astype(np.int64), "n_tokens": at["n"].astype(np.int64)})
 
-    return _with_part(keys, parts).groupBy("part").cogroup(index.groupBy("part")).applyInPandas(find, "doc_id long, occurrence long, shard long, offset long, n_tokens long, ids_crc32 long")
+    return _with_part(keys, parts).groupBy("part").cogroup(index.groupBy("part")).applyInPandas(find, "doc_id long, occurrence long, shard long, offset long, n_tokens long")
 
 
 def fetch_ids(spark: SparkSession, path: str, located: DataFrame) -> DataFrame:
@@ -237,10 +239,22 @@ def fetch_ids(spark: SparkSession, path: str, located: DataFrame) -> DataFrame:
     return located.groupBy("shard").cogroup(files.groupBy("shard")).applyInPandas(cut, "doc_id long, occurrence long, ids array<long>")
 
 
+def ids_before(records: DataFrame) -> DataFrame:
+    """shard, before: the ids of all earlier shards. Sums by the partition that wrote a shard come first, so one task orders those only."""
+    part = F.shiftright("shard", BLOCKS.bit_length() - 1).alias("writer")
+    shards = records.groupBy(part, "shard").agg(F.sum("n_tokens").alias("ids"))
+    writers = shards.groupBy("writer").agg(F.sum("ids").alias("all_ids"))
+    offsets = writers.select("writer", (F.sum("all_ids").over(W.orderBy("writer")) - F.col("all_ids")).alias("first"))
+    within = F.sum("ids").over(W.partitionBy("writer").orderBy("shard")) - F.col("ids")
+    return shards.withColumn("within", within).join(offsets, "writer").select("shard", (F.col("first") + F.col("within")).alias("before"))
+
+
 def token_output(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
     """Writes shards and index, then finds every document through the index.
 
-    Returns doc_id, occurrence, start (ids of all documents before it), shard, offset, n_tokens, ids_crc32.
+    The index gives a key's shard, offset and length; what the files hold there gives the crc32 of its ids. A key that
+    the index would place wrongly meets no payload and gives no row. Returns doc_id, occurrence, start (ids of all
+    documents before it), shard, offset, n_tokens, ids_crc32.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
@@ -250,9 +264,9 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     build_index(records, parts).write.parquet(path + "/index")
     index = spark.read.parquet(path + "/index")
     keys = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("occurrence"))
-    totals = records.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
-    before = totals.select("shard", (F.sum("ids").over(W.orderBy("shard")) - F.col("ids")).alias("before"))
-    return look_up(index, keys, parts).join(before, "shard").select("doc_id", "occurrence", (F.col("before") + F.col("offset")).alias("start"), "shard", "offset", "n_tokens", "ids_crc32")
+    payload = records.select("shard", "offset", "n_tokens", "ids_crc32")
+    found = look_up(index, keys, parts).join(payload, ["shard", "offset", "n_tokens"])
+    return found.join(ids_before(records), "shard").select("doc_id", "occurrence", (F.col("before") + F.col("offset")).alias("start"), "shard", "offset", "n_tokens", "ids_crc32")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
