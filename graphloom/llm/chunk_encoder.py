@@ -38,7 +38,7 @@ def cuts_at_white_space(settings: dict) -> bool:
 class ChunkEncoder:
     """path: a tokenizers JSON file. limit: chunks in each of the cache's two generations."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 320_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
