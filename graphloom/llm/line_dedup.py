@@ -1,17 +1,23 @@
 """Line dedup with levelled sorted runs of line hashes, in DataFrame operations only.
 
-A line's key is the line stripped of ASCII white space at both ends, with A-Z lower-cased. A run is a table of
-(h1, h2, n_docs, last_doc), sorted by hash: two independent 64-bit hashes of a key, the number of documents that hold
-it and the largest id among them. Each batch of documents adds its own run at level 0; ``FANOUT`` runs of a level are
-merged into one of the next. Documents are then merge-anti-joined with the runs: a key of ``min_chars`` code points or
-more in at least ``min_docs`` documents loses all its lines but in the largest id that holds it.
+A line's key is the line stripped of ASCII white space at both ends, with A-Z lower-cased; its hash is two independent
+64-bit hashes. A run is a bucketed table of (h1, h2, n_docs, last_doc), sorted by hash within its buckets: the number of
+documents that hold a key and the largest id among them. No key stands in two runs.
 
-Counts are summed before they are shuffled, so a line that every document holds costs one row per task. Texts meet
-their dropped keys in one join by id.
+Each new batch of documents is summed to its keys and merge-joined with every run. Runs and batch lie in the same
+buckets, so no row moves. Keys that no run knows (the anti-join) become the batch's own run at level 0; known keys
+become rows of a table of changes. ``FANOUT`` runs of a level are merged into one of the next. So the first sight of a key is written
+once and merged a logarithmic number of times, and only keys that come again are ever summed up anew.
+
+Documents are then anti-joined: a key of ``min_chars`` code points or more in at least ``min_docs`` documents loses
+all its lines but in the largest id that holds it. Frequent keys come from the changes and the runs' rows of the same keys.
+
+Counts are summed before they are shuffled, so a line that every document holds costs one row per task. Lines are split
+and hashed once; texts meet their dropped keys in one join by id and a hash of the text, which spreads rows without an id.
 
 Edge cases: null or empty text is one empty line; a null id is smaller than any other, and keys that only rows without
 an id hold keep their lines; each of the rows of a repeated id counts as a document; an empty table gives no row;
-further columns are ignored.
+further columns are ignored. A text of very many lines is one row throughout.
 """
 
 from __future__ import annotations
@@ -19,10 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, WHITE, ascii_lower, fresh_path, id_and_text, read
+from .common import ASCII_LOWER, ASCII_UPPER, WHITE, ascii_lower, fresh_path, id_and_text, read, shuffle_partitions
 
-FANOUT = 4
+FANOUT, BATCHES = 4, 5
 RUN = "h1 long, h2 long, n_docs long, last_doc long"
+KEYS = "doc_id long, text_hash long, h1 long, h2 long, added int, batch int"
 
 
 def stripped(line: Column) -> Column:
@@ -46,35 +53,55 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(*rest, F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key")).select(*rest, key_hash(F.col("key")).alias("h")).select(*rest, "h.h1", "h.h2")
 
 
+def with_hash(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
 class LineRuns:
-    """The runs below a folder, as lists of tables by level."""
+    """The runs below a folder, as lists of table names by level; tables of changes; and a folder of the documents' keys."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.levels, self.written = spark, path or fresh_path(spark, "line-runs"), [[]], 0
+        self.spark, self.path, self.levels = spark, path or fresh_path(spark, "line-runs"), [[]]
+        self.buckets, self.written, self.changes, self.added = shuffle_partitions(spark), 0, [], 0
 
-    def _place(self, df: DataFrame) -> str:
-        to = f"{self.path}/run-{self.written}"
-        self.written += 1
-        df.select("h1", "h2", "n_docs", "last_doc").sortWithinPartitions("h1", "h2").write.parquet(to)
-        return to
+    def _place(self, df: DataFrame, *parts: str) -> str:
+        """df as a bucketed table in the shared folder, one sorted file for each bucket."""
+        folder = self.path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+        name, self.written = f"{folder}_{self.written}", self.written + 1
+        writer = df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.path}/{name}")
+        (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+        return name
 
-    def read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths)
+    def _read(self, name: str) -> DataFrame:
+        table = self.spark.table(name)
+        return (table.where("not known") if "known" in table.columns else table).select("h1", "h2", "n_docs", "last_doc")
 
-    def merged(self, paths: list[str]) -> DataFrame:
-        return self.read(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def runs(self) -> list[DataFrame]:
+        return [self._read(name) for level in self.levels for name in level]
 
     def add(self, docs: DataFrame, min_chars: int, batches: int = 1) -> None:
-        """Adds a run for each of the batches that docs is dealt into by id; all are summed in one pass over docs."""
-        dealt = id_and_text(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-        runs = document_keys(dealt, min_chars).groupBy("batch", "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        to = f"{self.path}/batch-{self.written}"
-        self.written += 1
-        runs.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(to)
-        written = self.spark.read.schema(f"{RUN}, batch int").parquet(to).select("batch").distinct().collect()
-        for b in sorted(row.batch for row in written):
-            self.levels[0].append(f"{to}/batch={b}")
-            self._compact()
+        """Adds docs in batches by a hash of the id. Their lines are split and hashed once, before the first batch."""
+        dealt = with_hash(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+        document_keys(dealt, min_chars).write.partitionBy("batch").parquet(f"{self.path}/keys/added={self.added}")
+        keys = self.keys().where(F.col("added") == self.added)
+        self.added += 1
+        for b in range(batches):
+            self._add_batch(keys.where(F.col("batch") == b))
+
+    def keys(self) -> DataFrame:
+        return self.spark.read.schema(KEYS).parquet(f"{self.path}/keys")
+
+    def _add_batch(self, keys: DataFrame) -> None:
+        own = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        known = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            own = own.join(run.select("h1", "h2", F.lit(True).alias(f"in_{i}")), ["h1", "h2"], "left")
+            known = known | F.col(f"in_{i}").isNotNull()
+        marked = own.select("h1", "h2", "n_docs", "last_doc", known.alias("known")).repartition(self.buckets, "h1", "h2")
+        name = self._place(marked, "known")
+        self.levels[0].append(name)
+        self.changes.append(name)
+        self._compact()
 
     def _compact(self) -> None:
         level = 0
@@ -82,39 +109,44 @@ class LineRuns:
             full, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._place(self.merged(full)))
+            merged = self._read(full[0])
+            for name in full[1:]:
+                merged = merged.unionByName(self._read(name))
+            self.levels[level + 1].append(self._place(merged.repartition(self.buckets, "h1", "h2")))
             level += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Keys in at least min_docs documents, over all runs."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], RUN)
-        runs = self.read(paths) if len(paths) == 1 else self.merged(paths)
-        return runs.where(F.col("n_docs") >= min_docs)
+        """Keys in at least min_docs documents, over all runs and changes."""
+        changes = self.spark.createDataFrame([], RUN)
+        for name in self.changes:
+            changes = changes.unionByName(self.spark.table(name).where("known").select("h1", "h2", "n_docs", "last_doc"))
+        again = changes.select("h1", "h2", F.lit(True).alias("again")).distinct()
+        rows = changes
+        for run in self.runs():
+            rows = rows.unionByName(run.join(again, ["h1", "h2"], "left").where(F.col("again") | (F.col("n_docs") >= min_docs)).drop("again"))
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")).where(F.col("n_docs") >= min_docs)
 
 
 def anti_join(docs: DataFrame, runs: LineRuns, min_chars: int, min_docs: int) -> DataFrame:
-    """doc_id, kept (text), n_lines, n_dropped of every row of docs, against the runs."""
-    docs = id_and_text(docs)
+    """doc_id, kept (text), n_lines, n_dropped of every row of docs, which have been added to the runs."""
+    docs = with_hash(docs)
     gone = (
-        document_keys(docs, min_chars)
-        .join(runs.frequent(min_docs), ["h1", "h2"])
+        runs.keys().join(runs.frequent(min_docs), ["h1", "h2"])
         .where("last_doc is not null and not (doc_id <=> last_doc)")
-        .groupBy(F.col("doc_id").alias("gone_id"))
+        .groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     )
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~((F.char_length(stripped(x)) >= min_chars) & F.array_contains(F.col("gone"), key_hash(line_key(x)))))
     return (
-        docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+        docs.join(gone, (F.col("text_hash") == F.col("gone_hash")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
         .select("doc_id", lines.alias("lines"), F.when(F.col("gone").isNull(), lines).otherwise(kept).alias("left"))
         .select("doc_id", F.array_join("left", "\n").alias("kept"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"))
     )
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = FANOUT) -> DataFrame:
-    """Adds docs to fresh runs, then dedups docs against them."""
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES) -> DataFrame:
+    """Adds docs to fresh runs, batch by batch, then dedups docs against them."""
     runs = LineRuns(docs.sparkSession)
     runs.add(docs, min_chars, batches)
     return anti_join(docs, runs, min_chars, min_docs)

@@ -67,6 +67,9 @@ def test_batches_and_compaction_equal_one_pass(spark):
     for b in range(6):
         runs.add(docs.where(F.col("doc_id") % 6 == b), 40)
     assert [len(level) for level in runs.levels] == [2, 1]
+    held = [{(r.h1, r.h2) for r in run.collect()} for run in runs.runs()]
+    assert sum(map(len, held)) == len(set().union(*held)) == 5  # the anti-join: no key is in two runs, and the batches after the first bring changes only
+    assert [spark.table(c).where("known").count() for c in runs.changes] == [0, 5, 5, 5, 5, 5]
     got = line_dedup.anti_join(docs, runs, 40, 5).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256)).collect()
     assert sorted([tuple(r) for r in got], key=str) == plain_dedup(rows)
 
