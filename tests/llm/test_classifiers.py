@@ -31,8 +31,9 @@ def gap(swap_weight):
     """How far naming a group moves the logit of a neutral sentence."""
     names = sorted({f for t, _ in LABELLED for w in toxicity.words_of(t) for f in toxicity.features_of(w) if f.startswith("=")} | {"=men", "=girls", "=people"})
     number = {f: i for i, f in enumerate(names)}
-    sets = [(y, toxicity.feature_numbers(t, number), [[toxicity.feature_numbers(a, number), toxicity.feature_numbers(b, number)] for a, b in toxicity.rewritings(t)]) for t, y in LABELLED]
-    weights, constant = toxicity.fit_logistic(sets, len(names), swap_weight)
+    sets = [(y, toxicity.feature_numbers(t, number)) for t, y in LABELLED]
+    swapped = [(*k, n) for k, n in toxicity.swap_changes([t for t, _ in LABELLED], number).items()]
+    weights, constant = toxicity.fit_logistic(sets, swapped, len(names), swap_weight)
     model = toxicity.ToxicityModel(dict(zip(names, weights.tolist())), constant, f"test-{swap_weight}")
     a, b, toxic = model.scores(["we met some women", "we met some people", "worthless scum"])
     assert toxic > 0.5
@@ -40,8 +41,30 @@ def gap(swap_weight):
 
 
 def test_swaps_reduce_the_effect_of_naming_a_group():
-    assert gap(5.0) < 0.3 * gap(0.0)
-    assert ("women are here", "people are here") in toxicity.rewritings("women are here")
+    assert gap(20.0) < 0.3 * gap(0.0)
+    assert ("women are here", "people are here") in toxicity.rewritings("women are here") and len(toxicity.rewritings("women are here")) == 4
+
+
+def test_swaps_of_sentences():
+    assert toxicity.swaps("") == [] and {(a, b) for _, a, b in toxicity.swaps("Women, here!")} == {("women", b) for b in ("men", "girls", "boys", "people")}
+    put_in = toxicity.swaps("nothing named. nor here")
+    assert {frozenset(rest) for rest, _, _ in put_in} == {frozenset({"nothing", "named"}), frozenset({"nor", "here"})}
+
+
+def test_the_penalty_acts_on_the_query_s_own_data(spark):
+    """Without it, names that share runs of characters with insults raise the score of a neutral sentence; with it they don't."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    clean = [r.text for r in docs.join(labels.where("toxic = 0 and quality = 1"), "doc_id").orderBy("doc_id").limit(40).collect()]
+    names = [w for _, own in toxicity.IDENTITY for w in own]
+    moved, wrong = {}, {}
+    for weight in (0.0, toxicity.SWAP_WEIGHT):
+        model = toxicity.fit(docs, labels, swap_weight=weight)
+        logit = [np.log(s / (1 - s)) for s in np.clip(model.scores(["", *[f"the {w} came" for w in names]]), 1e-12, 1 - 1e-12)]
+        moved[weight] = max(abs(x - logit[0]) for x in logit[1:])
+        scores = model.scores([f"{t[:60]} {w}" for t in clean for w in names])
+        wrong[weight] = float((scores >= 0.5).mean())
+    assert moved[0.0] > 0.2 and moved[toxicity.SWAP_WEIGHT] < 0.5 * moved[0.0]
+    assert wrong[toxicity.SWAP_WEIGHT] <= wrong[0.0] and wrong[toxicity.SWAP_WEIGHT] < 0.01
 
 
 @pytest.mark.parametrize("labelled", [[], [(3, 1)], [(3, 1), (4, 0), (5, 1), (8, 0), (None, 1), (6, None), (6, 1)]])
