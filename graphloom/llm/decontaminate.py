@@ -6,12 +6,16 @@ that place, on diagonals (document position minus item position) at most e apart
 overlapping bands of 2e + 2 diagonals, each starting e + 1 after the last; bands that reach T are verified by banded
 alignment of the whole item. e is ``rate`` of the item's length, less where T would not stay positive.
 
+Items of fewer than q characters have no q-gram; they are found where they stand exactly, as whole words.
+
 Documents are scanned whole, in the tasks that read them, with no shuffle: rolling hashes of all q-grams, a bit table
-that only q-grams of the benchmark pass, then exact postings. The benchmark is dealt to blocks of at most
+that only q-grams of the benchmark pass, then exact postings, counted ``POSTINGS`` at a time so that repetitive texts
+take time but no memory. The benchmark is dealt to blocks of at most
 ``BLOCK_CHARS`` characters by a count of its size; a block is broadcast, and the documents are scanned once for each.
 
-Edge cases: null texts are empty; items shorter than q folded characters identify nothing and are left out; null item
-ids are kept as null; repeated items are items of their own; empty tables give no row; further columns are ignored.
+Edge cases: null texts are empty; items without a folded character identify nothing and are left out; null item
+ids are kept as null; repeated items are items of their own; of equally good places of an item the earliest is told;
+empty tables give no row; further columns are ignored; a very long text is one row, scanned in memory proportional to it.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from .common import read
 
 Q, RATE = 12, 0.06
 BLOCK_CHARS = 8_000_000
+POSTINGS = 1 << 20
 TABLE_BITS = 21  # a table that stays in a core's cache
 _FOLDED: list = []
 
@@ -86,7 +91,8 @@ class Block:
 
     def __init__(self, items: list[tuple], q: int = Q, rate: float = RATE):
         self.q = q
-        self.ids, self.texts = [i for i, t in items if len(t) >= q], [t for _, t in items if len(t) >= q]
+        items = sorted((x for x in items if len(x[1])), key=lambda x: len(x[1]) < q)  # short ones come last
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.budgets = np.array([edit_budget(len(t), q, rate) for t in self.texts], np.int64)
         self.needed = self.sizes - q + 1 - q * self.budgets
@@ -97,10 +103,48 @@ class Block:
         self.at = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, np.int64)])[order]
         self.grams, self.first = np.unique(h[order], return_index=True)
         self.last = np.append(self.first[1:], len(h))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in sorted({int(m) for m in self.sizes if m < q}):
+            own = np.flatnonzero(self.sizes == m)
+            h = np.array([gram_hashes(self.texts[i], m)[0] for i in own], np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.short[m] = h[order], own[order]
         self.table = None
 
     def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item number, edits, start, end) of each item found in the folded text, its best place."""
+        return [*self._long_matches(text), *self._short_matches(text)]
+
+    def _short_matches(self, text: np.ndarray):
+        for m, (hashes, items) in self.short.items():
+            h = gram_hashes(text, m)
+            edge = np.concatenate([[True], text == 32, [True]])  # of a place: whether it begins or ends a word
+            where = np.flatnonzero(edge[: len(h)] & edge[m + 1 : m + 1 + len(h)]) if len(h) else np.zeros(0, np.int64)
+            low, high = np.searchsorted(hashes, h[where]), np.searchsorted(hashes, h[where], side="right")
+            found: dict[int, int] = {}
+            for d, a, b in zip(where[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
+                for i in items[a:b].tolist():
+                    if i not in found and np.array_equal(text[d : d + m], self.texts[i]):
+                        found[i] = d
+            yield from ((i, 0, d, d + m) for i, d in sorted(found.items()))
+
+    def _band_counts(self, where: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys (item, band) and their shared q-grams, of the text's q-grams k at the places where; a slice of postings at a time."""
+        n = self.last[k] - self.first[k]
+        ends = np.cumsum(n)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for low in range(0, int(ends[-1]), POSTINGS):
+            high = min(low + POSTINGS, int(ends[-1]))
+            number = np.arange(low, high)
+            source = np.searchsorted(ends, number, side="right")
+            post = self.first[k[source]] + number - (ends[source] - n[source])
+            item = self.item[post]
+            own, count = np.unique((item << 32) + (where[source] - self.at[post]) // (self.budgets[item] + 1) + (1 << 24), return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, count])).astype(np.int64)
+        return keys, counts
+
+    def _long_matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         if self.table is None:
             self.table = np.zeros(1 << TABLE_BITS, bool)
             self.table[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
@@ -112,28 +156,23 @@ class Block:
         k = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         same = self.grams[k] == own
         where, k = where[same], k[same]
-        n = self.last[k] - self.first[k]
-        post = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = self.item[post], np.repeat(where, n) - self.at[post]
-        width = self.budgets[item] + 1
-        band = diagonal // width
-        keys = (item << 32) + band + (1 << 24)
-        keys, count = np.unique(keys, return_counts=True)
+        if not len(where):
+            return []
+        keys, count = self._band_counts(where, k)
         below = np.searchsorted(keys, keys - 1)  # a band's diagonals are its own and those of the next
         above = np.minimum(np.searchsorted(keys, keys + 1), len(keys) - 1)
         both = np.concatenate([keys, keys - 1])
         sums = np.concatenate([count + np.where(keys[above] == keys + 1, count[above], 0), np.where(keys[below] == keys - 1, 0, count)])
         best: dict[int, tuple[int, int, int]] = {}
-        for key in both[sums >= self.needed[both >> 32]].tolist():
+        for key in np.unique(both[sums >= self.needed[both >> 32]]).tolist():
             i, b = key >> 32, (key & 0xFFFFFFFF) - (1 << 24)
             if best.get(i, (1,))[0] == 0:
                 continue
             e, m = int(self.budgets[i]), int(self.sizes[i])
             low = b * (e + 1)  # the band holds the diagonals low .. low + 2e + 1
-            own = diagonal[(item == i) & (diagonal >= low) & (diagonal <= low + 2 * e + 1)]
-            d = int(np.bincount(own - low).argmax()) + low
-            if 0 <= d and np.array_equal(text[d : d + m], self.texts[i]):
-                best[i] = (0, d, d + m)  # no alignment has fewer edits
+            exact = _exact_place(text, self.texts[i], max(low, 0), low + 2 * e + 1)
+            if exact is not None:
+                best[i] = (0, exact, exact + m)  # no alignment has fewer edits
                 continue
             found = banded_alignment(self.texts[i], text, low - e, low + 3 * e + 1)
             if found and found[0] <= e and (i not in best or found < best[i]):
@@ -141,6 +180,15 @@ class Block:
         return [(i, *v) for i, v in sorted(best.items())]
 
 
+def _exact_place(text: np.ndarray, item: np.ndarray, first: int, last: int) -> int | None:
+    """The first start of the item in the text between first and last."""
+    part, own, at = text[first : last + len(item)].tobytes(), item.tobytes(), -1
+    while (at := part.find(own, at + 1)) >= 0:
+        if at % text.itemsize == 0:
+            return first + at // text.itemsize
+    return None
+
+
 def banded_alignment(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best alignment of the whole of a within b on diagonals low..high; None without any."""
     far, offsets = 1 << 20, np.arange(low, high + 1)

@@ -50,6 +50,25 @@ def test_operator(spark, odd_docs, no_docs):
     assert dc.contaminated(no_docs, benchmark).count() == 0 and dc.clean(odd_docs, benchmark.limit(0)).count() == odd_docs.count()
 
 
+def test_short_items_are_whole_words():
+    block = dc.Block([(k, dc.fold(t)) for k, t in enumerate(["Cat", "a cat", "!!", "", "twelve chars", "eleven char", "a"])])
+    got = lambda text: {block.ids[i]: (e, a, z) for i, e, a, z in block.matches(dc.fold(text))}
+    assert got("The cat; concat a CAT.") == {0: (0, 4, 7), 1: (0, 15, 20), 6: (0, 15, 16)}
+    assert got("cat") == {0: (0, 0, 3)} and got("scat cats") == {} and got("") == {}
+    assert got("these twelve chars") == {4: (0, 6, 18)} and got("eleven char") == {5: (0, 0, 11)} and got("eleven chars") == {}
+
+
+def test_repetitive_texts_are_counted_in_slices(monkeypatch):
+    items = [(1, dc.fold("ab" * 40)), (2, dc.fold("a" * 60)), (3, dc.fold("xyz " * 20))]
+    texts = [dc.fold(t) for t in ("ab" * 300, "a" * 500, "b" + "ab" * 39 + "c", "xyz xyz " * 40, "a" * 59)]
+    whole = [dc.Block(items).matches(t) for t in texts]
+    monkeypatch.setattr(dc, "POSTINGS", 97)
+    assert [dc.Block(items).matches(t) for t in texts] == whole
+    for t, found in zip(texts, whole):
+        assert {i: e for i, e, _, _ in found} == {i: plain_edits(t2, t) for i, (_, t2) in enumerate(items) if plain_edits(t2, t) <= dc.edit_budget(len(t2))}
+    assert whole[0][0][2] == 0 and whole[3][0][2] == 0  # of equal places the earliest
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
