@@ -5,18 +5,24 @@ centres; codes and centres minimise the residual with its part along the vector
 2020), which is the part that changes large scores. Codebooks are fitted on a bounded sample; every row is indexed.
 
 Equal vectors become one row with the k + 1 smallest ids, which is all that a list of k without the query itself can
-need. Rows and queries are dealt to blocks; each task scans one block of rows for one block of queries: per query a
-table of 16 scores for each subspace, two of which are read as one byte, then the ``rerank`` best rows of the block
-are scored exactly on the original vectors in double precision. The best k of all blocks are the result.
-
-Edge cases: vectors that are null, zero or hold a null or non-finite component, rows without an id and vectors whose
-length is not the commonest one take no part; ties go to the smaller id; repeated rows count once, and an id of
-several vectors is as near as its nearest one; with fewer than k candidates all are returned; an empty table gives no
-row; further columns are ignored.
+need. Codes (half a byte for each two dimensions) and queries are dealt to blocks; each task scans one block of codes for one
+block of queries: per query a table of 16 scores for each subspace, two of which are read as one byte. Only codes are
+copied, once for each ``QUERY_ROWS`` queries; of every block and then of all blocks the best ``rerank_depth`` rows of a query go
+on, their original vectors are fetched by one join, and scored exactly in double precision. The best k are the result.
+
+Every code is compared with every query: a coarse partition of cells would save work where vectors cluster, but on
+vectors without clusters half of all cells must be probed for nine of ten neighbours.
+
+Edge cases: vectors that are null, zero or hold a null or non-finite component and rows without an id take no part; vectors
+of each length are searched among themselves; ties go to the smaller id; repeated rows count once, and an id of
+several vectors, as query or as row, is as near as its nearest one; with fewer than k candidates all are returned; an empty
+table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,10 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, shuffle_partitions
 
 CENTRES, FIT_ROWS = 16, 10_000
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+BLOCK_ROWS, QUERY_ROWS = 1 << 17, 1 << 13
+RERANK, RERANK_ROWS, RERANK_POWER = 128, 8192, 0.4
 
 
 def usable(vector: Column) -> Column:
@@ -102,13 +109,14 @@ class AnisotropicQuantiser:
         return np.stack([(f[:, :, None] + s[:, None, :]).reshape(len(queries), CENTRES * CENTRES) for f, s in zip(own[::2], own[1::2])], axis=1).astype(np.float32)
 
 
-def scan(tables: np.ndarray, packed: np.ndarray, most: int) -> np.ndarray:
-    """Per query, the rows of the largest approximate scores."""
+def scan(tables: np.ndarray, packed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query, the rows of the largest approximate scores, and these."""
     score = np.zeros((len(tables), len(packed)), np.float32)
     for p in range(packed.shape[1]):
         score += tables[:, p].take(packed[:, p], axis=1)
     most = min(most, len(packed))
-    return np.argpartition(-score, most - 1, axis=1)[:, :most]
+    near = np.argpartition(-score, most - 1, axis=1)[:, :most]
+    return near, np.take_along_axis(score, near, axis=1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -117,85 +125,108 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Of one vector with each row, in double precision; equal rows give equal values."""
-    return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+    """Of each pair of rows, in double precision; equal rows give equal values."""
+    return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, vector of the rows that take part."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    top = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    return rows.where(F.size("vector") == (top.dim if top else 0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """vector, ids (the k + 1 smallest), first: one row for each vector."""
     first = W.partitionBy("vector").orderBy("vec_id")
     few = rows.distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
-    return few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("first", F.col("ids")[0])
+    return few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("row", F.xxhash64("vector"))
 
 
-def fit_quantiser(index: DataFrame, fit_rows: int = FIT_ROWS) -> AnisotropicQuantiser | None:
-    """On a share of the vectors, chosen by a hash, of about fit_rows rows at most."""
-    n = index.count()
-    share = index if n <= fit_rows else index.where(F.pmod(F.xxhash64("first", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
-    sample = share.orderBy("first").select("vector").toPandas()["vector"]
-    return AnisotropicQuantiser(unit(np.stack(sample.to_numpy()))) if len(sample) else None
+def rerank_depth(n: int, least: int = RERANK) -> int:
+    """Rows that are scored exactly for each query: more of them as n rows crowd nearer to each other."""
+    return math.ceil(least * max(1.0, n / RERANK_ROWS) ** RERANK_POWER)
+
 
+def fit_quantiser(index: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> AnisotropicQuantiser:
+    """On a share of the n vectors, chosen by a hash, of about fit_rows rows at most."""
+    share = index if n <= fit_rows else index.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
+    sample = share.orderBy("row").select("vector").toPandas()["vector"]
+    return AnisotropicQuantiser(unit(np.stack(sample.to_numpy())))
+
+
+def codes(index: DataFrame, quantiser: AnisotropicQuantiser) -> DataFrame:
+    """row, code of every distinct vector."""
 
-def with_codes(index: DataFrame, quantiser: AnisotropicQuantiser) -> DataFrame:
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), float)
+                x = np.array(batch.column(1).to_pylist(), float)
                 packed = quantiser.pack(quantiser.encode(unit(x)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in packed], pa.binary())], ["vector", "ids", "first", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in packed], pa.binary())], ["row", "code"])
 
-    return index.select("vector", "ids", "first").mapInArrow(encode, "vector array<double>, ids array<long>, first long, code binary")
+    return index.select("row", "vector").mapInArrow(encode, "row long, code binary")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 96, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of queries (vec_id, vector) its k nearest other rows of vectors."""
-    spark, out = vectors.sparkSession, "query_id long, vec_id long, score double"
-    rows = usable_vectors(vectors)
-    distinct = materialize(distinct_vectors(rows, k), "distinct-vectors")
-    quantiser = fit_quantiser(distinct)
-    if quantiser is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n_blocks = max(1, -(-distinct.count() // block_rows))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).distinct()
-    n_asked = max(1, -(-asked.count() // query_rows))
+def scanned(coded: DataFrame, asked: DataFrame, quantiser: AnisotropicQuantiser, n: int, depth: int, block_rows: int, query_rows: int) -> DataFrame:
+    """asked_row, row: of each query (asked_row, query) the depth rows of the largest approximate scores."""
+    tasks = min(shuffle_partitions(coded.sparkSession), max(1, n // 4096))
+    n_blocks, n_parts = max(tasks, -(-n // block_rows)), max(1, -(-asked.count() // query_rows))
 
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def every(k):
+        return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
 
-    left = with_codes(distinct, quantiser).withColumn("block", F.pmod(F.xxhash64("first"), F.lit(n_blocks)).cast("int")).withColumn("part", every(n_asked))
-    right = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int")).withColumn("block", every(n_blocks))
+    left = coded.withColumn("block", F.pmod("row", F.lit(n_blocks)).cast("int")).withColumn("part", every(n_parts))
+    right = asked.withColumn("part", F.pmod("asked_row", F.lit(n_parts)).cast("int")).withColumn("block", every(n_blocks))
 
     def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [[], [], []]
         if len(own) and len(asked):
-            own = own.sort_values("first", kind="stable")
-            x = np.stack(own["vector"].to_numpy()).astype(float)
-            packed = np.stack([np.frombuffer(c, np.uint8) for c in own["code"]])
-            ids, q = own["ids"].to_list(), np.stack(asked["query"].to_numpy()).astype(float)
-            for at in range(0, len(q), 32):
-                rows = scan(quantiser.tables(unit(q[at : at + 32])), packed, rerank)
-                for i, near in enumerate(rows, at):
-                    me, score = int(asked["query_id"].iloc[i]), cosines(q[i], x[near])
-                    cut = np.partition(score, -min(k + 1, len(score)))[-min(k + 1, len(score))]
-                    for least in (cut, -np.inf):  # all rows only where an id of several vectors took more than one place
-                        nearest = {}
-                        for s, v in ((s, int(v)) for s, r in zip(score.tolist(), near.tolist()) if s >= least for v in ids[r] if v != me):
-                            nearest[v] = max(s, nearest.get(v, s))
-                        if len(nearest) >= k:
-                            break
-                    found += [(me, v, s) for v, s in sorted(nearest.items(), key=lambda x: (-x[1], x[0]))[:k]]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    pairs = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, out)
+            packed, rows = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1), own["row"].to_numpy()
+            q, ids = np.stack(asked["query"].to_numpy()).astype(float), asked["asked_row"].to_numpy()
+            step = max(1, (1 << 22) // len(own))
+            for at in range(0, len(q), step):
+                near, score = scan(quantiser.tables(unit(q[at : at + step])), packed, depth)
+                for column, values in zip(found, (np.repeat(ids[at : at + step], near.shape[1]), rows[near].ravel(), score.ravel())):
+                    column.append(values)
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in zip(("asked_row", "row", "score"), found)})
+
+    pairs = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, "asked_row long, row long, score float")
+    place = F.row_number().over(W.partitionBy("asked_row").orderBy(F.desc("score"), "row"))
+    return pairs.withColumn("place", place).where(F.col("place") <= depth).select("asked_row", "row")
+
+
+def exact_scores(pairs: DataFrame) -> DataFrame:
+    """query_id, ids, score of rows (query_id, query, ids, vector)."""
+
+    def score(batches):
+        for batch in batches:
+            if batch.num_rows:
+                q, x = (np.array(batch.column(c).to_pylist(), float) for c in ("query", "vector"))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(cosines(q, x))], ["query_id", "ids", "score"])
+
+    return pairs.select("query_id", "query", "ids", "vector").mapInArrow(score, "query_id long, ids array<long>, score double")
+
+
+def _of_one_length(rows: DataFrame, asked: DataFrame, k: int, rerank: int, block_rows: int, query_rows: int) -> DataFrame:
+    index = materialize(distinct_vectors(rows, k), "distinct-vectors")
+    n = index.count()
+    quantiser, depth = fit_quantiser(index, n), max(rerank_depth(n, rerank), k + 1)
+    queries = materialize(asked.withColumn("asked_row", F.xxhash64("query_id", "query")), "asked")
+    near = scanned(materialize(codes(index, quantiser), "codes"), queries, quantiser, n, depth, block_rows, query_rows)
+    return exact_scores(near.join(index, "row").join(queries, "asked_row"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of queries (vec_id, vector) its k nearest other rows of vectors."""
+    spark = vectors.sparkSession
+    rows = usable_vectors(vectors)
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).distinct()
+    scored = spark.createDataFrame([], "query_id long, ids array<long>, score double")
+    for dim in sorted(r.dim for r in rows.select(F.size("vector").alias("dim")).distinct().collect()):
+        own = asked.where(F.size("query") == dim)
+        scored = scored.unionByName(_of_one_length(rows.where(F.size("vector") == dim), own, k, rerank, block_rows, query_rows))
     # an id with several vectors, as query or as row, meets the same neighbour more than once
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

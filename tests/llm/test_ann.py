@@ -33,6 +33,33 @@ def test_recall_against_brute_force(spark):
     assert sum(len(set(got[q].values()) & set(want[q])) for q in want) >= 0.95 * 5 * len(want)
 
 
+def test_recall_of_the_query(spark):
+    """Against every pair of the table, and exact scores."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids, x = np.array(list(rows)), ann.unit(np.array(list(rows.values())))
+    got, hits = {}, 0
+    for r in ann.op5_ann(spark, "/root/testdata/sf0.1").collect():
+        a, b = rows[r.query_id], rows[r.vec_id]
+        assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [i for i in ids.tolist() if i % 50 == 0]
+    assert sorted(got) == asked and all(len(v) == 5 for v in got.values())
+    for q in asked:
+        score = x @ x[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -2
+        hits += len(got[q] & set(ids[np.argsort(-score)[:5]].tolist()))
+    assert hits >= 0.98 * 5 * len(asked)
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    vectors = frame(spark, [(i, [1.0, i / 10]) for i in range(6)] + [(i, [1.0, 1.0, i / 10]) for i in range(50, 53)] + [(100, [1.0])])
+    got = {}
+    for r in ann.search(vectors, ann.usable_vectors(vectors).where("vec_id % 50 = 0"), k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [1, 2, 3], 50: [51, 52]}
+
+
 def test_anisotropic_codes_keep_the_part_along_the_vector():
     x = ann.unit(np.random.default_rng(1).normal(size=(800, 16)))
     error = {}
