@@ -8,7 +8,8 @@ sub-buckets, and each pair of sub-buckets is a task group of its own, so no grou
 only a spanning star of each linked set is emitted (never all pairs), and the stars are joined by connected components.
 
 Edge cases: null text is empty; no words give fingerprint 0, linked like any other; rows without an id get their
-fingerprint and no component; repeated ids keep their rows; an empty table gives no row; further columns are ignored.
+fingerprint and no component; repeated ids keep their rows; an empty table gives no row; further columns are ignored; a
+very long text is hashed whole, 16,384 shingles at a time.
 """
 
 from __future__ import annotations
@@ -47,12 +48,12 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def apply(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return id_and_text(docs).mapInArrow(apply, "doc_id long, fp long")
@@ -149,10 +150,16 @@ def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def rows_that_stay(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of docs for each doc_id of kept, and the rows without an id."""
-    some = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in ("text", "lang", "source") if c in docs.columns])
-    return some.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of docs for each doc_id of kept, and the rows without an id.
+
+    An id that stands in several rows keeps the one of the smallest text hash; equal texts are settled by the other columns.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    some = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64("text").alias("h")).where("kept_id is not null")
+    some = some.join(kept.select(F.col("doc_id").alias("kept_id")), "kept_id", "left_semi")
+    first = W.partitionBy("kept_id").orderBy("h", *[F.col(f"row.{c}") for c in ("text", "lang", "source") if c in docs.columns])
+    some = some.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
+    return some.unionByName(docs.where("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from test_decontaminate import as_text
-from test_simhash import plain_components, plain_fingerprint
+from test_near_copies import brute_force
 from test_token_output import expected
 
 import corpus_pipeline
@@ -14,6 +14,20 @@ from graphloom.llm import decontaminate, mixing, quality
 SF = "/root/testdata/sf0.001"
 
 
+def plain_scores(x, y, test, alpha=0.1, gamma=0.05):
+    """Posterior of label 1 under two shrunk Gaussians, by solving with the covariances themselves."""
+    parts = {v: x[y == v] for v in (0, 1)}
+    own = {v: np.cov(p.T, bias=True) for v, p in parts.items()}
+    pooled = sum(len(p) * own[v] for v, p in parts.items()) / len(x)
+    density = []
+    for v, p in parts.items():
+        c = (1 - alpha) * own[v] + alpha * pooled
+        c = (1 - gamma) * c + gamma * np.diag(np.diag(c)) + 1e-6 * np.eye(len(c))
+        gap = test - p.mean(axis=0)
+        density.append(np.log(len(p) / len(x)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,ij->i", gap, np.linalg.solve(c, gap.T).T))
+    return 1 / (1 + np.exp(density[0] - density[1]))
+
+
 def test_run_against_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
@@ -22,10 +36,12 @@ def test_run_against_plain_version(spark):
 
     train = docs.merge(labels, on="doc_id")
     train = train[[zlib.crc32(str(d).encode()) % 5 != 0 for d in train["doc_id"]]]
-    x, y = quality._matrix(train["text"].tolist()), train["quality"].to_numpy()
-    model = quality.QuadraticDiscriminant({v: (float((y == v).sum()), x[y == v].sum(0), x[y == v].T @ x[y == v]) for v in (0, 1)})
-    docs = docs[model.score(quality._matrix(docs["text"].tolist())) >= 0.3]
-    root = plain_components([(int(d), plain_fingerprint(t)) for d, t in zip(docs["doc_id"], docs["text"])])
+
+    def statistics(texts):
+        return np.array([quality.statistics(t, quality._classes()) for t in texts])
+
+    docs = docs[plain_scores(statistics(train["text"]), train["quality"].to_numpy(), statistics(docs["text"])) >= 0.3]
+    root = brute_force([(int(d), t) for d, t in zip(docs["doc_id"], docs["text"])])
     docs = docs[[root[d] == d for d in docs["doc_id"]]]
     docs = docs[[not any(as_text(i) in as_text(decontaminate.fold(t)) for i in items) for t in docs["text"]]]
     con = duckdb.connect()
