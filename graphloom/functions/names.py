@@ -105,3 +105,13 @@ def line_of_offset(content: Column, before: Column) -> Column:
     """The 1-based line of the character after the first `before` characters."""
     head = F.substring(content, F.lit(1), before)
     return (F.char_length(head) - F.char_length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("int")
+
+
+def pack(*parts: Column) -> Column:
+    """Texts joined by "|"; a "|" within one is escaped."""
+    return F.concat_ws("|", *[F.replace(F.replace(p, F.lit("\\"), F.lit("\\s")), F.lit("|"), F.lit("\\p")) for p in parts])
+
+
+def unpack(x: Column) -> Column:
+    """The texts that were packed."""
+    return F.transform(F.split(x, r"\|"), lambda p: F.replace(F.replace(p, F.lit("\\p"), F.lit("|")), F.lit("\\s"), F.lit("\\")))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import names
 
 # The patterns of markup extensions, and corrections of common attribute typos.
-BINDING = r"\{(?:Binding|x:Bind)\s*([^}]*)\}"
 STATIC_RESOURCE = r"\{StaticResource\s+([^}]+)\}"
 DYNAMIC_RESOURCE = r"\{DynamicResource\s+([^}]+)\}"
 MODES = ("OneWay", "TwoWay", "OneTime", "OneWayToSource", "Default")
@@ -21,6 +20,16 @@ TYPOS = {
     "Strech": "Stretch", "Orientaiton": "Orientation", "Horiontal": "Horizontal", "Verticla": "Vertical", "MaxHeigth": "MaxHeight", "MinHeigth": "MinHeight",
     "MaxWidht": "MaxWidth", "MinWidht": "MinWidth", "FontSzie": "FontSize", "FontWieght": "FontWeight", "ToolTop": "ToolTip",
 }
+CLR_NAMESPACES = {"http://schemas.microsoft.com/winfx/2006/xaml/presentation": "System.Windows.Controls", "http://schemas.microsoft.com/winfx/2006/xaml": "System.Windows.Markup"}
+
+
+def _braces(depth: int) -> str:
+    """A pattern of balanced braces, down to so many within each other."""
+    return r"\{[^{}]*\}" if depth <= 1 else r"\{(?:[^{}]|" + _braces(depth - 1) + r")*\}"
+
+
+NESTED = _braces(4)
+BINDING = r"\{(?:Binding|x:Bind)\b\s*((?:[^{}]|" + NESTED + r")*)\}"
 ELEMENTS = "path string, id int, parent_id int, depth int, name string, line int, col int, attributes array<struct<name:string,value:string>>, error string"
 
 
@@ -67,24 +76,36 @@ def attributes(rows: DataFrame) -> DataFrame:
     return own.withColumns({"is_attached": attached, "owner_type": F.when(attached, F.split("name", r"\.", 2)[0]), "property_name": F.when(attached, F.split("name", r"\.", 2)[1])})
 
 
+def _flat(content: Column) -> Column:
+    """The content with nested extensions emptied, so that their parts aren't taken for its own."""
+    return F.regexp_replace(content, NESTED, "{}")
+
+
 def _part(content: Column, name: str) -> Column:
     """The value of a named part, or null."""
-    out = F.trim(F.regexp_extract(content, rf"(?:^|,)\s*{name}\s*=\s*([^,}}]+)", 1))
+    out = F.trim(F.regexp_extract(_flat(content), rf"(?:^|,)\s*{name}\s*=\s*([^,]+)", 1))
     return F.when(out != "", out)
 
 
+def converter(content: Column) -> Column:
+    """The converter's resource key, or its text where it is no resource; null without one."""
+    text = F.trim(F.regexp_extract(content, rf"(?:^|,)\s*Converter\s*=\s*({NESTED}|[^,{{}}]+)", 1))
+    key = F.trim(F.regexp_extract(text, r"^\{(?:StaticResource|DynamicResource)\s+(?:ResourceKey\s*=\s*)?([^}]+)\}$", 1))
+    return F.when(key != "", key).when(text != "", text)
+
+
 def binding_path(content: Column) -> Column:
     """The named path, or the first part where that is none of the named ones; null without a path."""
-    first = F.regexp_extract(content, r"^\s*([A-Za-z_][A-Za-z0-9_\.]*)\s*(?:,|$)", 1)
+    first = F.regexp_extract(_flat(content), r"^\s*([A-Za-z_\[(][^,={}]*?)\s*(?:,|$)", 1)
     return F.coalesce(_part(content, "Path"), F.when(first != "", first))
 
 
 def bindings(texts: DataFrame, text: str = "value") -> DataFrame:
-    """Each binding in a text column with its parts; the text's other columns stay."""
+    """Each binding in a text column with its parts; the text's other columns stay. Bindings within others are their parts."""
     rest = [c for c in texts.columns if c != text]
     own = texts.select(*rest, F.posexplode(F.regexp_extract_all(text, F.lit(BINDING), 1)).alias("seq", "content"))
     c = F.col("content")
-    return own.select(*rest, "seq", binding_path(c).alias("binding_path"), _part(c, "Mode").alias("mode"), _part(c, "Converter").alias("converter"), _part(c, "ElementName").alias("element_name"))
+    return own.select(*rest, "seq", binding_path(c).alias("binding_path"), _part(c, "Mode").alias("mode"), converter(c).alias("converter"), _part(c, "ElementName").alias("element_name"))
 
 
 def resource_references(texts: DataFrame, text: str = "value") -> DataFrame:
@@ -144,7 +165,7 @@ def issues(rows: DataFrame, known_types: DataFrame | None = None) -> DataFrame:
     named = named_elements(attrs)
     out = [
         issue(rows.where("error is not null"), "XAML001", "Error", F.col("error")),
-        issue(bound.where(F.col("mode").isNotNull() & ~F.col("mode").isin(*MODES)), "XAML002", "Error", F.concat(F.lit("Invalid binding mode "), "mode")),
+        issue(bound.where(F.col("mode").isNotNull() & ~names.fold_ci("mode").isin([names.fold_text(m) for m in MODES])), "XAML002", "Error", F.concat(F.lit("Invalid binding mode "), "mode")),
         issue(typos(attrs), "XAML003", "Warning", F.concat(F.lit("Did you mean "), "correction")),
         issue(bound.where("binding_path is null and element_name is null"), "XAML004", "Warning", F.lit("Empty binding path")),
         issue(missing_resources(defined, used), "XAML005", "Warning", F.concat(F.lit("Unknown resource "), "key")),
@@ -159,11 +180,42 @@ def issues(rows: DataFrame, known_types: DataFrame | None = None) -> DataFrame:
     return result
 
 
-def binding_errors(bound: DataFrame, named: DataFrame) -> DataFrame:
-    """Bindings to element names that no element has, and suspicious paths."""
-    unknown = bound.where("element_name is not null").join(named.select("path", F.col("name").alias("element_name")).distinct(), ["path", "element_name"], "left_anti")
-    odd = bound.where(F.col("binding_path").rlike(r"\.\.|\.$|\s"))
-    return unknown.select("path", "line", F.lit("unknown element").alias("problem"), F.col("element_name").alias("subject")).unionByName(odd.select("path", "line", F.lit("suspicious path").alias("problem"), F.col("binding_path").alias("subject")))
+def binding_errors(bound: DataFrame, named: DataFrame, defined: DataFrame | None = None) -> DataFrame:
+    """path, line, severity, problem, subject of bindings to element names that no element has, to converters that are no resource
+    of the file (where defined, the resources, is given), of suspicious paths, and of modes without a path."""
+
+    def error(rows: DataFrame, severity: str, problem: str, subject: str) -> DataFrame:
+        return rows.select("path", "line", F.lit(severity).alias("severity"), F.lit(problem).alias("problem"), F.col(subject).alias("subject"))
+
+    p = F.col("binding_path")
+    elements_ = named.select("path", F.col("name").alias("element_name")).distinct()
+    out = error(bound.where("element_name is not null").join(elements_, ["path", "element_name"], "left_anti"), "ERROR", "unknown element", "element_name")
+    if defined is not None:
+        keys = defined.select("path", F.col("key").alias("converter")).distinct()
+        out = out.unionByName(error(bound.where("converter is not null").join(keys, ["path", "converter"], "left_anti"), "WARNING", "unknown converter", "converter"))
+    for test, severity, problem, subject in (
+        (p.contains(".."), "WARNING", "suspicious path", "binding_path"),
+        (p.endswith("."), "ERROR", "path ends with a dot", "binding_path"),
+        (p.startswith("[") & ~p.contains("]"), "ERROR", "unclosed indexer", "binding_path"),
+        (p.isNull() & F.col("element_name").isNull() & F.col("mode").isNotNull(), "WARNING", "mode without path", "mode"),
+    ):
+        out = out.unionByName(error(bound.where(test), severity, problem, subject))
+    return out
+
+
+def namespaces(rows: DataFrame) -> DataFrame:
+    """path, prefix (empty for the default one), uri and clr_namespace (null where there is none) that the root elements declare."""
+    root = rows.where("depth = 0 and error is null").select("path", F.explode("attributes").alias("a")).where(F.col("a.name").rlike("^xmlns(:|$)"))
+    uri = F.col("a.value")
+    named = F.regexp_extract(uri, r"clr-namespace:([^;]+)", 1)
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in CLR_NAMESPACES.items() for x in pair]), uri)
+    return root.select("path", F.regexp_replace("a.name", "^xmlns:?", "").alias("prefix"), uri.alias("uri"), F.when(named != "", F.trim(named)).otherwise(known).alias("clr_namespace"))
+
+
+def element_types(rows: DataFrame) -> DataFrame:
+    """path, id, name, type_name and clr_namespace of each element, by the prefix of its name."""
+    own = rows.where("error is null").withColumn("prefix", F.when(F.col("name").contains(":"), F.substring_index("name", ":", 1)).otherwise(""))
+    return own.join(namespaces(rows).select("path", "prefix", "clr_namespace"), ["path", "prefix"], "left").select("path", "id", "name", F.substring_index("name", ":", -1).alias("type_name"), "clr_namespace")
 
 
 def tree(rows: DataFrame, max_depth: int) -> DataFrame:

@@ -43,7 +43,7 @@ def _owned(nodes: DataFrame) -> DataFrame:
 def entrypoints(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """found (category, path, line, text, project_id, project_name) to nodes and edges."""
     id_ = F.concat(F.lit("entrypoint:"), "category", F.lit(":"), paths.normalized(F.col("path")), F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.sha2("text", 256))
-    nodes = _node(found, id_, "Entrypoint", F.col("text"), F.concat_ws("|", F.lit("entrypoint"), "category", F.lit(""), "text"), F.col("category"))
+    nodes = _node(found, id_, "Entrypoint", F.col("text"), names.pack(F.lit("entrypoint"), F.col("category"), F.lit(""), F.col("text")), F.col("category"))
     return nodes, _owned(nodes)
 
 
@@ -51,7 +51,7 @@ def host_entrypoints(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runnable projects (project_id, project_name, path, type) as entrypoints."""
     hosts = projects.where(F.col("type").isin("web", "worker", "lambda", "executable")).withColumn("line", F.lit(1))
     id_ = F.concat(F.lit("entrypoint:host_project:"), paths.normalized(F.col("path")), F.lit(":1:"), F.sha2("project_name", 256))
-    nodes = _node(hosts, id_, "Entrypoint", F.col("project_name"), F.concat_ws("|", F.lit("entrypoint"), F.lit("host_project"), "project_name", F.concat("type", F.lit(" host"))), F.col("type"))
+    nodes = _node(hosts, id_, "Entrypoint", F.col("project_name"), names.pack(F.lit("entrypoint"), F.lit("host_project"), F.col("project_name"), F.concat("type", F.lit(" host"))), F.col("type"))
     return nodes, _owned(nodes)
 
 
@@ -66,7 +66,7 @@ def registrations(registered: DataFrame, used: DataFrame, types: DataFrame, memb
     id_ = F.concat_ws(":", F.lit("registration"), "project_id", paths.normalized(F.col("path")), F.col("line").cast("string"), "service", F.coalesce("implementation", F.lit("")))
     form = [F.when(F.col("is_factory"), "factory").otherwise("direct"), F.when(F.col("is_enumerable"), "enumerable").otherwise("single")]
     own = registered.withColumn("reg_id", id_)
-    nodes = _node(own, F.col("reg_id"), "DiRegistration", shown, F.concat_ws("|", F.lit("di"), "lifetime", "service", F.coalesce("implementation", F.lit("")), *form), F.col("source_text"))
+    nodes = _node(own, F.col("reg_id"), "DiRegistration", shown, names.pack(F.lit("di"), F.col("lifetime"), F.col("service"), F.coalesce("implementation", F.lit("")), *form), F.col("source_text"))
     named = own.select("reg_id", F.col("project_name").alias("project"), F.explode(F.array("service", "implementation")).alias("type")).where(~names.blank(F.col("type")) & (F.lower("type") != "factory")).distinct()
     keyed = named.withColumn("key", F.concat_ws("\n", "reg_id", "type"))
     linked = facts.best_types(keyed.select(F.col("key").alias("reg_id"), "type", "project"), types)

@@ -55,7 +55,7 @@ def candidate_names(targets: DataFrame) -> DataFrame:
 def entrypoints(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Hosts of the targets' projects, and the entrypoints of any project in a target's file or that name a target."""
     found = nodes.where("kind = 'Entrypoint'")
-    parts = F.split("documentation_id", r"\|", 4)
+    parts = names.unpack(F.col("documentation_id"))
     packed = (F.size(parts) == 4) & (parts[0] == "entrypoint")
     host = found.where(packed & (parts[1] == "host_project")).join(targets.select("owning_project_id").where("owning_project_id is not null").distinct(), "owning_project_id", "left_semi")
     here = targets.where(~names.blank(F.col("file_path"))).select(names.fold_ci("file_path").alias("here")).distinct()

@@ -156,7 +156,15 @@ class Workspace:
 
     def binding_errors(self) -> DataFrame:
         attrs = markup.attributes(self._elements())
-        return markup.binding_errors(markup.bindings(attrs), markup.named_elements(attrs))
+        return markup.binding_errors(markup.bindings(attrs), markup.named_elements(attrs), markup.resources(attrs))
+
+    def markup_types(self) -> DataFrame:
+        return markup.element_types(self._elements())
+
+    def markup_recovered(self) -> DataFrame:
+        """Class, names and bindings, by pattern, of the files that don't parse."""
+        broken = self._elements().where("error is not null").select("path").distinct()
+        return markup.recovered(self.files.join(broken, "path", "left_semi"))
 
     def view_model(self, name: str = "IViewModel") -> DataFrame:
         return markup.interface_text(markup.view_model(self.markup_bindings()), name)

@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.names import unpack
 
 TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "project_states": schema.PROJECT_STATES}
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table below path; the version is written last, so a snapshot without it isn't complete."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.range(1).select(F.lit(schema.SNAPSHOT_VERSION).alias("version")).write.mode("overwrite").parquet(f"{path}/version")
+POINTER = "at timestamp, folder string, version int, target string, options string"
 
 
-def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    """The tables, or None where there is no complete snapshot of this version."""
+def write_snapshot(tables: dict[str, DataFrame], path: str, target: str = "", options: str = "") -> None:
+    """The tables below a new folder of path, then a pointer to it; tables that aren't given are empty.
+
+    Nothing is overwritten: a write that dies leaves the last snapshot in place, and a snapshot may be written from itself.
+    target, options: what the graph was built of, and how.
+    """
+    spark, folder = next(iter(tables.values())).sparkSession, f"data-{uuid.uuid4().hex}"
+    for name, columns in TABLES.items():
+        (tables[name] if name in tables else spark.createDataFrame([], columns)).write.parquet(f"{path}/{folder}/{name}")
+    row = spark.range(1).select(F.current_timestamp().alias("at"), *[F.lit(v).alias(c) for c, v in (("folder", folder), ("version", schema.SNAPSHOT_VERSION), ("target", target), ("options", options))])
+    row.write.mode("append").parquet(f"{path}/pointers")
+
+
+def snapshot_info(spark: SparkSession, path: str):
+    """The pointer of the last complete snapshot, or None."""
     from pyspark.errors import AnalysisException
 
     try:
-        version = spark.read.parquet(f"{path}/version").first()
+        return spark.read.schema(POINTER).parquet(f"{path}/pointers").orderBy(F.desc("at"), "folder").first()
     except AnalysisException:
         return None
-    if version is None or version.version != schema.SNAPSHOT_VERSION:
+
+
+def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """The tables, or None where there is no complete snapshot of this version."""
+    info = snapshot_info(spark, path)
+    if info is None or info.version != schema.SNAPSHOT_VERSION:
         return None
-    return {name: spark.read.schema(columns).parquet(f"{path}/{name}") for name, columns in TABLES.items()}
+    return {name: spark.read.schema(columns).parquet(f"{path}/{info.folder}/{name}") for name, columns in TABLES.items()}
 
 
 def _camel(name: str) -> str:
@@ -55,6 +71,6 @@ def write_json_snapshot(tables: dict[str, DataFrame], path: str) -> None:
 
 def unpacked(nodes: DataFrame) -> DataFrame:
     """Registration nodes with their packed documentation id as columns: lifetime, service, implementation, is_factory, is_enumerable."""
-    part = F.split("documentation_id", r"\|")
-    own = nodes.where(F.col("documentation_id").startswith("di|"))
+    own = nodes.where(F.col("documentation_id").startswith("di|")).withColumn("part", unpack(F.col("documentation_id")))
+    part = F.col("part")
     return own.select("id", part[1].alias("lifetime"), part[2].alias("service"), F.when(part[3] != "", part[3]).alias("implementation"), (part[4] == "factory").alias("is_factory"), (part[5] == "enumerable").alias("is_enumerable"))

@@ -77,11 +77,21 @@ def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STORED: dict[tuple, DataFrame] = {}
+GRAPH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input files, by the file system that Spark reads them with."""
+    hadoop, out = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for table in GRAPH_TABLES:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(hadoop).listStatus(at)]
+    return tuple(out)
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """The table as a snapshot in the shared folder, partitioned by kind; built once for each application and input."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The table as a snapshot in the shared folder, partitioned by kind; built once for each application and state of the input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _STORED:
         df, path = build(spark, sf_dir), fresh_path(spark, name)
         df.write.partitionBy("kind").parquet(path)
@@ -89,6 +99,12 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _STORED[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Drops the stored tables of this application, so that the next query builds them anew."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        del _STORED[key]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "nodes", build_nodes)
 

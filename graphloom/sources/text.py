@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +13,9 @@ from ..functions import paths
 
 def read_files(spark: SparkSession, root: str, pattern: str = "*.cs") -> DataFrame:
     """path (below root) and content of the files that match, outside ignored folders."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    found = F.col("_metadata.file_path")  # with %20 for a space
+    path = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), found), "^file:/*", "/")
     rows = raw.select(paths.relative(path, root.removeprefix("file://")).alias("path"), F.col("value").alias("content"))
     return rows.where(~paths.ignored(F.col("path")))
 
@@ -25,10 +29,26 @@ def with_open_documents(files: DataFrame, opened: DataFrame) -> DataFrame:
 def solution_projects(files: DataFrame) -> DataFrame:
     """path of each project that a solution lists: .sln lines or .slnx elements."""
     sln = files.where(F.lower("path").endswith(".sln")).select(F.explode(F.regexp_extract_all("content", F.lit(r'(?m)^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+)"'), 1)).alias("p"))
-    slnx = files.where(F.lower("path").endswith(".slnx")).select(F.explode(F.xpath("content", F.lit("//Project/@Path"))).alias("p"))
+    slnx = files.where(F.lower("path").endswith(".slnx")).select(F.explode(F.xpath(F.when(well_formed(F.col("content")), F.col("content")).otherwise("<Solution/>"), F.lit("//Project/@Path"))).alias("p"))
     return sln.union(slnx).select(paths.normalized(F.col("p")).alias("path")).distinct()
 
 
+def _well_formed(texts: pd.Series) -> pd.Series:
+    def parses(text: str) -> bool:
+        try:
+            expat.ParserCreate().Parse(text or "", True)
+        except expat.ExpatError:
+            return False
+        return True
+
+    return texts.map(parses).astype(bool)
+
+
+def well_formed(xml: Column) -> Column:
+    """Whether a text parses. XPath functions fail the query on one that doesn't."""
+    return F.pandas_udf(_well_formed, "boolean")(xml)
+
+
 def _first(content: Column, path: str) -> Column:
     return F.xpath_string(content, F.lit(path))
 
@@ -50,8 +70,12 @@ def project_type(sdk: Column, output: Column, name: Column, is_test: Column, pac
 
 
 def read_projects(files: DataFrame) -> DataFrame:
-    """One row per project file: name, sdk, frameworks, output type, packages, references, whether a test project, type."""
+    """One row per project file: name, sdk, frameworks, output type, packages, references, whether a test project, type.
+
+    A file that doesn't parse counts as an empty project.
+    """
     own = files.where(F.lower("path").endswith(".csproj")).withColumn("xml", F.regexp_replace("content", r"\sxmlns\s*=\s*\"[^\"]*\"", ""))
+    own = own.withColumn("xml", F.when(well_formed(F.col("xml")), F.col("xml")).otherwise("<Project/>"))
     x = F.col("xml")
     last = F.element_at(F.concat(F.array(F.lit("")), _list(x, "//OutputType/text()")), -1)
     read = own.select(

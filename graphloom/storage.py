@@ -19,8 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this application has written by fresh_path so far, and returns the number of folders. Results that were
+    not yet written elsewhere are lost, so call it when the queries of a run are done."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        deleted += at.getFileSystem(hadoop).delete(at, True)
+    return deleted
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

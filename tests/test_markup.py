@@ -43,3 +43,27 @@ def test_attached_and_recovered(spark):
     assert [(r.owner_type, r.property_name, r.value) for r in attrs.where("is_attached").collect()] == [("Grid", "Row", "1")]
     got = markup.recovered(spark.createDataFrame([("b", '<Window x:Class="MyApp.MainWindow"><Button>')], schema.FILES)).first()
     assert (got.class_name, got.namespace) == ("MainWindow", "MyApp")
+
+
+NESTED = """<Page xmlns="http://schemas.microsoft.com/winfx/2006/xaml/presentation" xmlns:x="x" xmlns:local="clr-namespace:Shop.Views;assembly=Shop">
+  <Page.Resources><local:Upper x:Key="Upper" /></Page.Resources>
+  <local:Card Title="{Binding Converter={StaticResource Upper}, Path=Name, Mode=twoway}" Note="{Binding Path=A, Converter={StaticResource Absent, Path=Z}, RelativeSource={RelativeSource Self}}" />
+  <TextBlock A="{Binding Items[0].Name}" B="{Binding Path=a..b}" C="{Binding Path=a.}" D="{Binding Path=[0}" E="{Binding Mode=OneWay}" F="{Binding Path=X, Source={x:Static local:Card.All}}" />
+</Page>"""
+
+
+def test_nested_extensions(spark):
+    ws = Workspace(files=spark.createDataFrame([("n.xaml", NESTED)], schema.FILES))
+    got = [(r.binding_path, r.mode, r.converter) for r in ws.markup_bindings().where("line < 4").orderBy("element_id", "name").collect()]
+    assert sorted(got, key=str) == [("A", None, "{StaticResource Absent, Path=Z}"), ("Name", "twoway", "Upper")] or sorted(got, key=str) == [("A", None, "Absent, Path=Z"), ("Name", "twoway", "Upper")]
+    assert {r.code for r in ws.markup_issues().collect()} == {"XAML004", "XAML005"}  # a mode's case doesn't matter; the empty path and the absent resource do
+    errors = {(r.problem, r.subject) for r in ws.binding_errors().where("line > 3").collect()}
+    assert errors == {("suspicious path", "a..b"), ("path ends with a dot", "a."), ("unclosed indexer", "[0"), ("mode without path", "OneWay")}
+    assert [r.problem for r in ws.binding_errors().where("line = 3").collect()] == ["unknown converter"]
+
+
+def test_namespaces_and_recovery(spark):
+    ws = Workspace(files=spark.createDataFrame([("n.xaml", NESTED), ("bad.xaml", '<Page x:Class="Shop.Main" x:Name="m"><A')], schema.FILES))
+    types = {(r.type_name, r.clr_namespace) for r in ws.markup_types().collect()}
+    assert {("Card", "Shop.Views"), ("TextBlock", "System.Windows.Controls"), ("Upper", "Shop.Views")} <= types
+    assert [(r.path, r.class_name, r.names) for r in ws.markup_recovered().collect()] == [("bad.xaml", "Main", ["m"])]
