@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, WHITE, ascii_lower, fresh_path, id_and_text, read, shuffle_partitions
+from .common import ASCII_LOWER, ASCII_UPPER, WHITE, ascii_lower, fresh_path, id_and_text, materialize, read, shuffle_partitions
 
 FANOUT, BATCHES = 4, 5
 RUN = "h1 long, h2 long, n_docs long, last_doc long"
@@ -131,7 +131,7 @@ def anti_join(docs: DataFrame, runs: LineRuns, min_chars: int, min_docs: int) ->
     """doc_id, kept (text), n_lines, n_dropped of every row of docs, which have been added to the runs."""
     docs = with_hash(docs)
     gone = (
-        runs.keys().join(runs.frequent(min_docs), ["h1", "h2"])
+        runs.keys().join(materialize(runs.frequent(min_docs), "frequent-lines"), ["h1", "h2"])
         .where("last_doc is not null and not (doc_id <=> last_doc)")
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
