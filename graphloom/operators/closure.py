@@ -4,26 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..storage import materialize
+from ..storage import fresh_path, materialize
+
+
+#: Up to so many links go to every task whole, and a round then takes several steps.
+SMALL_LINKS, STEPS = 100_000, 4
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (source_id, target_id), seeds (id): id and depth of all that is reached along edges, seeds at depth 0.
 
-    Stops when a round reaches nothing new, so cycles end. Each round joins only the new ids with the edges.
+    Stops when a round reaches nothing new, so cycles end. Each round joins only what the last one reached with the edges.
     """
-    links = edges.select("source_id", "target_id").distinct()
-    frontier = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reached")
-    seen, depth = frontier, 0
+    spark, path = edges.sparkSession, fresh_path(edges.sparkSession, "reached")
+    links = materialize(edges.select("source_id", "target_id").distinct(), "links")
+    small = links.count() <= SMALL_LINKS
+    if small:
+        links = F.broadcast(links)
+    first = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    first.write.parquet(f"{path}/round=0")
+    kind, depth, number = StructType([*first.schema.fields, StructField("round", IntegerType())]), 0, 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        new = links.join(frontier.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
-        frontier = materialize(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "reached")
-        if frontier.isEmpty():
+        seen = spark.read.schema(kind).parquet(path)
+        frontier = seen.where((F.col("round") == number) & (F.col("depth") == depth)).select("id")
+        steps = STEPS if small else 1
+        steps = steps if max_depth is None else min(steps, max_depth - depth)
+        new = None
+        for i in range(1, steps + 1):
+            frontier = frontier.join(links, frontier["id"] == links["source_id"]).select(F.col("target_id").alias("id")).distinct()
+            own = frontier.withColumn("depth", F.lit(depth + i))
+            new = own if new is None else new.unionByName(own)
+        new = new.groupBy("id").agg(F.min("depth").alias("depth")).join(seen.select("id"), "id", "left_anti")
+        number, depth = number + 1, depth + steps
+        new.write.parquet(f"{path}/round={number}")
+        if spark.read.schema(kind).parquet(path).where((F.col("round") == number) & (F.col("depth") == depth)).isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return spark.read.schema(kind).parquet(path).select("id", "depth")
 
 
 def stale_projects(changed: DataFrame, depends: DataFrame) -> DataFrame:

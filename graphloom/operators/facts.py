@@ -113,16 +113,24 @@ def _all_matches(pattern: str, groups: int):
     """A vectorised function: per text all matches as (offset, groups). Offsets of matches are beyond the SQL functions."""
     compiled = re.compile(pattern, re.S)
 
+    def found(text: str | None) -> list[dict]:
+        out, line, at = [], 1, 0
+        for m in compiled.finditer(text or ""):
+            line += text.count("\n", at, m.start())
+            at = m.start()
+            out.append({"line": line, "end": m.end(), "whole": m.group(0), "groups": [m.group(i + 1) or "" for i in range(groups)]})
+        return out
+
     def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [{"line": t.count("\n", 0, m.start()) + 1, "end": m.end(), "whole": m.group(0), "groups": [m.group(i + 1) or "" for i in range(groups)]} for m in compiled.finditer(t)])
+        return texts.map(found)
 
     return F.pandas_udf(apply, "array<struct<line:int,end:int,whole:string,groups:array<string>>>")
 
 
 def file_matches(files: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """path, content, line, end (offset after the match), whole, groups of every match in the files, over lines."""
-    found = files.where(F.col("content").rlike("(?s)" + pattern)).withColumn("m", F.explode(_all_matches(pattern, groups)("content")))
-    return found.select("path", "content", "m.line", "m.end", "m.whole", "m.groups")
+    """path, line, end (offset after the match), whole, groups of every match in the files, over lines. Contents stay behind."""
+    found = files.where(F.col("content").rlike("(?s)" + pattern)).select("path", _all_matches(pattern, groups)("content").alias("found"))
+    return found.select("path", F.explode("found").alias("m")).select("path", "m.line", "m.end", "m.whole", "m.groups")
 
 
 def registrations(files: DataFrame) -> DataFrame:
@@ -197,17 +205,26 @@ def registration_consumers(registered: DataFrame, used: DataFrame) -> DataFrame:
 def best_types(registered: DataFrame, types: DataFrame) -> DataFrame:
     """registered (reg_id, type, project) and types (id, display_name, metadata_name, project): the best node of each type name.
 
-    Every way to match implies equal simple names, so that is the join; a name that nothing matches gets no node.
+    A type matches by its metadata name (300), its display name (260), the end of its metadata name after a dot (180) or
+    its simple name (170), and 20 more in the same project. Types are first cut to one for each way, name and project, so
+    a name that many types bear meets one row for each way. A name that nothing matches gets no node.
     """
-    wanted = registered.withColumn("simple", names.fold_ci(names.simple_type_name(F.col("type"))))
-    known = types.select(F.col("id"), F.col("display_name"), F.col("metadata_name"), F.col("project").alias("own_project"), names.fold_ci(names.trailing_identifier(F.col("display_name"))).alias("simple"))
-    score = (
-        F.when(F.col("metadata_name") == F.col("type"), 300)
-        .when(F.col("display_name") == F.col("type"), 260)
-        .when(names.ends_with_ci(F.col("metadata_name"), F.concat(F.lit("."), "type")), 180)
-        .otherwise(170)
-    ) + F.when(F.col("own_project") == F.col("project"), 20).otherwise(0)
-    return keep_first(wanted.join(known, "simple").withColumn("score", score), [F.col("reg_id")], [F.desc("score"), F.col("id")]).select("reg_id", "id", "score")
+    upper, dotted = names.fold_ci("metadata_name"), F.split("metadata_name", r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(dotted), F.lit(2))), lambda n: F.array_join(F.slice(F.split(upper, r"\."), n, F.size(dotted)), "."))
+    simple = names.fold_ci(names.trailing_identifier(F.col("display_name")))
+
+    def way(score: int, keys: Column) -> Column:
+        return F.transform(F.coalesce(keys, F.array()), lambda k: F.struct(F.lit(score).alias("way"), k.alias("key")))
+
+    ways = [way(300, F.array("metadata_name")), way(260, F.array("display_name")), way(180, F.when(F.size(dotted) > 1, ends)), way(170, F.array(simple))]
+    known = types.select("id", F.col("project").alias("own"), F.explode(F.concat(*ways)).alias("w")).select("id", "own", "w.way", "w.key").where("key is not null")
+    folded = names.fold_ci("type")
+    asked = [way(300, F.array("type")), way(260, F.array("type")), way(180, F.array(folded)), way(170, F.array(names.fold_ci(names.simple_type_name(F.col("type")))))]
+    wanted = registered.select("reg_id", "project", F.explode(F.concat(*asked)).alias("w")).select("reg_id", "project", "w.way", "w.key")
+    near = known.groupBy("way", "key", F.col("own").alias("project")).agg(F.min("id").alias("id"))
+    far = near.groupBy("way", "key").agg(F.min("id").alias("id"))
+    found = wanted.join(near, ["way", "key", "project"]).select("reg_id", "id", (F.col("way") + 20).alias("score")).unionByName(wanted.join(far, ["way", "key"]).select("reg_id", "id", F.col("way").alias("score")))
+    return keep_first(found, [F.col("reg_id")], [F.desc("score"), F.col("id")]).select("reg_id", "id", "score")
 
 
 def identifier_counts(files: DataFrame) -> DataFrame:
@@ -241,11 +258,11 @@ def dead_code(files: DataFrame) -> DataFrame:
     once = identifier_counts(files).where("n = 1").select("name")
 
     def declared(pattern: str, kind: str) -> DataFrame:
-        return file_matches(files, pattern, 2).select(F.lit(kind).alias("kind"), F.col("groups")[1].alias("name"), F.col("groups")[0].alias("before"), "path", "line", "end", "content")
+        return file_matches(files, pattern, 2).select(F.lit(kind).alias("kind"), F.col("groups")[1].alias("name"), F.col("groups")[0].alias("before"), "path", "line", "end")
 
     members = declared(PRIVATE_METHOD, "private-method").unionByName(declared(PRIVATE_FIELD, "private-field")).join(once, "name", "left_semi")
     types = declared(INTERNAL_TYPE, "internal-type").join(once, "name", "left_semi")
-    static = types.where(F.col("before").contains("static")).withColumn("body", brace_body(F.col("end"), F.col("content")))
+    static = types.where(F.col("before").contains("static")).join(files.select("path", "content"), "path").withColumn("body", brace_body(F.col("end"), F.col("content")))
     methods = static.select("path", "line", F.explode(F.regexp_extract_all("body", F.lit(STATIC_METHOD), 1)).alias("member"))
     used = methods.join(once.withColumnRenamed("name", "member"), "member", "left_anti").select("path", "line").distinct()
     types = types.join(used, ["path", "line"], "left_anti")

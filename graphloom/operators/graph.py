@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import names, paths, scores
-from ..storage import materialize
 
 
 def node_order(path: str = "file_path", line: str = "line") -> list[Column]:
@@ -68,9 +67,13 @@ def owner_counts(nodes: DataFrame) -> DataFrame:
 
 
 def ranked_symbols(nodes: DataFrame, query: str, limit: int) -> DataFrame:
-    """Symbol nodes that match the query, best first: score, tier, and the order project, path, line, id."""
+    """Symbol nodes that match the query, best first: score, tier, and the order project, path, line, id.
+
+    Whatever matches holds the query in one of its names, so one test of them all leaves few rows to score.
+    """
+    held = names.fold_ci(F.concat_ws("\n", "documentation_id", "metadata_name", "display_name")).contains(names.fold_text(query))
     parts = (F.lit(query), F.col("documentation_id"), F.col("metadata_name"), F.col("display_name"))
-    scored = nodes.where(~F.col("kind").isin(*schema.NOT_SYMBOLS)).withColumns({"score": scores.node_match_score(*parts), "tier": scores.identity_match(*parts)}).where("score > 0")
+    scored = nodes.where(~F.col("kind").isin(*schema.NOT_SYMBOLS)).where(held).withColumns({"score": scores.node_match_score(*parts), "tier": scores.identity_match(*parts)}).where("score > 0")
     return scored.orderBy(F.desc("score"), names.fold_ci(F.coalesce("project_name", F.lit(""))), *node_order()).limit(max(1, limit))
 
 
@@ -83,7 +86,7 @@ def call_seeds(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFr
     """Ids whose callers count for the targets: a member and what it implements or overrides; a type's members, its bases, their members;
     a document's declared symbols."""
     ids = targets.select("id").distinct()
-    kinds = materialize(nodes.select("id", "kind").join(ids, "id", "left_semi"), "seed-kinds")
+    kinds = targets if "kind" in targets.columns else nodes.select("id", "kind").join(ids, "id", "left_semi")
     members = kinds.where(F.col("kind").isin("Method", "Property", "Event", "Field")).select("id")
     types, documents = kinds.where("kind = 'Type'").select("id"), kinds.where("kind = 'Document'").select("id")
 
@@ -153,21 +156,52 @@ def select_slice(scored: DataFrame, nodes: DataFrame, edges: DataFrame, max_node
 
 def deepest_enclosing(positions: DataFrame, ranges: DataFrame) -> DataFrame:
     """positions (pos_id, path, pos) and ranges (range_id, path, first, last, rank): the shortest range that holds each position,
-    ends included; ties by larger rank, then id. Positions in no range drop out."""
-    within = positions.join(ranges, "path").where("pos between first and last")
+    ends included; ties by larger rank, then id. Positions in no range drop out.
+
+    A range of up to 2^n places lies in at most two blocks of 2^n, and a position in one block for each n: the join is by path, n
+    and block, so a position meets only ranges near it, also in a file that holds most of them.
+    """
+    size = F.col("last") - F.col("first") + 1
+    level = F.greatest(F.ceil(F.log2(size.cast("double"))), F.lit(0)).cast("int")
+    step = F.pow(F.lit(2.0), F.col("level")).cast("long")
+    sized = ranges.where("first <= last").withColumn("level", level)
+    blocks = F.array_distinct(F.array(F.floor(F.col("first") / step), F.floor(F.col("last") / step)))
+    held = sized.withColumn("block", F.explode(blocks))
+    levels = [r.level for r in sized.select("level").distinct().collect()]  # 64 at most
+    if not levels:
+        levels = [0]
+    probes = positions.withColumn("level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]))).withColumn("block", F.floor(F.col("pos") / step))
+    within = probes.join(held, ["path", "level", "block"]).where("pos between first and last").drop("level", "block")
     return keep_first(within, ["pos_id"], [F.col("last") - F.col("first"), F.desc("rank"), F.col("range_id")])
 
 
+#: Keys of more rows than this are split by time.
+AS_OF_ROWS = 1_000_000
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, right_id: str) -> DataFrame:
     """For each left row, the id and time of the last right row of its key at or before its time; null without one.
 
-    One sorted pass over the union of both sides: no row meets more than its predecessor.
+    One sorted pass over the union of both sides: no row meets more than its predecessor. Where a key holds very many
+    rows, time is cut at quantiles, each piece is passed by itself, and the last right row of the pieces before it is carried in.
     """
     marked = left.withColumns({"_t": F.col(left_time), "_right": F.lit(1), "_found": F.lit(None).cast(f"struct<id:{dict(right.dtypes)[right_id]},t:{dict(right.dtypes)[right_time]}>")})
     other = right.select(F.col(by), F.col(right_time).alias("_t"), F.lit(0).alias("_right"), F.struct(F.col(right_id).alias("id"), F.col(right_time).alias("t")).alias("_found"))
-    rows = marked.unionByName(other, allowMissingColumns=True)
-    last = W.partitionBy(by).orderBy("_t", "_right", "_found.id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = rows.withColumn("_seen", F.last("_found", ignorenulls=True).over(last)).where("_right = 1")
+    rows, order = marked.unionByName(other, allowMissingColumns=True), ["_t", "_right", "_found.id"]
+    most = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    pieces = -(-most // AS_OF_ROWS)
+    if pieces < 2:
+        last = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        seen = rows.withColumn("_seen", F.last("_found", ignorenulls=True).over(last)).where("_right = 1")
+        return seen.select(*left.columns, F.col("_seen.id").alias("found_id"), F.col("_seen.t").alias("found_time"))
+    number = F.col("_t").cast("double")
+    cuts = rows.agg(F.percentile_approx(number, [i / pieces for i in range(1, pieces)])).first()[0]
+    rows = rows.withColumn("_piece", sum([(number >= c).cast("int") for c in sorted(set(cuts))], F.lit(0)))
+    ends = rows.where("_right = 0").groupBy(by, "_piece").agg(F.max_by("_found", F.struct("_t", F.col("_found.id"))).alias("_end"))
+    every = rows.select(by, "_piece").distinct().join(ends, [by, "_piece"], "left")
+    carried = every.withColumn("_carried", F.last("_end", ignorenulls=True).over(W.partitionBy(by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))).drop("_end")
+    last = W.partitionBy(by, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = rows.withColumn("_own", F.last("_found", ignorenulls=True).over(last)).where("_right = 1").join(carried, [by, "_piece"], "left").withColumn("_seen", F.coalesce("_own", "_carried"))
     return seen.select(*left.columns, F.col("_seen.id").alias("found_id"), F.col("_seen.t").alias("found_time"))
 
 

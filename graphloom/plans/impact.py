@@ -35,12 +35,10 @@ def resolve_targets(nodes: DataFrame, edges: DataFrame, query: str | None = None
     return found.groupBy("id").agg(F.min("way").alias("way")).join(nodes, "id")
 
 
-def page(rows: DataFrame, section: str, order: list[Column], k: int) -> DataFrame:
-    """The first k rows in order as (section, place, id, path, line, total)."""
-    keys = [f"_o{i}" for i in range(len(order))]
-    own = materialize(rows.select("id", F.col("file_path").alias("path"), "line", *[o.alias(c) for o, c in zip(order, keys)]), section)
-    place = F.row_number().over(W.partitionBy().orderBy(*keys))  # over k rows
-    return own.orderBy(*keys).limit(max(1, k)).select(F.lit(section).alias("section"), place.alias("place"), "id", "path", "line", F.lit(own.count()).cast("long").alias("total"))
+def page(rows: DataFrame, section: str, first: Column | int = 0) -> DataFrame:
+    """rows of nodes as (section, first, id, path, line); first comes before the common order."""
+    first = first if isinstance(first, Column) else F.lit(first)
+    return rows.select(F.lit(section).alias("section"), first.cast("long").alias("first"), "id", F.col("file_path").alias("path"), "line")
 
 
 def candidate_names(targets: DataFrame) -> DataFrame:
@@ -71,21 +69,20 @@ def sections(nodes: DataFrame, edges: DataFrame, query: str | None = None, path:
     tests: (path, score) of test files that concern the target, from the test map.
     """
     targets = materialize(resolve_targets(nodes, edges, query, path), "targets")
-    order = graph.node_order()
     called = materialize(graph.call_seeds(nodes, edges, targets), "call-seeds")
-    callers = graph.keep_first(graph.neighbors(edges, nodes, called, ["calls"], incoming=True), [F.col("id")], [F.col("seed_id")])
     holders = materialize(graph.owning_types(nodes, edges, targets), "owners")
-    related = graph.keep_first(graph.related_symbols(nodes, edges, holders), [F.col("id")], [F.col("edge_kind")])
-    registered = graph.neighbors(edges, nodes, holders, ["registered_as", "consumed_by"], incoming=True)
-    registered = graph.keep_first(registered, [F.col("id")], [F.col("edge_kind")])
-    hosts = entrypoints(nodes, targets)
-    out = page(targets, "target", [F.col("way"), *order], max(3, k))
-    for section, rows in (("caller", callers), ("relation", related), ("registration", registered), ("entrypoint", hosts)):
-        out = out.unionByName(page(rows, section, order, k))
+    callers = graph.neighbors(edges, nodes, called, ["calls"], incoming=True).select("id", "file_path", "line").distinct()
+    related = graph.related_symbols(nodes, edges, holders).select("id", "file_path", "line").distinct()
+    registered = graph.neighbors(edges, nodes, holders, ["registered_as", "consumed_by"], incoming=True).select("id", "file_path", "line").distinct()
+    out = page(targets, "target", F.col("way"))
+    for section, rows in (("caller", callers), ("relation", related), ("registration", registered), ("entrypoint", entrypoints(nodes, targets))):
+        out = out.unionByName(page(rows, section))
     if tests is not None:
         rows = tests.select(F.concat(F.lit("test:"), "path").alias("id"), F.col("path").alias("file_path"), F.lit(None).cast("int").alias("line"), "score")
-        out = out.unionByName(page(rows, "test", [-F.col("score"), F.col("file_path")], k))
-    return out
+        out = out.unionByName(page(rows, "test", -F.col("score")))
+    # totals are partial counts and places are cut before the shuffle: a section of a hub's callers meets in no task
+    best = graph.top_per_key(out, ["section"], [F.col("first"), *graph.node_order("path")], max(3, k))
+    return best.where((F.col("place") <= max(1, k)) | (F.col("section") == "target")).select("section", "place", "id", "path", "line", "total")
 
 
 def ranked_files(found: DataFrame, k: int = 20) -> DataFrame:

@@ -45,18 +45,18 @@ def graph_owner_counts(spark, sf_dir):
 
 
 def _seeds(df):
-    return df.where("kind = 'Type' and id like 'type:c:%1'").select("id")
+    return df.where("kind = 'Type'").select("id")
 
 
 @query(""" SELECT e.kind AS edge_kind, e.target_id AS seed_id, n.id, n.display_name FROM edges e JOIN nodes n ON n.id = e.source_id
-WHERE e.kind IN ('inherits', 'contains') AND e.target_id IN (SELECT id FROM nodes WHERE kind = 'Type' AND id LIKE 'type:c:%1')""")
+WHERE e.kind IN ('inherits', 'contains') AND e.target_id IN (SELECT id FROM nodes WHERE kind = 'Type')""")
 def neighbors_in(spark, sf_dir):
     n = nodes(spark, sf_dir)
     return graph.neighbors(edges(spark, sf_dir), n, _seeds(n), ["inherits", "contains"], True).select("edge_kind", "seed_id", "id", "display_name")
 
 
 @query(""" SELECT e.kind AS edge_kind, e.source_id AS seed_id, n.id, n.display_name FROM edges e JOIN nodes n ON n.id = e.target_id
-WHERE e.kind IN ('inherits', 'implements') AND e.source_id IN (SELECT id FROM nodes WHERE kind = 'Type' AND id LIKE 'type:c:%1')""")
+WHERE e.kind IN ('inherits', 'implements') AND e.source_id IN (SELECT id FROM nodes WHERE kind = 'Type')""")
 def neighbors_out(spark, sf_dir):
     n = nodes(spark, sf_dir)
     return graph.neighbors(edges(spark, sf_dir), n, _seeds(n), ["inherits", "implements"], False).select("edge_kind", "seed_id", "id", "display_name")
@@ -70,12 +70,12 @@ def contained_children(spark, sf_dir):
 
 
 @query(f""", up AS (
-  SELECT target_id AS id, source_id AS above, 1 AS depth FROM edges WHERE kind = 'contains' AND target_id IN (SELECT id FROM nodes WHERE kind = 'Method' AND id LIKE 'method:%00')
+  SELECT target_id AS id, source_id AS above, 1 AS depth FROM edges WHERE kind = 'contains' AND target_id IN (SELECT id FROM nodes WHERE kind = 'Method')
   UNION SELECT up.id, e.source_id, up.depth + 1 FROM up JOIN edges e ON e.target_id = up.above AND e.kind = 'contains'
 ) SELECT up.above AS id, CAST(min(depth) AS INT) AS depth, max({case('n.kind', schema.NODE_PRIORITY, 10)} + 50) AS score FROM up JOIN nodes n ON n.id = up.above GROUP BY up.above""")
 def ancestors(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    return closure.ancestors(n, edges(spark, sf_dir), n.where("kind = 'Method' and id like 'method:%00'").select("id"))
+    return closure.ancestors(n, edges(spark, sf_dir), n.where("kind = 'Method'").select("id"))
 
 
 @query(""", closed AS (
@@ -237,10 +237,10 @@ def project_neighbors(spark, sf_dir):
     return graph.project_neighbors(edges(spark, sf_dir), n, n.where("id = 'project:0'"))
 
 
-@query(""" SELECT id, kind, display_name || CASE WHEN kind = 'Type' AND id LIKE '%5' THEN ' (new)' ELSE '' END AS display_name FROM nodes WHERE kind IN ('Type', 'Project')""")
+@query(""" SELECT id, kind, display_name || CASE WHEN kind = 'Type' AND id LIKE '%5' THEN ' (new)' ELSE '' END AS display_name FROM nodes""")
 def node_upsert(spark, sf_dir):
-    """Types and projects, with types of keys that end in 5 renamed by a later batch."""
-    n = nodes(spark, sf_dir).where("kind in ('Type', 'Project')").select("id", "kind", "display_name")
+    """All nodes, with types of keys that end in 5 renamed by a later batch."""
+    n = nodes(spark, sf_dir).select("id", "kind", "display_name")
     return graph.upsert_nodes(n, n.where("kind = 'Type' and id like '%5'").withColumn("display_name", F.concat("display_name", F.lit(" (new)"))))
 
 
@@ -258,10 +258,10 @@ def changed_state(spark, sf_dir):
     return closure.changed_states(fingerprints(o), fingerprints(o.where("not late"))).select("project_id", "fingerprint")
 
 
-@query(""" SELECT id, kind, CASE WHEN owning_project_id IN ('project:0', 'project:1', 'project:2', 'project:3') THEN display_name || '*' ELSE display_name END AS display_name, owning_project_id FROM nodes WHERE owning_project_id IS NOT NULL AND kind <> 'Method'""")
+@query(""" SELECT id, kind, CASE WHEN owning_project_id IN ('project:0', 'project:1', 'project:2', 'project:3') THEN display_name || '*' ELSE display_name END AS display_name, owning_project_id FROM nodes WHERE owning_project_id IS NOT NULL""")
 def incremental_merge(spark, sf_dir):
     """Project 2 changed: it and its dependents are rebuilt (names get a mark), the rest is reused."""
-    n = nodes(spark, sf_dir).where("owning_project_id is not null and kind <> 'Method'").select("id", "kind", "display_name", "owning_project_id")
+    n = nodes(spark, sf_dir).where("owning_project_id is not null").select("id", "kind", "display_name", "owning_project_id")
     stale = closure.stale_projects(spark.range(1).select(F.lit("project:2").alias("id")), edges(spark, sf_dir).where("kind = 'depends_on_project'"))
     rebuilt = n.join(stale.select(F.col("id").alias("owning_project_id")), "owning_project_id", "left_semi").withColumn("display_name", F.concat("display_name", F.lit("*")))
     return closure.merged_snapshot(n, rebuilt, stale, "owning_project_id", ["id"]).select("id", "kind", "display_name", "owning_project_id")

@@ -197,30 +197,30 @@ def except_ci(spark, sf_dir):
 
 
 @query("""
-WITH reg AS (SELECT p_partkey AS reg_id, replace(p_name, ' ', '.') AS type, p_brand AS project FROM part WHERE p_partkey % 3 = 0),
-use AS (SELECT p_partkey AS use_id, p_brand AS project, unnest([split_part(p_name, ' ', 2), replace(p_name, ' ', '.')]) AS name FROM part WHERE p_partkey % 3 = 1),
+WITH reg AS (SELECT p_partkey AS reg_id, replace(p_name, ' ', '.') AS type, p_brand AS project FROM part),
+use AS (SELECT p_partkey AS use_id, p_brand AS project, unnest([split_part(p_name, ' ', 2), replace(p_name, ' ', '.')]) AS name FROM part),
 forms AS (SELECT reg_id, project, type AS name FROM reg UNION SELECT reg_id, project, split_part(type, '.', 2) FROM reg),
 amb AS (SELECT name, count(DISTINCT project) AS projects FROM forms GROUP BY name)
 SELECT DISTINCT reg_id, use_id FROM use JOIN forms USING (name) JOIN amb USING (name) WHERE projects = 1 OR use.project = forms.project""")
 def registration_consumers(spark, sf_dir):
     """Parts as registrations and as consumers of a list of the simple name and of the full name."""
     p = read(spark, sf_dir, "part").withColumn("type", F.replace("p_name", F.lit(" "), F.lit(".")))
-    registered = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("reg_id"), "type", F.col("p_brand").alias("project"))
+    registered = p.select(F.col("p_partkey").alias("reg_id"), "type", F.col("p_brand").alias("project"))
     wrapped = F.array(F.concat(F.lit("IReadOnlyList<"), F.split("p_name", " ")[1], F.lit(">")), F.concat(F.col("type"), F.lit("[]")), F.concat(F.lit("ILogger<"), "type", F.lit(">")))
-    used = p.where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("use_id"), F.col("p_brand").alias("project"), wrapped.alias("parameter_types"))
+    used = p.select(F.col("p_partkey").alias("use_id"), F.col("p_brand").alias("project"), wrapped.alias("parameter_types"))
     return facts.registration_consumers(registered, used)
 
 
 @query("""
-WITH reg AS (SELECT p_partkey AS reg_id, replace(p_name, ' ', '.') AS type, p_brand AS project FROM part WHERE p_partkey % 10 = 0),
-ty AS (SELECT p_partkey AS id, split_part(p_name, ' ', 2) AS display_name, replace(p_name, ' ', '.') AS metadata_name, p_brand AS project FROM part WHERE p_partkey % 10 = 1)
+WITH reg AS (SELECT p_partkey AS reg_id, replace(p_name, ' ', '.') AS type, p_brand AS project FROM part),
+ty AS (SELECT p_partkey AS id, split_part(p_name, ' ', 2) AS display_name, replace(p_name, ' ', '.') AS metadata_name, p_brand AS project FROM part)
 SELECT reg_id, id, score FROM (SELECT reg_id, id, score, row_number() OVER (PARTITION BY reg_id ORDER BY score DESC, id) AS k FROM (
   SELECT reg_id, id, CASE WHEN metadata_name = type THEN 300 WHEN display_name = type THEN 260 WHEN ends_with(upper(metadata_name), upper('.' || type)) THEN 180 ELSE 170 END + CASE WHEN ty.project = reg.project THEN 20 ELSE 0 END AS score
   FROM reg JOIN ty ON upper(split_part(type, '.', 2)) = upper(display_name))) WHERE k = 1""")
 def registration_best_type(spark, sf_dir):
     p = read(spark, sf_dir, "part").withColumn("type", F.replace("p_name", F.lit(" "), F.lit(".")))
-    registered = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("reg_id"), "type", F.col("p_brand").alias("project"))
-    types = p.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[1].alias("display_name"), F.col("type").alias("metadata_name"), F.col("p_brand").alias("project"))
+    registered = p.select(F.col("p_partkey").alias("reg_id"), "type", F.col("p_brand").alias("project"))
+    types = p.select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[1].alias("display_name"), F.col("type").alias("metadata_name"), F.col("p_brand").alias("project"))
     return facts.best_types(registered, types)
 
 
