@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, scores
 from ..functions.paths import test_path
-from ..operators import closure, diagnostics, facts, graph, markup, render
+from ..operators import build, closure, diagnostics, facts, graph, markup, render
 from ..sources import snapshot, text
 from . import change, impact
 
@@ -104,8 +104,35 @@ class Workspace:
     def graph_stats(self) -> DataFrame:
         return graph.kind_counts(self.nodes).withColumn("of", F.lit("node")).unionByName(graph.kind_counts(self.edges).withColumn("of", F.lit("edge")))
 
-    def save_graph(self, path: str) -> None:
-        snapshot.write_snapshot({"nodes": self.nodes, "edges": self.edges}, path)
+    def save_graph(self, path: str, target: str = "", options: str = "") -> None:
+        snapshot.write_snapshot({name: self.tables[name] for name in snapshot.TABLES if name in self.tables}, path, target, options)
+
+    def build_code_graph(self, path: str, target: str = "", include_generated: bool = False, incremental: bool = True) -> dict:
+        """Builds nodes and edges from the tables symbols, places, relations, occurrences, documents, projects and states (fingerprints
+        of the projects), stores them as a snapshot below path, and goes on with them.
+
+        Builds upon the stored snapshot where it is of the same target and options. Returns reason (why not, or None) and the ids of
+        the rebuilt and reused projects.
+        """
+        spark, options = self.symbols.sparkSession, f"generated={include_generated}"
+        previous = snapshot.read_snapshot(spark, path) if incremental else None
+        reason = build.reuse_refused(previous, snapshot.snapshot_info(spark, path), target, options)
+        facts_ = {name: self.tables[name] for name in ("symbols", "places", "relations", "occurrences", "documents", "projects")}
+        got = build.build_graph(facts_, self.states, None if reason else previous, include_generated)
+        snapshot.write_snapshot({name: got[name] for name in snapshot.TABLES}, path, target, options)
+        self.tables |= snapshot.read_snapshot(spark, path)
+        rebuilt = sorted(r.id for r in got["rebuilt"].collect())
+        every = {r.project_id for r in self.projects.select("project_id").distinct().collect()}
+        return {"reason": reason, "rebuilt": rebuilt, "reused": sorted(every - set(rebuilt))}
+
+    def load_graph(self, path: str, target: str = "", include_generated: bool = False) -> bool:
+        """Goes on with the stored graph; builds one where there is none or none with calls. False where a graph had to be built."""
+        stored = snapshot.read_snapshot(self.symbols.sparkSession, path)
+        if stored is not None and build.has_calls(stored["edges"]):
+            self.tables |= stored
+            return True
+        self.build_code_graph(path, target, include_generated, incremental=False)
+        return False
 
     def export_graph(self, query: str, form: str = "mermaid", max_nodes: int = 80, max_edges: int = 160) -> DataFrame:
         focus = graph.preferred(graph.ranked_symbols(self.nodes, query, 8))
