@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +29,39 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear(spark: SparkSession) -> int:
-    """Deletes what this application has written by fresh_path so far, and returns the number of folders. Results that were
-    not yet written elsewhere are lost, so call it when the queries of a run are done."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    deleted = 0
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    hadoop, deleted = spark.sparkContext._jsc.hadoopConfiguration(), 0
     for p in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(p)
         deleted += at.getFileSystem(hadoop).delete(at, True)
     return deleted
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes what this application has written by fresh_path so far, and returns the number of folders. Results that were
+    not yet written elsewhere are lost, so call it when the queries of a run are done."""
+    return _delete(spark, _WRITTEN.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is written within is deleted at the end, but for the tables that are written by the function it gives, which is materialize."""
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = len(written), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(written[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        own = [p for p in written[before:] if p not in kept]
+        written[before:] = kept
+        _delete(spark, own)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)

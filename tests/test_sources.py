@@ -76,3 +76,11 @@ def test_clear_deletes_what_was_written(spark):
     df = storage.materialize(spark.range(3), "three")
     assert df.count() == 3 and storage.clear(spark) == 1 and storage.clear(spark) == 0
     storage._WRITTEN[spark.sparkContext.applicationId] = kept
+
+
+def test_scratch_keeps_what_it_is_told_to(spark):
+    with storage.scratch(spark) as keep:
+        gone = storage.materialize(spark.range(2), "gone")
+        kept = keep(gone.where("id = 1"), "kept")
+        paths = storage._WRITTEN[spark.sparkContext.applicationId][-2:]
+    assert kept.count() == 1 and paths[1] in storage._WRITTEN[spark.sparkContext.applicationId] and paths[0] not in storage._WRITTEN[spark.sparkContext.applicationId]
