@@ -65,3 +65,8 @@ def latest(rows: DataFrame, key: str, version: str, tie: str) -> DataFrame:
 def edit_totals(edits: DataFrame) -> DataFrame:
     """(changes: map of uri to an array of edits) to edits per file."""
     return edits.select(F.explode("changes").alias("uri", "list")).groupBy("uri").agg(F.sum(F.size("list")).cast("long").alias("edits"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row: the diagnostics and the documents that have any."""
+    return rows.groupBy("uri").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("diagnostics"), F.count("*").alias("documents"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from .graph import keep_first
+from .graph import keep_first, top_per_key
 
 # The patterns that name facts.
 ROUTE = r"\b\w+\.(Map(?:Get|Post|Put|Delete|Patch|Group))\s*\("
@@ -202,6 +202,68 @@ def registration_consumers(registered: DataFrame, used: DataFrame) -> DataFrame:
     return found.select("reg_id", "use_id").distinct()
 
 
+def matching_registrations(registered: DataFrame, query: str | None) -> DataFrame:
+    """Registrations whose service, implementation, path or source text holds the query, ignoring case; all without one."""
+    if not (query and query.strip()):
+        return registered
+    said = names.fold_ci(F.concat_ws("\n", "service", "implementation", "path", "source_text"))
+    return registered.where(said.contains(names.fold_text(query.strip())))
+
+
+def registration_report(registered: DataFrame, used: DataFrame | None, query: str | None = None, k: int = 50) -> DataFrame:
+    """The first k registrations that match, in order of service, implementation, path and line, with place, total, the first k of
+    their consumers and truncated_consumers. Both tables have a column project; without consumers (used) the lists are empty.
+
+    A name that several projects register is ambiguous over all that match, not only the first k.
+    """
+    own = matching_registrations(registered, query)
+    order = [*[names.fold_ci(F.coalesce(c, F.lit(""))) for c in ("service", "implementation", "path")], F.col("line"), F.col("source_text")]
+    top = top_per_key(own.withColumn("all", F.lit(0)), ["all"], order, k).drop("all", "truncated")
+    if used is None:
+        return top.withColumns({"consumers": F.array().cast("array<string>"), "truncated_consumers": F.lit(0).cast("long")})
+    key = F.xxhash64("project", "path", "line", "service", "implementation", "source_text")
+    own, top = own.withColumn("reg_id", key), top.withColumn("reg_id", key)
+    users = used.select("project", "path", "line", "display", "parameter_types").withColumn("use_id", F.struct("path", "line", "display"))
+    types = own.select("reg_id", "project", F.explode(F.array("service", "implementation")).alias("type")).where(~names.blank(F.col("type")) & (F.lower("type") != "factory"))
+    pairs = registration_consumers(types, users.select("use_id", "project", "parameter_types")).join(top.select("reg_id"), "reg_id", "left_semi").select("reg_id", "use_id.*")
+    first = top_per_key(pairs, ["reg_id"], [names.fold_ci("path"), F.col("line"), F.col("display")], k)
+    text = F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "display")
+    lists = first.groupBy("reg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))), lambda x: x.text).alias("consumers"), F.max("truncated").alias("truncated_consumers"))
+    return top.join(lists, "reg_id", "left").withColumns({"consumers": F.coalesce("consumers", F.array().cast("array<string>")), "truncated_consumers": F.coalesce("truncated_consumers", F.lit(0)).cast("long")}).drop("reg_id")
+
+
+def registrations_that_concern(registered: DataFrame, used: DataFrame, candidates: DataFrame, projects: DataFrame) -> DataFrame:
+    """Registrations whose service or implementation holds a candidate name (name, folded), or that a consumer in one of the projects
+    (project) uses whose text holds one. The candidates are the few names of a change's targets."""
+    said = names.fold_ci(F.concat_ws("\n", "service", "implementation"))
+    named = registered.withColumn("said", said).join(F.broadcast(candidates), F.col("said").contains(F.col("name")), "left_semi").drop("said")
+    near = used.join(projects.select("project").distinct(), "project", "left_semi").withColumn("said", names.fold_ci("display"))
+    near = near.join(F.broadcast(candidates), F.col("said").contains(F.col("name")), "left_semi").drop("said")
+    key = F.xxhash64("project", "path", "line", "service", "implementation")
+    keyed = registered.withColumn("reg_id", key)
+    types = keyed.select("reg_id", "project", F.explode(F.array("service", "implementation")).alias("type")).where(~names.blank(F.col("type")))
+    pairs = registration_consumers(types, near.withColumn("use_id", F.struct("path", "line", "display")).select("use_id", "project", "parameter_types"))
+    return named.unionByName(keyed.join(pairs.select("reg_id").distinct(), "reg_id", "left_semi").select(*registered.columns)).distinct()
+
+
+def declared_types(files: DataFrame, path: str) -> DataFrame:
+    """(name): the name of the file without its extension, and the types that it declares."""
+    own = files.where(F.col("path") == path)
+    found = F.concat(F.array(paths.stem(F.col("path"))), F.regexp_extract_all("content", F.lit(TYPE_DECLARATION), 1))
+    return own.select(F.explode(F.array_distinct(found)).alias("name")).where(~names.blank(F.col("name")))
+
+
+def test_report(rows: DataFrame, candidates: list[str], k: int = 20, lines_each: int = 3) -> DataFrame:
+    """The best k of test_map with place and total, the first lines that name a candidate, and the number of further ones."""
+    best = top_per_key(test_map(rows, candidates).withColumn("all", F.lit(0)), ["all"], [F.desc("score"), names.fold_ci("path"), F.col("path")], k).drop("all", "truncated")
+    any_of = [names.fold_ci("text").contains(names.fold_text(c)) for c in candidates]
+    hits = rows.join(best.select("path"), "path", "left_semi").where(F.greatest(F.lit(False), F.lit(False), *any_of))
+    first = top_per_key(hits.select("path", "line", F.trim("text").alias("text")), ["path"], [F.col("line"), F.col("text")], lines_each)
+    text = F.concat(F.col("line").cast("string"), F.lit(": "), "text")
+    lists = first.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))), lambda x: x.text).alias("lines"), F.max("truncated").alias("more_lines"))
+    return best.join(lists, "path", "left").withColumns({"lines": F.coalesce("lines", F.array().cast("array<string>")), "more_lines": F.coalesce("more_lines", F.lit(0)).cast("long")})
+
+
 def best_types(registered: DataFrame, types: DataFrame) -> DataFrame:
     """registered (reg_id, type, project) and types (id, display_name, metadata_name, project): the best node of each type name.
 

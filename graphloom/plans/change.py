@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from ..operators import diagnostics, graph
+from ..operators import diagnostics, graph, overlay
 
 # The phases of a plan in order: section, title.
 STEPS = (
@@ -39,6 +39,22 @@ def plan_steps(found: DataFrame, k: int = 10) -> DataFrame:
     return files.select((F.row_number().over(W.partitionBy().orderBy(order))).alias("step"), F.element_at(titles, F.col("phase")).alias("title"), "files")
 
 
+def impacted_projects(found: DataFrame, nodes: DataFrame, projects: DataFrame) -> DataFrame:
+    """The rows of projects (project_id, project_name, path, ...) that the sections touch: those that own a found node, that hold the
+    file of a test or entrypoint, or that an entrypoint stands for by its name."""
+    placed = found.where("section in ('test', 'entrypoint')").select("path").where(~names.blank(F.col("path"))).distinct()
+    ids = found.select("id").distinct()
+    own = nodes.join(ids, "id", "left_semi")
+    named = own.select("project_name").union(own.where("kind = 'Entrypoint'").select("display_name")).union(overlay.with_project(placed, projects).select("project_name"))
+    keys = named.where(~names.blank(F.col("project_name"))).select(names.fold_ci("project_name").alias("key")).distinct()
+    return projects.join(keys, names.fold_ci("project_name") == F.col("key"), "left_semi").orderBy(names.fold_ci("project_name"), "project_id")
+
+
+def primary_targets(found: DataFrame) -> DataFrame:
+    """The targets outside tests, or all of them where there are no others, in their order."""
+    return prefer_production(found.where("section = 'target'")).orderBy("place")
+
+
 def secondary_files(found: DataFrame) -> DataFrame:
     """Files of any section but those of the targets, ignoring case."""
     others = found.where("section <> 'target'").select("path").where(~names.blank(F.col("path"))).withColumn("key", names.fold_ci("path"))

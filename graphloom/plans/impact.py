@@ -54,11 +54,11 @@ def entrypoints(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Hosts of the targets' projects, and the entrypoints of any project in a target's file or that name a target."""
     found = nodes.where("kind = 'Entrypoint'")
     parts = names.unpack(F.col("documentation_id"))
-    packed = (F.size(parts) == 4) & (parts[0] == "entrypoint")
-    host = found.where(packed & (parts[1] == "host_project")).join(targets.select("owning_project_id").where("owning_project_id is not null").distinct(), "owning_project_id", "left_semi")
+    packed = (F.size(parts) == 4) & (F.get(parts, F.lit(0)) == "entrypoint")
+    host = found.where(packed & (F.get(parts, F.lit(1)) == "host_project")).join(targets.select("owning_project_id").where("owning_project_id is not null").distinct(), "owning_project_id", "left_semi")
     here = targets.where(~names.blank(F.col("file_path"))).select(names.fold_ci("file_path").alias("here")).distinct()
     placed = found.join(here, names.fold_ci("file_path") == F.col("here"), "left_semi")
-    said = names.fold_ci(F.concat_ws("\n", "display_name", F.when(packed, parts[2]), F.when(packed, parts[3])))
+    said = names.fold_ci(F.concat_ws("\n", "display_name", F.when(packed, F.get(parts, F.lit(2))), F.when(packed, F.get(parts, F.lit(3)))))
     named = found.withColumn("_said", said).join(F.broadcast(candidate_names(targets)), F.col("_said").contains(F.col("name")), "left_semi").drop("_said")
     return host.select(*nodes.columns).unionByName(placed).unionByName(named).dropDuplicates(["id"])
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names, scores
+from ..functions import names, paths
 from ..functions.paths import test_path
-from ..operators import build, closure, diagnostics, facts, graph, markup, render
+from ..operators import build, diagnostics, facts, graph, markup, overlay, render
 from ..sources import snapshot, text
-from . import change, impact
+from ..storage import materialize
+from . import change, export, impact, symbols
 
 
 class Workspace:
-    """Tables by name: nodes, edges, files, diagnostics, symbols, occurrences, definitions; those that a query needs must be there.
+    """Tables by name: nodes, edges, files, diagnostics, symbols, occurrences, definitions, hovers, projects, and those that a graph is
+    built from; those that a query needs must be there.
 
     Compiler facts (symbols, occurrences, relations, diagnostics) come in as tables; editor services that change code
     or depend on unsaved editor state are no queries and not part of it.
@@ -39,8 +41,14 @@ class Workspace:
         top = diagnostics.top_documents(rows, documents)
         return diagnostics.top_per_document(rows.join(top.select("uri"), "uri", "left_semi"), per_document, "message").join(top, "uri")
 
-    def document_diagnostics(self, uri: str) -> DataFrame:
-        return self.diagnostics.where(F.col("uri") == uri).orderBy("start_line", "start_char", "message")
+    def diagnostic_totals(self, minimum: str = "WARNING", **exclude) -> DataFrame:
+        return diagnostics.totals(diagnostics.filtered(self.diagnostics, minimum, **exclude))
+
+    def document_diagnostics(self, uri: str, first_line: int | None = None, last_line: int | None = None) -> DataFrame:
+        """Of one document, or of a range of its lines (what fixes for these lines concern)."""
+        rows = self.diagnostics.where(F.col("uri") == uri)
+        rows = rows if first_line is None else diagnostics.within_lines(rows, first_line, first_line if last_line is None else last_line)
+        return rows.orderBy("start_line", "start_char", "message")
 
     # symbols
     def document_symbols(self, path: str) -> DataFrame:
@@ -54,9 +62,17 @@ class Workspace:
     def references(self, symbol_id: str) -> DataFrame:
         return self.occurrences.where(F.col("symbol_id") == symbol_id).orderBy("path", "line", "start_char")
 
+    def hover(self, path: str, line: int, character: int) -> DataFrame:
+        return symbols.hover(self.hovers, path, line, character)
+
     def search_symbols(self, query: str, k: int = 50) -> DataFrame:
-        score = scores.symbol_search_score(query, F.col("name"), F.col("container_name"), F.col("path"))
-        return self.symbols.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), test_path(F.col("path")), names.fold_ci("name"), names.fold_ci("container_name"), "id").limit(max(1, k))
+        return symbols.ranked(symbols.search(self.symbols, query)).limit(max(1, k))
+
+    def analyze_symbol(self, query: str | None = None, path: str | None = None, line: int = -1, character: int = -1, k: int = 20) -> DataFrame:
+        """Sections of all that is known of the symbol at a position or of the best answer to a query; no row where there is none."""
+        own = materialize(symbols.resolve(self.symbols, query, path, line, character), "symbol")
+        rows = facts.lines(self.files) if "files" in self.tables else None
+        return symbols.analyze(own, self.nodes, self.edges, self.definitions, self.occurrences, rows, k)
 
     def semantic_search(self, mode: str) -> DataFrame:
         return facts.semantic_search(self.files, mode)
@@ -78,24 +94,59 @@ class Workspace:
 
     # architecture
     def project_overview(self) -> DataFrame:
-        return text.read_projects(self.files)
-
-    def find_entrypoints(self) -> DataFrame:
+        """Each project with its type, the projects that refer to it, and its first entrypoint files."""
+        own = text.read_projects(self.files)
+        users = own.select(F.col("name").alias("user"), F.explode("references").alias("name")).groupBy("name").agg(F.array_sort(F.collect_set("user")).alias("referenced_by"))
+        ids = own.select(F.col("path").alias("project_id"), F.col("name").alias("project_name"), "path")
+        found = overlay.entrypoint_files(overlay.with_project(self.files.where(F.lower("path").endswith(".cs")), ids).select("path", "content", "project_id"))
+        entries = found.groupBy(F.col("project_id").alias("path")).agg(F.array_sort(F.collect_list(F.struct("kind", F.col("path").alias("file")))).alias("entrypoint_files"))
+        return own.join(users, "name", "left").join(entries, "path", "left")
+
+    def project_totals(self) -> DataFrame:
+        """Projects by type and framework."""
+        own = text.read_projects(self.files)
+        return own.select("name", "type", F.explode_outer("frameworks").alias("framework")).groupBy("type", "framework").agg(F.count_distinct("name").alias("projects"))
+
+    def _with_project(self, rows: DataFrame) -> DataFrame:
+        """rows with the project whose folder holds their file; where none does, the first folder of the path stands for it."""
+        ids = text.read_projects(self.files).select(F.col("path").alias("project_id"), F.col("name").alias("project_name"), "path")
+        near = overlay.with_project(rows.select("path").distinct(), ids).select("path", F.col("project_name").alias("project"))
+        folder = F.substring_index(paths.normalized(F.col("path")), "/", 1)
+        return rows.join(near, "path", "left").withColumn("project", F.coalesce("project", F.when(folder != F.col("path"), folder), F.lit("")))
+
+    def find_entrypoints(self, project: str | None = None) -> DataFrame:
+        """category, kind, path, line, text: runnable projects, routes, hosted services, handlers, middleware and start-up calls."""
         rows = facts.lines(facts.source_files(self.files, tests=False))
+        hosts = text.read_projects(self.files).where(F.col("type").isin("web", "worker", "lambda", "executable"))
+        out = hosts.select(F.col("type").alias("kind"), "path", F.lit(1).alias("line"), F.col("name").alias("text"), F.lit("host_project").alias("category"))
         kinds = (("aspnet_route", facts.routes), ("hosted_service", facts.hosted_services), ("serverless_handler", facts.serverless_handlers), ("middleware", facts.middleware))
-        out = None
         for category, scan in kinds:
-            own = scan(rows).withColumn("category", F.lit(category))
-            out = own if out is None else out.unionByName(own)
-        return out.orderBy("category", names.fold_ci("path"), "line")
+            out = out.unionByName(scan(rows).withColumn("category", F.lit(category)))
+        calls = facts.startup_calls(rows)
+        out = out.unionByName(calls.select(F.col("name").alias("kind"), "path", "line", F.col("name").alias("text"), F.lit("startup_call").alias("category")))
+        if project:
+            out = out.where(names.contains_ci(F.col("path"), F.lit(project.strip())))
+        return out.orderBy("category", names.fold_ci("path"), "line", "kind")
 
-    def find_registrations(self) -> DataFrame:
-        return facts.registrations(facts.source_files(self.files)).orderBy("service", "implementation", names.fold_ci("path"), "line")
+    def endpoint_composition(self) -> DataFrame:
+        return facts.endpoint_composition(facts.lines(facts.source_files(self.files, tests=False)))
+
+    def find_registrations(self, query: str | None = None, consumers: bool = False, k: int = 50) -> DataFrame:
+        own = facts.source_files(self.files)
+        used = self._with_project(facts.consumers(own)) if consumers else None
+        return facts.registration_report(self._with_project(facts.registrations(own)), used, query, k).orderBy("place")
 
     # tests and dead code
-    def test_map(self, names: list[str]) -> DataFrame:
+    def test_map(self, names: list[str] | None = None, path: str | None = None, query: str | None = None, k: int = 20) -> DataFrame:
+        """Test files that concern names, or the types that a file declares, or a symbol query and its last name; a path goes before a query."""
+        if path:
+            names = [r.name for r in facts.declared_types(self.files, path).collect()]  # of one file
+        elif query and query.strip():
+            names = sorted({query.strip(), query.strip().split("(")[0].rsplit(".", 1)[-1]} - {""})
+        if not names:
+            raise ValueError("give names, a file path or a symbol query")
         tests = facts.source_files(self.files).where(test_path(F.col("path")))
-        return facts.test_map(facts.lines(tests), names).orderBy(F.desc("score"), "path")
+        return facts.test_report(facts.lines(tests), names, k).orderBy("place")
 
     def dead_code(self) -> DataFrame:
         return facts.dead_code(facts.source_files(self.files, tests=False, short_generated=True)).orderBy("kind", "path", "line", "name")
@@ -108,16 +159,16 @@ class Workspace:
         snapshot.write_snapshot({name: self.tables[name] for name in snapshot.TABLES if name in self.tables}, path, target, options)
 
     def build_code_graph(self, path: str, target: str = "", include_generated: bool = False, incremental: bool = True) -> dict:
-        """Builds nodes and edges from the tables symbols, places, relations, occurrences, documents, projects and states (fingerprints
-        of the projects), stores them as a snapshot below path, and goes on with them.
+        """Builds nodes and edges from the tables source_symbols, places, relations, call_sites, documents, projects (see operators.build)
+        and states (fingerprints of the projects), stores them as a snapshot below path, and goes on with them.
 
         Builds upon the stored snapshot where it is of the same target and options. Returns reason (why not, or None) and the ids of
         the rebuilt and reused projects.
         """
-        spark, options = self.symbols.sparkSession, f"generated={include_generated}"
+        spark, options = self.source_symbols.sparkSession, f"generated={include_generated}"
         previous = snapshot.read_snapshot(spark, path) if incremental else None
         reason = build.reuse_refused(previous, snapshot.snapshot_info(spark, path), target, options)
-        facts_ = {name: self.tables[name] for name in ("symbols", "places", "relations", "occurrences", "documents", "projects")}
+        facts_ = {"symbols": self.source_symbols, "occurrences": self.call_sites} | {name: self.tables[name] for name in ("places", "relations", "documents", "projects")}
         got = build.build_graph(facts_, self.states, None if reason else previous, include_generated)
         snapshot.write_snapshot({name: got[name] for name in snapshot.TABLES}, path, target, options)
         self.tables |= snapshot.read_snapshot(spark, path)
@@ -127,27 +178,26 @@ class Workspace:
 
     def load_graph(self, path: str, target: str = "", include_generated: bool = False) -> bool:
         """Goes on with the stored graph; builds one where there is none or none with calls. False where a graph had to be built."""
-        stored = snapshot.read_snapshot(self.symbols.sparkSession, path)
+        stored = snapshot.read_snapshot(self.source_symbols.sparkSession, path)
         if stored is not None and build.has_calls(stored["edges"]):
             self.tables |= stored
             return True
         self.build_code_graph(path, target, include_generated, incremental=False)
         return False
 
-    def export_graph(self, query: str, form: str = "mermaid", max_nodes: int = 80, max_edges: int = 160) -> DataFrame:
-        focus = graph.preferred(graph.ranked_symbols(self.nodes, query, 8))
-        own = focus.select("id", F.lit(1000).alias("score"), F.lit("focus").alias("reason"), F.lit(0).alias("seq"))
-        for i, incoming in enumerate((True, False)):
-            near = graph.neighbors(self.edges, self.nodes, focus, ["calls", "inherits", "implements", "overrides", "contains"], incoming)
-            own = own.unionByName(near.select("id", F.lit(800).alias("score"), F.col("edge_kind").alias("reason"), F.lit(i + 1).alias("seq")))
-        above = closure.ancestors(self.nodes, self.edges, focus)
-        own = own.unionByName(above.select("id", "score", F.lit("ancestor").alias("reason"), F.lit(3).alias("seq")))
-        nodes, edges = graph.select_slice(own, self.nodes, self.edges, max_nodes, max_edges)
-        return {"mermaid": render.mermaid, "dot": render.dot}[form](nodes, edges)
+    def export_graph(self, query: str | None = None, form: str = "mermaid", max_nodes: int = 80, max_edges: int = 160, **settings) -> DataFrame:
+        """The text of a slice around a symbol, of a project, or of the whole (see export.select for the settings)."""
+        layouts = {"mermaid": render.mermaid, "dot": render.dot}
+        if form.strip().lower() not in layouts:
+            raise ValueError(f"unknown layout {form!r}; the layouts are {', '.join(layouts)}")
+        nodes, edges, _ = export.select(self.nodes, self.edges, query, max_nodes=max_nodes, max_edges=max_edges, **settings)
+        return layouts[form.strip().lower()](nodes, edges)
 
     # change
     def impact_sections(self, query: str | None = None, path: str | None = None, k: int = 20) -> DataFrame:
-        tests = self.test_map([query]) if query and "files" in self.tables else None
+        tests = None
+        if "files" in self.tables:
+            tests = self.test_map(path=path if not query else None, query=query, k=k) if query or path else None
         return impact.sections(self.nodes, self.edges, query, path, k, tests)
 
     def change_impact(self, query: str | None = None, path: str | None = None, k: int = 20) -> DataFrame:
@@ -156,6 +206,17 @@ class Workspace:
     def plan_change(self, query: str | None = None, path: str | None = None, k: int = 10) -> DataFrame:
         return change.plan_steps(self.impact_sections(query, path, k), k)
 
+    def impacted_projects(self, query: str | None = None, path: str | None = None, k: int = 20) -> DataFrame:
+        """The projects of the table projects that a change reaches."""
+        return change.impacted_projects(self.impact_sections(query, path, k), self.nodes, self.projects)
+
+    def impacted_registrations(self, query: str | None = None, path: str | None = None) -> DataFrame:
+        """Registrations in the source files that name a target, or whose consumers in the targets' projects do."""
+        own = facts.source_files(self.files)
+        targets = materialize(impact.resolve_targets(self.nodes, self.edges, query, path), "targets")
+        projects = targets.select(F.col("project_name").alias("project")).where("project is not null")
+        return facts.registrations_that_concern(self._with_project(facts.registrations(own)), self._with_project(facts.consumers(own)), impact.candidate_names(targets), projects)
+
     def verify_change(self, changed: DataFrame, query: str | None = None, path: str | None = None, minimum: str = "WARNING") -> DataFrame:
         return change.verify_change(self.impact_sections(query, path), changed, self.diagnostics, minimum)
 

@@ -73,4 +73,4 @@ def unpacked(nodes: DataFrame) -> DataFrame:
     """Registration nodes with their packed documentation id as columns: lifetime, service, implementation, is_factory, is_enumerable."""
     own = nodes.where(F.col("documentation_id").startswith("di|")).withColumn("part", unpack(F.col("documentation_id")))
     part = F.col("part")
-    return own.select("id", part[1].alias("lifetime"), part[2].alias("service"), F.when(part[3] != "", part[3]).alias("implementation"), (part[4] == "factory").alias("is_factory"), (part[5] == "enumerable").alias("is_enumerable"))
+    return own.select("id", F.get(part, F.lit(1)).alias("lifetime"), F.get(part, F.lit(2)).alias("service"), F.when(F.get(part, F.lit(3)) != "", F.get(part, F.lit(3))).alias("implementation"), (F.get(part, F.lit(4)) == "factory").alias("is_factory"), (F.get(part, F.lit(5)) == "enumerable").alias("is_enumerable"))

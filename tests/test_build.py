@@ -48,6 +48,11 @@ def states(spark, **changed):
     return spark.createDataFrame([(f"p:{n}", n, f"{n}.csproj", changed.get(n, "1"), []) for n in ("Dough", "Oven", "Shop", "Other")], schema.PROJECT_STATES)
 
 
+def workspace(spark, **more):
+    other = {"symbols": "source_symbols", "occurrences": "call_sites"}
+    return Workspace(**{other.get(k, k): v for k, v in facts(spark).items()}, **more)
+
+
 def names(df):
     return {r.id.split("::")[-1] for r in df.collect() if "::" in r.id}
 
@@ -84,12 +89,12 @@ def test_incremental_build_equals_a_whole_one(spark):
 
 def test_snapshot_or_build(spark, tmp_path):
     path = f"file://{tmp_path}/g"
-    ws = Workspace(**facts(spark), states=states(spark))
+    ws = workspace(spark, states=states(spark))
     assert ws.build_code_graph(path, "all.sln") == {"reason": "no snapshot of this schema", "rebuilt": ["p:Dough", "p:Other", "p:Oven", "p:Shop"], "reused": []}
     assert ws.nodes.count() > 10 and build.has_calls(ws.edges)
-    ws = Workspace(**facts(spark), states=states(spark, Shop="2"))
+    ws = workspace(spark, states=states(spark, Shop="2"))
     assert ws.build_code_graph(path, "all.sln") == {"reason": None, "rebuilt": ["p:Shop"], "reused": ["p:Dough", "p:Other", "p:Oven"]}
     assert ws.build_code_graph(path, "other.sln")["reason"] == "another workspace"
     assert ws.build_code_graph(path, "other.sln", include_generated=True)["reason"] == "other options"
-    fresh = Workspace(**facts(spark), states=states(spark))
+    fresh = workspace(spark, states=states(spark))
     assert fresh.load_graph(path, "other.sln") and fresh.nodes.count() > 10
