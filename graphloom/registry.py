@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import graph, text
+from .queries import graph, source, text
 
-QUERIES: dict = {**graph.QUERIES, **text.QUERIES}
-ORACLES: dict[str, str] = {**graph.ORACLES, **text.ORACLES}
+QUERIES: dict = {**graph.QUERIES, **text.QUERIES, **source.QUERIES}
+ORACLES: dict[str, str] = {**graph.ORACLES, **text.ORACLES, **source.ORACLES}
