@@ -66,8 +66,9 @@ def changed_states(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 def merged_snapshot(previous: DataFrame, rebuilt: DataFrame, stale: DataFrame, owner: str, keys: list[str]) -> DataFrame:
     """Rows of the previous snapshot whose owner isn't stale, and all rebuilt rows; a rebuilt row replaces one of the same keys."""
-    from .graph import keep_first
+    from .graph import free_name, keep_first
 
+    new = free_name(previous, "_new")
     kept = previous.join(stale.select(F.col("id").alias(owner)).distinct(), owner, "left_anti")
-    rows = kept.withColumn("_new", F.lit(0)).unionByName(rebuilt.withColumn("_new", F.lit(1)))
-    return keep_first(rows, keys, [F.desc("_new"), *[F.col(c) for c in sorted(previous.columns)]]).drop("_new")
+    rows = kept.withColumn(new, F.lit(0)).unionByName(rebuilt.withColumn(new, F.lit(1)))
+    return keep_first(rows, keys, [F.desc(new), *[F.col(c) for c in sorted(previous.columns)]]).drop(new)

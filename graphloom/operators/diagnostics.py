@@ -49,7 +49,8 @@ def in_focus(rows: DataFrame, files: DataFrame | None) -> DataFrame:
     """Diagnostics of the focus files (path), ignoring case; all of them without a focus."""
     if files is None:
         return rows
-    return rows.withColumn("_key", names.fold_ci("uri")).join(files.select(names.fold_ci("path").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
+    focus = files.select(names.fold_ci("path").alias("key")).distinct()
+    return rows.join(focus, names.fold_ci("uri") == focus["key"], "left_semi")
 
 
 def within_lines(rows: DataFrame, first: int, last: int) -> DataFrame:

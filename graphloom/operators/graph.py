@@ -17,7 +17,16 @@ def node_order(path: str = "file_path", line: str = "line") -> list[Column]:
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """One row for each key, the first in order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    n = free_name(df, "_n")
+    return df.withColumn(n, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or one made of it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -35,11 +44,11 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
 
 def upsert_nodes(*batches: DataFrame) -> DataFrame:
     """Nodes by id; of several rows of an id the one of the last batch stays."""
-    rows = None
+    rows, number = None, free_name(batches[0], "_batch")
     for i, b in enumerate(batches):
-        own = b.withColumn("_batch", F.lit(i))
+        own = b.withColumn(number, F.lit(i))
         rows = own if rows is None else rows.unionByName(own)
-    return keep_first(rows, ["id"], [F.desc("_batch"), F.col("kind"), F.col("display_name")]).drop("_batch")
+    return keep_first(rows, ["id"], [F.desc(number), F.col("kind"), F.col("display_name")]).drop(number)
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, kinds: list[str], incoming: bool) -> DataFrame:

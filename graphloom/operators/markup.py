@@ -131,7 +131,10 @@ def repeated_after_first(rows: DataFrame, keys: list, order: list) -> DataFrame:
     """All rows of a key but the first in order."""
     from pyspark.sql import Window as W
 
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n > 1").drop("_n")
+    from .graph import free_name
+
+    n = free_name(rows, "_n")
+    return rows.withColumn(n, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(n) > 1).drop(n)
 
 
 def unused_resources(defined: DataFrame, used: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import closure, facts, graph
+from graphloom.operators import closure, diagnostics, facts, graph
 
 
 def test_deepest_range_against_all_pairs(spark):
@@ -64,4 +64,11 @@ def test_best_types_against_all_pairs(spark):
 def test_lines_of_matches(spark):
     own = spark.createDataFrame([("a", "x\ny x\n\nx x"), ("b", None), ("c", "nothing")], "path string, content string")
     assert [(r.path, r.line, r.end) for r in facts.file_matches(own, "x", 0).orderBy("path", "end").collect()] == [("a", 1, 1), ("a", 2, 5), ("a", 4, 8), ("a", 4, 10)]
-    assert "content" not in facts.file_matches(own, "x", 0).columns and F
+    assert "content" not in facts.file_matches(own, "x", 0).columns
+
+
+def test_names_that_clash_with_those_inside(spark):
+    own = spark.createDataFrame([("a", "Type", "x", 1, 7, 9), ("a", "Type", "y", 2, 8, 9)], "id string, kind string, display_name string, _n int, _batch int, key int")
+    assert graph.keep_first(own, [F.col("id")], [F.col("_n")]).collect() == [own.first()]
+    assert [tuple(r) for r in graph.upsert_nodes(own, own.where("_n = 2")).collect()] == [("a", "Type", "y", 2, 8, 9)]
+    assert diagnostics.in_focus(own.withColumnRenamed("id", "uri"), spark.createDataFrame([("A",)], "path string")).count() == 2
