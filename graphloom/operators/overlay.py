@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 from . import facts
-from .graph import keep_first
+from .graph import as_of, keep_first
 
 
 def with_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
@@ -55,12 +55,32 @@ def host_entrypoints(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, _owned(nodes)
 
 
+# Which kind of node stands for a line that several begin on.
+KIND_RANK = {"Method": 4, "Property": 3, "Event": 3, "Type": 2, "Field": 1}
+NO_MEMBER = ("Project", "Document", "Namespace")
+
+
+def enclosing_members(sites: DataFrame, members: DataFrame) -> DataFrame:
+    """sites (use_id, path, line, project_name) and nodes (id, kind, project_name, file_path, line) to use_id, id: the last node at or
+    before the site's line in its file, of the site's project where there is one; of a line's nodes that of the highest kind."""
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in KIND_RANK.items() for x in pair]), F.col("kind")), F.lit(0))
+    own = members.where(~names.blank(F.col("file_path")) & F.col("line").isNotNull() & ~F.col("kind").isin(*NO_MEMBER))
+    own = own.select("id", paths.normalized(F.col("file_path")).alias("file"), "line", names.fold_ci(F.coalesce("project_name", F.lit(""))).alias("project"), rank.alias("rank"))
+    asked = sites.select("use_id", paths.normalized(F.col("path")).alias("file"), F.col("line").alias("use_line"), names.fold_ci(F.coalesce("project_name", F.lit(""))).alias("project"))
+    found = None
+    for key in (F.concat_ws("\n", "file", "project"), F.col("file")):
+        first = keep_first(own.withColumn("key", key), [F.col("key"), F.col("line")], [F.desc("rank"), F.col("id")]).select("id", "key", "line")
+        near = as_of(asked.withColumn("key", key), first, "key", "use_line", "line", "id").where("found_id is not null").select("use_id", F.col("found_id").alias("id"))
+        found = near if found is None else found.unionByName(near.join(found.select("use_id"), "use_id", "left_anti"))
+    return found
+
+
 def registrations(registered: DataFrame, used: DataFrame, types: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Registrations (service, implementation, ..., path, line, project_id, project_name) as nodes, with edges to the types that they
     name and to what consumes them.
 
     used: consumers (path, line, display, parameter_types, project_name). types: (id, display_name, metadata_name, project). members:
-    nodes of symbols, in which a consumer's place finds the last symbol at or before its line in its file.
+    nodes of symbols, among which a consumer's place finds its own (see enclosing_members).
     """
     shown = F.when(names.blank(F.col("implementation")), F.concat_ws(" ", "lifetime", "service")).otherwise(F.concat("lifetime", F.lit(" "), "service", F.lit(" -> "), "implementation"))
     id_ = F.concat_ws(":", F.lit("registration"), "project_id", paths.normalized(F.col("path")), F.col("line").cast("string"), "service", F.coalesce("implementation", F.lit("")))
@@ -73,8 +93,7 @@ def registrations(registered: DataFrame, used: DataFrame, types: DataFrame, memb
     to_types = linked.select(F.lit("registered_as").alias("kind"), F.substring_index("reg_id", "\n", 1).alias("source_id"), F.col("id").alias("target_id"))
     uses = used.withColumn("use_id", F.concat_ws("|", "path", F.col("line").cast("string"), "display"))
     pairs = facts.registration_consumers(named.select("reg_id", "type", "project"), uses.select("use_id", F.col("project_name").alias("project"), "parameter_types"))
-    places = uses.select("use_id", F.col("path").alias("file_path"), F.col("line").alias("use_line")).join(members.select("id", "file_path", "line"), "file_path").where("line <= use_line")
-    nearest = keep_first(places, [F.col("use_id")], [F.desc("line"), F.col("id")]).select("use_id", "id")
+    nearest = enclosing_members(uses.select("use_id", "path", "line", "project_name"), members)
     to_users = pairs.join(nearest, "use_id").select(F.lit("consumed_by").alias("kind"), F.col("reg_id").alias("source_id"), F.col("id").alias("target_id"))
     return nodes, _owned(nodes).unionByName(to_types).unionByName(to_users).distinct()
 
