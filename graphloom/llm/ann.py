@@ -7,8 +7,9 @@ centres; codes and centres minimise the residual with its part along the vector
 Equal vectors become one row with the k + 1 smallest ids, which is all that a list of k without the query itself can
 need. Codes (half a byte for each two dimensions) and queries are dealt to blocks; each task scans one block of codes for one
 block of queries: per query a table of 16 scores for each subspace, two of which are read as one byte. Only codes are
-copied, once for each ``QUERY_ROWS`` queries; of every block and then of all blocks the best ``rerank_depth`` rows of a query go
-on, their original vectors are fetched by one join, and scored exactly in double precision. The best k are the result.
+copied, once for each ``QUERY_ROWS`` queries. Rows are dealt to blocks by hash, so a block's share of a query's best rows is even
+but for chance, and each block gives its share with four deviations more; of all blocks the best ``rerank_depth`` rows of a query
+go on, their original vectors are fetched by one join, and scored exactly in double precision. The best k are the result.
 
 Every code is compared with every query: a coarse partition of cells would save work where vectors cluster, but on
 vectors without clusters half of all cells must be probed for nine of ten neighbours.
@@ -147,6 +148,18 @@ def rerank_depth(n: int, least: int = RERANK) -> int:
     return math.ceil(least * max(1.0, n / RERANK_ROWS) ** RERANK_POWER)
 
 
+def block_depth(depth: int, n_blocks: int) -> int:
+    """How many rows a block gives so that hardly any of the best depth rows over all blocks is missed."""
+    share = depth / n_blocks
+    return min(depth, math.ceil(share + 4 * math.sqrt(share) + 4))
+
+
+def _matrix(column) -> np.ndarray:
+    """The rows of an Arrow column of lists of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def fit_quantiser(index: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> AnisotropicQuantiser:
     """On a share of the n vectors, chosen by a hash, of about fit_rows rows at most."""
     share = index if n <= fit_rows else index.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
@@ -160,7 +173,7 @@ def codes(index: DataFrame, quantiser: AnisotropicQuantiser) -> DataFrame:
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist(), float)
+                x = _matrix(batch.column(1))
                 packed = quantiser.pack(quantiser.encode(unit(x)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in packed], pa.binary())], ["row", "code"])
 
@@ -172,6 +185,8 @@ def scanned(coded: DataFrame, asked: DataFrame, quantiser: AnisotropicQuantiser,
     tasks = min(shuffle_partitions(coded.sparkSession), max(1, n // 4096))
     n_blocks, n_parts = max(tasks, -(-n // block_rows)), max(1, -(-asked.count() // query_rows))
 
+    most = block_depth(depth, n_blocks)
+
     def every(k):
         return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
 
@@ -185,7 +200,7 @@ def scanned(coded: DataFrame, asked: DataFrame, quantiser: AnisotropicQuantiser,
             q, ids = np.stack(asked["query"].to_numpy()).astype(float), asked["asked_row"].to_numpy()
             step = max(1, (1 << 22) // len(own))
             for at in range(0, len(q), step):
-                near, score = scan(quantiser.tables(unit(q[at : at + step])), packed, depth)
+                near, score = scan(quantiser.tables(unit(q[at : at + step])), packed, most)
                 for column, values in zip(found, (np.repeat(ids[at : at + step], near.shape[1]), rows[near].ravel(), score.ravel())):
                     column.append(values)
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in zip(("asked_row", "row", "score"), found)})
@@ -201,7 +216,7 @@ def exact_scores(pairs: DataFrame) -> DataFrame:
     def score(batches):
         for batch in batches:
             if batch.num_rows:
-                q, x = (np.array(batch.column(c).to_pylist(), float) for c in ("query", "vector"))
+                q, x = (_matrix(batch.column(c)) for c in ("query", "vector"))
                 yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(cosines(q, x))], ["query_id", "ids", "score"])
 
     return pairs.select("query_id", "query", "ids", "vector").mapInArrow(score, "query_id long, ids array<long>, score double")
