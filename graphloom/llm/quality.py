@@ -6,7 +6,7 @@ rows there are. A class covariance is shrunk towards the pooled one and that tow
 is computed once and goes to the tasks. The score is the posterior of label 1: the logistic of the difference of the
 two Mahalanobis log densities plus the log prior odds.
 
-Edge cases: null text is empty and is scored; a null id is held out; repeated ids are scored row by row; without
+Edge cases: null text is empty and is scored; a null id is held out; repeated ids are scored row by row; a very long text is read whole; without
 labelled rows of both classes the score is the share of label 1 among them (0.5 without any); an empty table gives no
 row; further columns are ignored.
 """
