@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 
 def runs(words: Column, n: int) -> Column:
-    """All runs of 1 to n consecutive words of an array, repeats included."""
-    out = words
+    """All runs of 1 to n consecutive words of an array, repeats included.
+
+    No lambda looks into the array: where the optimizer writes an expression in the place of its column, as filters that
+    move down do, a lambda would compute the array anew for each element.
+    """
+    out = longest = words
     for length in range(2, n + 1):
-        starts = F.slice(words, 1, F.greatest(F.size(words) - (length - 1), F.lit(0)))
-        longer = F.transform(starts, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, length)]))
-        out = F.concat(out, longer)
+        number = F.greatest(F.size(words) - (length - 1), F.lit(0))
+        longest = F.zip_with(F.slice(longest, 1, number), F.slice(words, length, number), lambda run, w: F.concat_ws(" ", run, w))
+        out = F.concat(out, longest)
     return out
 
 
@@ -29,7 +33,7 @@ def bucket(feature: Column, buckets: int) -> Column:
 def bucket_counts(features: DataFrame, buckets: int, *marks: Column) -> tuple[list[int], ...]:
     """features (features: array<string>) -> occurrences in each bucket; for each further boolean, those of the rows where it holds."""
     names = [f"mark_{i}" for i in range(len(marks))]
-    # explode would infer a filter on the array's size, which puts its whole expression into every lambda that looks into it
+    # explode would infer a filter on the array's size, and compute the array twice
     each = features.select(*[m.alias(name) for m, name in zip(marks, names)], F.explode_outer("features").alias("feature")).withColumn("bucket", bucket(F.col("feature"), buckets))
     out = tuple([0] * buckets for _ in range(1 + len(marks)))
     for r in each.where("feature is not null").groupBy("bucket").agg(F.count("*"), *[F.count_if(F.col(name)) for name in names]).collect():  # at most a row for each bucket

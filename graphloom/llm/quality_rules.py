@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, held_out, id_and_text, read
+from .common import WHITE, held_out, id_and_text, materialize, read
 from .hashed_grams import CRC_SQL, bucket_counts, runs, total_weight
 
 WORD, SYMBOLS, WINDOW = r"[^\x20\x09-\x0D]+", "#*$%&|<>", 3
@@ -38,16 +38,16 @@ def repeated_lines(text: Column) -> Column:
 
 
 def with_base_counts(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, words and the base counts. Each step is a select of its own: the next one looks into its arrays often."""
+    """docs (doc_id, text) -> doc_id, words and the base counts."""
     rows = docs.select("*", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
-    windows = F.transform(
-        F.slice("words", 1, F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))),
-        lambda w, i: F.concat_ws(" ", w, *[F.get("words", i + k) for k in range(1, WINDOW)]),
-    )
+    number = F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))
+    windows = F.slice("words", 1, number)
+    for k in range(2, WINDOW + 1):
+        windows = F.zip_with(windows, F.slice("words", k, number), lambda run, w: F.concat_ws(" ", run, w))
     placed = F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("hash"), w.alias("window"), i.alias("at")))
     rows = rows.select("doc_id", "text", "words", F.sort_array(placed).alias("windows"))
-    found_twice = F.transform("windows", lambda w, i: F.when((w.window == F.get("windows", i - 1).window) | (w.window == F.get("windows", i + 1).window), w["at"]))
-    covered = F.flatten(F.transform(F.filter(found_twice, lambda at: at.isNotNull()), lambda at: F.array(*[at + k for k in range(WINDOW)])))
+    neighbours = F.zip_with("windows", F.slice("windows", 2, F.size("windows")), lambda a, b: F.when(a.window == b.window, F.array(*[w["at"] + k for w in (a, b) for k in range(WINDOW)])))
+    covered = F.flatten(F.filter(neighbours, lambda places: places.isNotNull()))
     counts = {
         "n_words": F.size("words"), "word_chars": F.char_length(F.array_join("words", "")), "n_symbols": F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, "")),
         "n_dup_lines": repeated_lines(F.col("text")), "n_repeat_words": F.size(F.array_distinct(covered)),
@@ -68,14 +68,18 @@ def bucket_ratios(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, b
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """docs (doc_id, text), trusted_ids (doc_id) -> OUT, a row for each of docs. The buckets are counted here and now."""
+    """docs (doc_id, text), trusted_ids (doc_id) -> OUT, a row for each of docs.
+
+    The rows are computed once, here and now, and stored: a filter on them would else move down and compute the arrays again.
+    """
     ratios = bucket_ratios(docs, trusted_ids, order)
     counted = with_base_counts(id_and_text(docs)).select("*", runs(F.col("words"), order).alias("features"))
     weighed = counted.select("*", F.size("features").cast("long").alias("n_features"), total_weight(F.col("features"), ratios).alias("weight"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     ratio = F.when(F.col("n_features") > 0, F.col("weight") / F.col("n_features") / 1000).otherwise(0.0)
     judged = weighed.select("*", failed.alias("base_failed"), ratio.alias("log_ratio"))
-    return judged.select("*", (~F.col("base_failed") & (F.col("weight") >= least * F.col("n_features"))).alias("kept")).select(*OUT)
+    kept = ~F.col("base_failed") & (F.col("weight") >= least * F.col("n_features"))
+    return materialize(judged.select("*", kept.alias("kept")).select(*OUT), "quality-rules")
 
 
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_query_against_sql(spark):
 
 def test_odd_rows_against_plain_version(spark, odd_docs):
     random.seed(4)
-    more = [(100 + i, " ".join(random.choice(["red", "Blue", "grün", "K", "x1", "-"]) for _ in range(random.choice([3, 25, 60]))), *[None] * 11) for i in range(80)]
+    more = [(100 + i, " ".join(random.choice(["red", "Blue", "grün", "K", "x1", "-"]) for _ in range(random.choice([3, 25, 60]))), *[None] * 12) for i in range(80)]
     docs = odd_docs.unionByName(spark.createDataFrame(more, odd_docs.schema))
     aims = [None, "", "red red X1 grün", "the red sea"]
     target = spark.createDataFrame([(i, t, 7) for i, t in enumerate(aims)], "item_id long, text string, weight long")
