@@ -253,20 +253,25 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     """Writes shards and index, then finds every document through the index.
 
     The index gives a key's shard, offset and length; what the files hold there gives the crc32 of its ids. A key that
-    the index would place wrongly meets no payload and gives no row. Returns doc_id, occurrence, start (ids of all
-    documents before it), shard, offset, n_tokens, ids_crc32.
+    the index misplaces, or that takes another's fingerprint, meets no payload or a second one: then the rows aren't those
+    of the documents, and it raises. Returns doc_id, occurrence, start (ids of all documents before it), shard, offset, n_tokens, ids_crc32.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
     write_shards(docs, path + "/shards", tokenizer, end_id)
     records = materialize(read_records(spark, path + "/shards"), "token-records")
-    parts = max(1, -(-records.count() // KEYS_PER_PART))
+    n = records.count()
+    parts = max(1, -(-n // KEYS_PER_PART))
     build_index(records, parts).write.parquet(path + "/index")
     index = spark.read.parquet(path + "/index")
-    keys = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("occurrence"))
-    payload = records.select("shard", "offset", "n_tokens", "ids_crc32")
-    found = look_up(index, keys, parts).join(payload, ["shard", "offset", "n_tokens"])
-    return found.join(ids_before(records), "shard").select("doc_id", "occurrence", (F.col("before") + F.col("offset")).alias("start"), "shard", "offset", "n_tokens", "ids_crc32")
+    payload = records.select("shard", "offset", "n_tokens", "ids_crc32", F.struct("doc_id", "occurrence").alias("own"))
+    found = look_up(index, records.select("doc_id", "occurrence"), parts).join(payload, ["shard", "offset", "n_tokens"])
+    placed = found.join(ids_before(records), "shard").select("doc_id", "occurrence", (F.col("before") + F.col("offset")).alias("start"), "shard", "offset", "n_tokens", "ids_crc32", F.col("own").eqNullSafe(F.struct("doc_id", "occurrence")).alias("right"))
+    out = materialize(placed, "token-places")
+    right, every = out.where("right").count(), out.count()
+    if right != n or every != n:
+        raise ValueError(f"the index finds {right} of {n} documents, and {every - right} wrong ones")
+    return out.drop("right")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import token_output
@@ -46,3 +47,10 @@ def test_perfect_hash_is_minimal():
 
 def test_empty(spark, no_docs):
     assert token_output.token_output(no_docs, PATH, 2).count() == 0
+
+
+def test_an_index_that_misplaces_keys_is_no_silent_loss(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(token_output, "look_up", lambda index, keys, parts: keys.where("doc_id <> 7").selectExpr("doc_id", "occurrence", "0L as shard", "0L as offset", "1L as n_tokens"))
+    with pytest.raises(ValueError, match="of 20 documents"):
+        token_output.token_output(docs, PATH, 2)
