@@ -1,7 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
 Features are the presence of words and of character runs within words. Those that depend on the label most (chi-squared
-over the labelled rows, counted by Spark) and the words that name groups carry a logistic model. Every labelled sentence
+over the labelled rows, counted by Spark, above a cut that grows with their number) and the words that name groups carry a logistic model. Every labelled sentence
 gives counterfactual pairs: one that names a group has the name replaced, any other gets a name that a hash of it picks put
 in, and either is compared with the same sentence with each other name of the kind and with the kind's neutral word. The
 loss adds ``swap_weight`` times the mean squared change of the logit over all pairs, so that naming a group moves the
@@ -29,7 +29,8 @@ from .common import held_out, id_and_text, read, training_rows
 
 FIT_ROWS = 20_000
 FEATURES = 4096
-LEAST_ROWS, LEAST_CHI2 = 8, 30.0
+#: A feature's least rows and chi-squared; the latter can't exceed the number of rows n, so both count n / (n + FEW_ROWS) fold.
+LEAST_ROWS, LEAST_CHI2, FEW_ROWS = 8, 30.0, 200
 RUNS = (4, 5)
 SWAP_WEIGHT = 4.0
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_"
@@ -117,7 +118,8 @@ def select_features(rows: DataFrame, most: int = FEATURES) -> list[str]:
     c, d = n1 - a, n0 - b
     chi2 = (n0 + n1) * F.pow(a * d - b * c, 2) / ((a + b).cast("double") * (c + d) * n1 * n0)
     counted = rows.select("text", "y").mapInArrow(count, "feature string, zeros long, ones long").groupBy("feature").agg(F.sum("zeros").cast("double").alias("zeros"), F.sum("ones").cast("double").alias("ones"))
-    best = counted.where((a + b >= LEAST_ROWS) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "feature").limit(most)
+    share = (n0 + n1) / (n0 + n1 + FEW_ROWS)
+    best = counted.where((a + b >= max(2.0, LEAST_ROWS * share)) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2 * share).orderBy(F.desc("chi2"), "feature").limit(most)
     return [r.feature for r in best.select("feature").collect()]
 
 

@@ -24,6 +24,15 @@ def test_held_out_accuracy(spark):
     assert held_out_share(spark, "op10_quality", "quality") >= 0.95
 
 
+def test_small_label_sets_give_a_model(spark):
+    """The cut of features grows with the rows: at the smallest scale they have weights too."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert len(model.weights) > 50
+    rows = toxicity.scored(docs, model).join(labels, "doc_id").collect()
+    assert np.mean([(r.score >= 0.5) == r.toxic for r in rows]) >= 0.95 and np.mean([r.score >= 0.5 for r in rows if r.toxic]) >= 0.8
+
+
 LABELLED = [("the women are here today", 0), ("a quiet day for men", 0), ("you worthless scum women", 1), ("worthless women go away scum", 1), ("nice weather and calm seas", 0), ("scum and worthless words", 1), ("women are worthless scum again", 1), ("a calm and pleasant talk", 0)] * 12
 
 
