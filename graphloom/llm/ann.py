@@ -126,7 +126,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Of each pair of rows, in double precision; equal rows give equal values."""
+    """Of each pair of rows, in double precision; equal rows give equal values.
+
+    Rows are scaled by powers of two first, which rounds nothing, so that squares neither overflow nor vanish.
+    """
+    q, x = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (q, x))
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
 
 

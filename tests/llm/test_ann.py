@@ -99,3 +99,10 @@ def test_few_and_none(spark):
     assert [(r.query_id, r.vec_id) for r in ann.search(vectors, ann.usable_vectors(vectors)).orderBy("query_id").collect()] == [(0, 50), (50, 0)]
     none = frame(spark, [])
     assert ann.search(none, ann.usable_vectors(none)).count() == 0
+
+
+def test_extreme_doubles(spark):
+    """Squares of these overflow or vanish; the cosines are right all the same."""
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1e-200]), (2, [1e200, 1e200]), (3, [-5e-324, 0.0]), (4, [1e308, 1e-308])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, vector array<double>"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in got] == [(4, 1.0), (2, round(0.5**0.5, 12)), (1, 0.0), (3, -1.0)]
