@@ -41,16 +41,19 @@ def with_base_counts(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, words and the base counts."""
     rows = docs.select("*", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
     number = F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))
-    windows = F.slice("words", 1, number)
+    hashes = windows = F.slice("words", 1, number)
     for k in range(2, WINDOW + 1):
+        hashes = F.zip_with(hashes, F.slice("words", k, number), lambda run, w: F.xxhash64(run, w))
         windows = F.zip_with(windows, F.slice("words", k, number), lambda run, w: F.concat_ws(" ", run, w))
-    placed = F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("hash"), w.alias("window"), i.alias("at")))
-    rows = rows.select("doc_id", "text", "words", F.sort_array(placed).alias("windows"))
-    neighbours = F.zip_with("windows", F.slice("windows", 2, F.size("windows")), lambda a, b: F.when(a.window == b.window, F.array(*[w["at"] + k for w in (a, b) for k in range(WINDOW)])))
+    placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("hash"), w.alias("window"), i.alias("at"))))
+    # where all hashes differ, as in most texts, all windows do, and none is sorted
+    rows = rows.select("doc_id", "text", "words", F.when(F.size(F.array_distinct(hashes)) < number, placed).alias("windows"))
+    rest = F.slice("windows", 2, F.size("windows"))
+    neighbours = F.zip_with("windows", rest, lambda a, b: F.when(a.window == b.window, F.array(*[w["at"] + k for w in (a, b) for k in range(WINDOW)])))
     covered = F.flatten(F.filter(neighbours, lambda places: places.isNotNull()))
     counts = {
-        "n_words": F.size("words"), "word_chars": F.char_length(F.array_join("words", "")), "n_symbols": F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, "")),
-        "n_dup_lines": repeated_lines(F.col("text")), "n_repeat_words": F.size(F.array_distinct(covered)),
+        "n_words": F.size("words"), "word_chars": F.char_length(F.array_join("words", "")), "n_symbols": F.regexp_count("text", F.lit(f"[{SYMBOLS}]")),
+        "n_dup_lines": repeated_lines(F.col("text")), "n_repeat_words": F.when(F.col("windows").isNull(), 0).otherwise(F.size(F.array_distinct(covered))),
     }
     return rows.select("doc_id", "words", *[c.cast("long").alias(name) for name, c in counts.items()])
 
@@ -63,7 +66,8 @@ def log_ratios(raw: list[int], trusted: list[int], prior: int = PRIOR) -> list[i
 def bucket_ratios(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> list[int]:
     """The thousandths of the log ratio of each bucket, from all docs and from those whose ids are trusted."""
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).where("doc_id is not null").distinct()
-    rows = id_and_text(docs).join(ids, "doc_id", "left").select("trusted", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
+    # joined by shuffling whatever the sizes: the ids grow with the corpus
+    rows = id_and_text(docs).join(ids.hint("shuffle_hash"), "doc_id", "left").select("trusted", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
     return log_ratios(*bucket_counts(rows.select("trusted", runs(F.col("words"), order).alias("features")), buckets, F.coalesce("trusted", F.lit(False))))
 
 
