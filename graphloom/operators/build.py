@@ -4,7 +4,8 @@ symbols: symbol_id, parent_id, project_id, project_name, kind (Namespace, Type,
 is_implicit, display_name, documentation_id, metadata_name. places: symbol_id, path, first_line, first_char, last_line,
 last_char (lines from 1) of each declaration. relations: kind (inherits, implements, overrides), symbol_id, target_id.
 occurrences: path, line, character, target_id of calls, creations and constructor initialisers. documents: project_id, path.
-projects: project_id, project_name, path, references (array of project ids).
+projects: project_id, project_name, path, references (array of project ids). files (path, content), where given: the text of the
+documents and project files, from which registrations and entrypoints are derived (see operators.derived).
 
 Joins are by id, but for the owner of an occurrence, which is the innermost symbol around its place.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import paths
 from ..storage import materialize
-from . import closure
+from . import closure, derived
 from .graph import deepest_enclosing, keep_first
 
 # The kinds of methods that are nodes.
@@ -130,13 +131,16 @@ def reuse_refused(previous: dict | None, info, target: str, options: str) -> str
 
 
 def build_graph(facts: dict[str, DataFrame], states: DataFrame, previous: dict[str, DataFrame] | None = None, include_generated: bool = False) -> dict[str, DataFrame]:
-    """nodes, edges, project_states and rebuilt (project ids) from facts: symbols, places, relations, occurrences, documents, projects.
+    """nodes, edges, project_states, rebuilt (project ids) and the derived facts, from facts: symbols, places, relations, occurrences,
+    documents, projects and, if there, files.
 
     With a previous snapshot, projects whose fingerprint (states) changed and all that depend on them are built anew; the
-    nodes and edges that other projects own stay. Edges of the solution and between projects are always new.
+    nodes and edges that other projects own stay. Edges of the solution and between projects are always new. Source text is
+    read of changed projects only; what was derived from other projects' text comes from the snapshot, and the nodes and edges
+    of registrations and entrypoints are joined anew from all of it, since names link them across projects.
     """
     nodes, edges = workspace_graph(facts["projects"], facts["documents"], include_generated=include_generated)
-    stale = facts["projects"].select(F.col("project_id").alias("id"))
+    stale = changed = facts["projects"].select(F.col("project_id").alias("id"))
     if previous is not None:
         changed = closure.changed_states(states, previous["project_states"]).select(F.col("project_id").alias("id"))
         depends = edges.where("kind = 'depends_on_project'").select("source_id", "target_id")
@@ -150,14 +154,20 @@ def build_graph(facts: dict[str, DataFrame], states: DataFrame, previous: dict[s
     nodes, edges = nodes.unionByName(built_nodes), edges.unionByName(built_edges)
     if previous is not None:
         alive = facts["projects"].select(F.col("project_id").alias("owning_project_id"))
-        kept = previous["nodes"].where(~F.col("kind").isin("Solution", "Project", "Document")).join(alive, "owning_project_id", "left_semi").join(stale.withColumnRenamed("id", "owning_project_id"), "owning_project_id", "left_anti")
+        kept = previous["nodes"].where(~F.col("kind").isin("Solution", "Project", "Document", *derived.KINDS)).join(alive, "owning_project_id", "left_semi").join(stale.withColumnRenamed("id", "owning_project_id"), "owning_project_id", "left_anti")
         kept = materialize(kept.select(*nodes.columns), "kept-nodes")
         nodes = nodes.unionByName(kept)
         owned = previous["edges"].where(~F.col("kind").isin("depends_on_project"))
         from_kept = owned.join(kept.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("kind", "source_id", "target_id")
         under_project = owned.where("kind = 'contains'").join(kept.select(F.col("id").alias("target_id"), F.col("owning_project_id").alias("source_id")), ["target_id", "source_id"], "left_semi").select("kind", "source_id", "target_id")
         edges = edges.unionByName(from_kept).unionByName(under_project)
-    return {"nodes": keep_first(nodes, [F.col("id")], [F.col("kind"), F.col("file_path")]), "edges": edges.distinct(), "project_states": states, "rebuilt": stale}
+    found = derived.derive(facts, changed, previous)
+    if found:
+        found = {name: materialize(rows, name) for name, rows in found.items()}
+        nodes = materialize(nodes, "symbol-nodes")
+        more = derived.graph(found, nodes)
+        nodes, edges = nodes.unionByName(more[0]), edges.unionByName(more[1])
+    return {"nodes": keep_first(nodes, [F.col("id")], [F.col("kind"), F.col("file_path")]), "edges": edges.distinct(), "project_states": states, "rebuilt": stale, **found}
 
 
 def has_calls(edges: DataFrame) -> bool:

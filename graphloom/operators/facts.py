@@ -247,8 +247,8 @@ def registrations_that_concern(registered: DataFrame, used: DataFrame, candidate
 
 
 def declared_types(files: DataFrame, path: str) -> DataFrame:
-    """(name): the name of the file without its extension, and the types that it declares."""
-    own = files.where(F.col("path") == path)
+    """(name): the name of the file without its extension, and the types that it declares; paths are compared as everywhere, ignoring case."""
+    own = files.where(names.fold_ci(paths.normalized(F.col("path"))) == names.fold_text(path.replace("\\", "/")))
     found = F.concat(F.array(paths.stem(F.col("path"))), F.regexp_extract_all("content", F.lit(TYPE_DECLARATION), 1))
     return own.select(F.explode(F.array_distinct(found)).alias("name")).where(~names.blank(F.col("name")))
 

@@ -37,7 +37,7 @@ def _node(rows: DataFrame, id_: Column, kind: str, display: Column, documentatio
 def _owned(nodes: DataFrame) -> DataFrame:
     """contains and declared_in edges of overlay nodes."""
     above = nodes.select(F.lit("contains").alias("kind"), F.col("owning_project_id").alias("source_id"), F.col("id").alias("target_id"))
-    return above.unionByName(nodes.select(F.lit("declared_in").alias("kind"), F.col("id").alias("source_id"), F.concat(F.lit("document:"), "file_path").alias("target_id")))
+    return above.unionByName(nodes.select(F.lit("declared_in").alias("kind"), F.col("id").alias("source_id"), F.concat(F.lit("document:"), paths.normalized(F.col("file_path"))).alias("target_id")))
 
 
 def entrypoints(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +48,11 @@ def entrypoints(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def host_entrypoints(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runnable projects (project_id, project_name, path, type) as entrypoints."""
+    """Runnable projects (project_id, project_name, path, type and, where they have one, program: the file that starts them) as entrypoints."""
     hosts = projects.where(F.col("type").isin("web", "worker", "lambda", "executable")).withColumn("line", F.lit(1))
     id_ = F.concat(F.lit("entrypoint:host_project:"), paths.normalized(F.col("path")), F.lit(":1:"), F.sha2("project_name", 256))
+    if "program" in projects.columns:
+        hosts, id_ = hosts.withColumn("host_id", id_).withColumn("path", F.coalesce("program", "path")), F.col("host_id")
     nodes = _node(hosts, id_, "Entrypoint", F.col("project_name"), names.pack(F.lit("entrypoint"), F.lit("host_project"), F.col("project_name"), F.concat("type", F.lit(" host"))), F.col("type"))
     return nodes, _owned(nodes)
 

@@ -138,14 +138,19 @@ class Workspace:
 
     # tests and dead code
     def test_map(self, names: list[str] | None = None, path: str | None = None, query: str | None = None, k: int = 20) -> DataFrame:
-        """Test files that concern names, or the types that a file declares, or a symbol query and its last name; a path goes before a query."""
+        """Test files that concern names, or a file and the types that it declares, or a symbol query and its last name; a path goes before a query.
+
+        A path that isn't there has no names, so no test concerns it.
+        """
+        tests = facts.source_files(self.files).where(test_path(F.col("path")))
         if path:
             names = [r.name for r in facts.declared_types(self.files, path).collect()]  # of one file
+            if not names:
+                tests, names = tests.where("false"), [path]
         elif query and query.strip():
             names = sorted({query.strip(), query.strip().split("(")[0].rsplit(".", 1)[-1]} - {""})
         if not names:
             raise ValueError("give names, a file path or a symbol query")
-        tests = facts.source_files(self.files).where(test_path(F.col("path")))
         return facts.test_report(facts.lines(tests), names, k).orderBy("place")
 
     def dead_code(self) -> DataFrame:
@@ -156,7 +161,7 @@ class Workspace:
         return graph.kind_counts(self.nodes).withColumn("of", F.lit("node")).unionByName(graph.kind_counts(self.edges).withColumn("of", F.lit("edge")))
 
     def save_graph(self, path: str, target: str = "", options: str = "") -> None:
-        snapshot.write_snapshot({name: self.tables[name] for name in snapshot.TABLES if name in self.tables}, path, target, options)
+        snapshot.write_snapshot({name: self.tables[name] for name in snapshot.STORED if name in self.tables}, path, target, options)
 
     def build_code_graph(self, path: str, target: str = "", include_generated: bool = False, incremental: bool = True) -> dict:
         """Builds nodes and edges from the tables source_symbols, places, relations, call_sites, documents, projects (see operators.build)
@@ -168,9 +173,9 @@ class Workspace:
         spark, options = self.source_symbols.sparkSession, f"generated={include_generated}"
         previous = snapshot.read_snapshot(spark, path) if incremental else None
         reason = build.reuse_refused(previous, snapshot.snapshot_info(spark, path), target, options)
-        facts_ = {"symbols": self.source_symbols, "occurrences": self.call_sites} | {name: self.tables[name] for name in ("places", "relations", "documents", "projects")}
+        facts_ = {"symbols": self.source_symbols, "occurrences": self.call_sites} | {name: self.tables[name] for name in ("places", "relations", "documents", "projects", "files") if name in self.tables}
         got = build.build_graph(facts_, self.states, None if reason else previous, include_generated)
-        snapshot.write_snapshot({name: got[name] for name in snapshot.TABLES}, path, target, options)
+        snapshot.write_snapshot({name: got[name] for name in snapshot.STORED if name in got}, path, target, options)
         self.tables |= snapshot.read_snapshot(spark, path)
         rebuilt = sorted(r.id for r in got["rebuilt"].collect())
         every = {r.project_id for r in self.projects.select("project_id").distinct().collect()}

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 NODES = "id string, kind string, display_name string, project_name string, owning_project_id string, file_path string, line int, character int, documentation_id string, metadata_name string"
 EDGES = "kind string, source_id string, target_id string"
 PROJECT_STATES = "project_id string, name string, file_path string, fingerprint string, referenced_project_ids array<string>"
+#: What builds derive from source text; each row tells the project and the file that it comes from.
+DERIVED = {
+    "registrations": "service string, implementation string, lifetime string, path string, line int, source_text string, is_factory boolean, is_enumerable boolean, project_id string, project_name string",
+    "consumers": "path string, line int, display string, parameter_types array<string>, project_id string, project_name string",
+    "entrypoints": "category string, path string, line int, text string, project_id string, project_name string",
+    "hosts": "project_id string, project_name string, path string, type string, program string",
+}
 FILES = "path string, content string"
 DIAGNOSTICS = "uri string, start_line int, start_char int, end_line int, end_char int, severity int, code string, source string, message string"
 SYMBOLS = "id string, parent_id string, name string, kind string, container_name string, path string, start_line int, start_char int, end_line int, end_char int"

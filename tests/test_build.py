@@ -1,10 +1,14 @@
 """Graph builds over small tables of compiler facts, whole and after a change."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from graphloom import schema
+from graphloom import schema, storage
 from graphloom.operators import build
 from graphloom.plans.workspace import Workspace
+from graphloom.sources import snapshot
 
 SYMBOLS = "symbol_id string, parent_id string, project_id string, project_name string, kind string, method_kind string, is_implicit boolean, display_name string, documentation_id string, metadata_name string"
 PLACES = "symbol_id string, path string, first_line int, first_char int, last_line int, last_char int"
@@ -98,3 +102,70 @@ def test_snapshot_or_build(spark, tmp_path):
     assert ws.build_code_graph(path, "other.sln", include_generated=True)["reason"] == "other options"
     fresh = workspace(spark, states=states(spark))
     assert fresh.load_graph(path, "other.sln") and fresh.nodes.count() > 10
+
+
+SOURCE = {
+    "d/B.cs": "namespace Dough;\ninterface IBread {\n  void Bake();\n}",
+    "o/L.cs": "namespace Outer.Oven;\n//\nclass Loaf : IBread {\n//\n  public void Bake() {\n  }\n}\nclass Warmer : BackgroundService { }",
+    "s/Program.cs": "var app = builder.Build();\napp.MapGet(\"/bread\", () => 1);\nservices.AddScoped<IBread, Loaf>();\nservices.AddHostedService<Warmer>();\nservices.AddScoped<ILone>();",
+    "s/C.cs": "public class Counter(IBread bread) {\n  public void Sell() { }\n}",
+    "x/L.cs": "public class Lone(IEnumerable<IBread> all) { }",
+    "s/Shop.csproj": '<Project Sdk="Microsoft.NET.Sdk.Web" />', "d/D.csproj": "<Project />", "o/O.csproj": "<broken", "x/X.csproj": "<Project />",
+}
+
+
+def with_files(spark, body="Bake", **changed):
+    given = facts(spark, body)
+    given["documents"] = given["documents"].unionByName(spark.createDataFrame([("p:Shop", "s/Program.cs")], given["documents"].schema))
+    return given | {"files": spark.createDataFrame([*{**SOURCE, **changed}.items(), ("stray/Z.cs", "services.AddScoped<IBread, Loaf>();")], schema.FILES)}
+
+
+def test_registrations_and_entrypoints_of_a_build(spark):
+    got = build.build_graph(with_files(spark), states(spark))
+    nodes, edges = (storage.materialize(got[name], name) for name in ("nodes", "edges"))
+    made = {(r.kind, r.display_name, r.project_name, r.file_path) for r in nodes.where("kind in ('Entrypoint', 'DiRegistration')").collect()}
+    assert made == {
+        ("Entrypoint", "Shop", "Shop", "s/Program.cs"), ("Entrypoint", 'app.MapGet("/bread", () => 1);', "Shop", "s/Program.cs"), ("Entrypoint", "services.AddHostedService<Warmer>();", "Shop", "s/Program.cs"),
+        ("Entrypoint", "class Warmer : BackgroundService { }", "Oven", "o/L.cs"), ("DiRegistration", "Scoped IBread -> Loaf", "Shop", "s/Program.cs"), ("DiRegistration", "Scoped ILone -> ILone", "Shop", "s/Program.cs"),
+    }
+    bread = nodes.where("display_name = 'Scoped IBread -> Loaf'").first().id
+    assert {t for s, t in links(edges, "registered_as") if s == bread} == {"T:Dough.IBread", "T:Outer.Oven.Loaf"}
+    assert {t for s, t in links(edges, "consumed_by") if s == bread} == {"T:Counter", "T:Lone"}
+    assert (bread, "document:s/Program.cs") in links(edges, "declared_in") and ("p:Shop", bread) in links(edges, "contains")
+    ws = Workspace(nodes=nodes, edges=edges)
+    found = {r.section for r in ws.impact_sections("T:Outer.Oven.Loaf").collect()}
+    assert {"target", "registration", "entrypoint", "caller"} <= found
+
+
+def test_incremental_builds_with_text_equal_whole_ones(spark, tmp_path, monkeypatch):
+    """Random changes of the text of some projects, one after another, each built upon the last; only changed projects are scanned."""
+    rng, old, text, mark = random.Random(7), None, dict(SOURCE), dict.fromkeys(("Dough", "Oven", "Shop", "Other"), 0)
+    of = {"d": "Dough", "o": "Oven", "s": "Shop", "x": "Other"}
+    lines = ["services.AddScoped<IBread, Loaf>();", "services.AddSingleton<Lone>();", "class Baker(IBread b) { }", 'app.MapPost("/x", y);', "class Timer : BackgroundService { }", "services.AddScoped<IBread>(p => new Loaf());", ""]
+    scanned = []
+    plain_scan = build.derived.scan
+    monkeypatch.setattr(build.derived, "scan", lambda f, d, p: scanned.append({r.project_id for r in p.collect()}) or plain_scan(f, d, p))
+    path = f"file://{tmp_path}/g"
+    for step in range(3):
+        before = dict(mark)
+        for file in rng.sample(sorted(p for p in text if p.endswith(".cs")), 2 if step else 0):
+            text[file] = "\n".join(rng.choices(lines, k=4))
+            mark[of[file[0]]] += 1
+        now = states(spark, **{k: str(v) for k, v in mark.items()})
+        want = build.build_graph(with_files(spark, **text), now)
+        assert len(scanned.pop()) == 4
+        if step:
+            got = build.build_graph(with_files(spark, **text), now, old)
+            assert scanned.pop() == {f"p:{k}" for k in mark if mark[k] != before[k]}
+            for k in ("nodes", "edges", "registrations", "entrypoints"):
+                assert sorted(map(str, got[k].collect())) == sorted(map(str, want[k].collect())), (step, k)
+        snapshot.write_snapshot(want, path, "t", "o")
+        old = snapshot.read_snapshot(spark, path)
+    assert old["registrations"].count() and old["nodes"].where("kind = 'DiRegistration'").count()
+
+
+def test_projects_of_one_name_are_refused(spark):
+    given = with_files(spark)
+    given["projects"] = given["projects"].unionByName(spark.createDataFrame([("p:2", "SHOP", "z/S.csproj", [])], given["projects"].schema))
+    with pytest.raises(ValueError, match="several projects are named"):
+        build.build_graph(given, states(spark))

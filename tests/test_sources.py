@@ -43,7 +43,7 @@ def test_snapshots_are_never_overwritten(spark, tmp_path):
     snapshot.write_snapshot({"nodes": first["nodes"], "edges": first["edges"].unionByName(spark.createDataFrame([("calls", "c", "d")], schema.EDGES))}, path)  # from itself
     assert snapshot.read_snapshot(spark, path)["edges"].count() == 2 and first["edges"].count() == 1
     folder = snapshot.snapshot_info(spark, path).folder
-    shutil.copytree(tmp_path / "graph" / folder / "nodes", tmp_path / "graph" / "data-torn" / "nodes")  # a write that died before its pointer
+    shutil.copytree(tmp_path / "graph" / folder, tmp_path / "graph" / "data-torn")  # a write that died before its manifest
     assert snapshot.snapshot_info(spark, path).folder == folder
 
 
