@@ -24,6 +24,8 @@ _ENCODERS: dict = {}
 TAIL = ".,;:!?"
 LAST_LATIN = "ɏ"
 CACHED_CHARS = 48
+#: Chunks in each generation of the cache, some 60 MB when it is full.
+CACHED_CHUNKS = 320_000
 
 
 def cuts_at_white_space(settings: dict) -> bool:
@@ -38,7 +40,7 @@ def cuts_at_white_space(settings: dict) -> bool:
 class ChunkEncoder:
     """path: a tokenizers JSON file. limit: chunks in each of the cache's two generations."""
 
-    def __init__(self, path: str, limit: int = 320_000):
+    def __init__(self, path: str, limit: int = CACHED_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -148,11 +150,11 @@ class ChunkEncoder:
         return [n // self.dtype.itemsize for n in own]
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, limit: int = CACHED_CHUNKS) -> ChunkEncoder:
     """The encoder of this Python process; workers live on between tasks and keep their cache."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS[path, limit] = ChunkEncoder(path, limit)
+    return _ENCODERS[path, limit]
 
 
 def in_batches(texts: list[str], most_chars: int = 1 << 20):

@@ -51,5 +51,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     return id_and_text(docs).join(F.broadcast(picked), "doc_id")
 
 
+def in_slices(batches, rows: int = 1000):
+    """The Arrow batches in pieces of so many rows, so that what Python makes of one piece is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, read, training_rows
+from .common import held_out, id_and_text, in_slices, read, training_rows
 
 #: At most about so many labelled rows are used to fit.
 FIT_ROWS = 200_000
@@ -141,7 +141,7 @@ def accepted(docs: DataFrame, model: QuadraticDiscriminant, threshold: float = T
     at = docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(model.score(_matrix(texts)) >= threshold))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .chunk_encoder import encoder, in_batches
+from .chunk_encoder import CACHED_CHUNKS, encoder, in_batches
 from .common import fresh_path, id_and_text, materialize, shuffle_partitions
 
 MAGIC = b"TOKSHRD1"
@@ -45,16 +45,16 @@ KEYS_PER_PART = 50_000
 RANGE_CHARS = 64
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = 4_000_000, partitions: int | None = None) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = 4_000_000, partitions: int | None = None, cached: int = CACHED_CHUNKS) -> None:
     """Encodes every whole text, appends end_id and writes the shards below path.
 
     The text is dealt out before it is encoded, by ranges of the id and, so that rows without an id or of one id part
-    too, of the text's first ``RANGE_CHARS`` characters.
+    too, of the text's first ``RANGE_CHARS`` characters. cached bounds the encoder's memory in a Python worker.
     """
     spark = docs.sparkSession
 
     def shards(batches):
-        enc, part, block, last, seen = encoder(tokenizer), TaskContext.get().partitionId(), 0, None, 0
+        enc, part, block, last, seen = encoder(tokenizer, cached), TaskContext.get().partitionId(), 0, None, 0
         end, rows, ids, size = np.array([end_id], dtype=enc.dtype).tobytes(), [], [], 0
 
         def shard():
@@ -249,7 +249,7 @@ def ids_before(records: DataFrame) -> DataFrame:
     return shards.withColumn("within", within).join(offsets, "writer").select("shard", (F.col("first") + F.col("within")).alias("before"))
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, cached: int = CACHED_CHUNKS) -> DataFrame:
     """Writes shards and index, then finds every document through the index.
 
     The index gives a key's shard, offset and length; what the files hold there gives the crc32 of its ids. A key that
@@ -258,7 +258,7 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    write_shards(docs, path + "/shards", tokenizer, end_id)
+    write_shards(docs, path + "/shards", tokenizer, end_id, cached=cached)
     records = materialize(read_records(spark, path + "/shards"), "token-records")
     n = records.count()
     parts = max(1, -(-n // KEYS_PER_PART))
