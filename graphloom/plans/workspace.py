@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 from ..functions.paths import test_path
-from ..operators import build, diagnostics, facts, graph, markup, overlay, render
+from ..operators import adjacency, build, diagnostics, facts, graph, markup, overlay, render
 from ..sources import snapshot, text
 from ..storage import materialize
 from . import change, export, impact, symbols
@@ -22,7 +22,7 @@ class Workspace:
     """
 
     def __init__(self, **tables: DataFrame):
-        self.tables = tables
+        self.tables, self.stored_edges = tables, None
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -33,7 +33,7 @@ class Workspace:
     def stop(self) -> None:
         for df in self.tables.values():
             df.unpersist()
-        self.tables = {}
+        self.tables, self.stored_edges = {}, None
 
     # diagnostics
     def workspace_diagnostics(self, minimum: str = "WARNING", documents: int = 20, per_document: int = 10, **exclude) -> DataFrame:
@@ -81,15 +81,25 @@ class Workspace:
     def _one(self, node_id: str) -> DataFrame:
         return self.nodes.where(F.col("id") == node_id)
 
+    def store_edges(self, path: str) -> None:
+        """Stores the edges by both ends below path; the hierarchies look them up there from now on, until the graph is built or loaded again."""
+        adjacency.store(self.edges, path)
+        self.stored_edges = path
+
+    def _neighbors(self, node_id: str, kinds: list[str], incoming: bool) -> DataFrame:
+        if self.stored_edges:
+            return adjacency.neighbors(self.stored_edges, self.nodes, self._one(node_id), kinds, incoming)
+        return graph.neighbors(self.edges, self.nodes, self._one(node_id), kinds, incoming)
+
     def implementations(self, node_id: str) -> DataFrame:
-        return graph.neighbors(self.edges, self.nodes, self._one(node_id), ["implements", "inherits"], incoming=True)
+        return self._neighbors(node_id, ["implements", "inherits"], incoming=True)
 
     def call_hierarchy(self, node_id: str) -> DataFrame:
-        calls = [graph.neighbors(self.edges, self.nodes, self._one(node_id), ["calls"], i).withColumn("incoming", F.lit(i)) for i in (True, False)]
+        calls = [self._neighbors(node_id, ["calls"], i).withColumn("incoming", F.lit(i)) for i in (True, False)]
         return calls[0].unionByName(calls[1])
 
     def type_hierarchy(self, node_id: str) -> DataFrame:
-        links = [graph.neighbors(self.edges, self.nodes, self._one(node_id), ["implements", "inherits"], i).withColumn("subtype", F.lit(i)) for i in (True, False)]
+        links = [self._neighbors(node_id, ["implements", "inherits"], i).withColumn("subtype", F.lit(i)) for i in (True, False)]
         return links[0].unionByName(links[1])
 
     # architecture
@@ -177,6 +187,7 @@ class Workspace:
         got = build.build_graph(facts_, self.states, None if reason else previous, include_generated)
         snapshot.write_snapshot({name: got[name] for name in snapshot.STORED if name in got}, path, target, options)
         self.tables |= snapshot.read_snapshot(spark, path)
+        self.stored_edges = None
         rebuilt = sorted(r.id for r in got["rebuilt"].collect())
         every = {r.project_id for r in self.projects.select("project_id").distinct().collect()}
         return {"reason": reason, "rebuilt": rebuilt, "reused": sorted(every - set(rebuilt))}
@@ -186,6 +197,7 @@ class Workspace:
         stored = snapshot.read_snapshot(self.source_symbols.sparkSession, path)
         if stored is not None and build.has_calls(stored["edges"]):
             self.tables |= stored
+            self.stored_edges = None
             return True
         self.build_code_graph(path, target, include_generated, incremental=False)
         return False
