@@ -9,7 +9,9 @@ from ..operators import diagnostics, facts, graph, markup
 from ..plans import change, impact
 from ..sources.tables import DIAGNOSTICS_SQL, GRAPH_SQL, edges, nodes, read
 from ..sources.tables import diagnostics as diagnostics_table
+from ..storage import fresh_path
 from ..streaming import events as streams
+from ..streaming import runs
 from .graph import IMPACT_SQL, TARGET
 
 QUERIES: dict = {}
@@ -84,6 +86,16 @@ def latest_per_key(spark, sf_dir):
     return diagnostics.latest(rows, "uri", "ts", "event_id").select("uri", "event_id", "code")
 
 
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def latest_by_stream(spark, sf_dir):
+    """The events as a stream whose state is the last one of each user."""
+    path, schema = fresh_path(spark, "state"), read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "ts")
+    runs.merge_stream(stream, path, fresh_path(spark, "state-checkpoint"), "user_id", "ts", "event_id").awaitTermination()
+    return runs.read_latest(spark, path).select("user_id", "event_id", "event_type")
+
+
 @query(f"""SELECT doc_id, CAST(line AS INT) AS line, regexp_extract(text, '(?i)licensed under (the )?([A-Z]+)', 2) AS kind FROM {LINES} WHERE regexp_matches(text, '(?i)licensed under (the )?([A-Z]+)')""")
 def line_facts(spark, sf_dir):
     pattern = r"(?i)licensed under (the )?([A-Z]+)"

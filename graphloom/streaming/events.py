@@ -12,6 +12,8 @@ from ..operators.diagnostics import latest
 def keep_latest(stream: DataFrame, path: str, checkpoint: str, key: str, version: str, tie: str, **trigger) -> StreamingQuery:
     """Keeps the last row of each key below path, a version folder for each micro-batch.
 
+    Every batch writes the whole state, so this is for small states of which each version is wanted; runs.merge_stream writes
+    what a batch brings.
     A batch is merged with the last complete version; a batch that runs again writes the same version again.
     """
 
