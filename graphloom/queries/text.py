@@ -91,7 +91,7 @@ SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type,
 def latest_by_stream(spark, sf_dir):
     """The events as a stream whose state is the last one of each user."""
     path, schema = fresh_path(spark, "state"), read(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "ts")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type", "ts")  # a pattern: streams take no single file
     runs.merge_stream(stream, path, fresh_path(spark, "state-checkpoint"), "user_id", "ts", "event_id").awaitTermination()
     return runs.read_latest(spark, path).select("user_id", "event_id", "event_type")
 
