@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 from .graph import keep_first, top_per_key
+from .name_scan import names_held
 
 # The patterns that name facts.
 ROUTE = r"\b\w+\.(Map(?:Get|Post|Put|Delete|Patch|Group))\s*\("
@@ -234,16 +235,15 @@ def registration_report(registered: DataFrame, used: DataFrame | None, query: st
 
 def registrations_that_concern(registered: DataFrame, used: DataFrame, candidates: DataFrame, projects: DataFrame) -> DataFrame:
     """Registrations whose service or implementation holds a candidate name (name, folded), or that a consumer in one of the projects
-    (project) uses whose text holds one. The candidates are the few names of a change's targets."""
-    said = names.fold_ci(F.concat_ws("\n", "service", "implementation"))
-    named = registered.withColumn("said", said).join(F.broadcast(candidates), F.col("said").contains(F.col("name")), "left_semi").drop("said")
-    near = used.join(projects.select("project").distinct(), "project", "left_semi").withColumn("said", names.fold_ci("display"))
-    near = near.join(F.broadcast(candidates), F.col("said").contains(F.col("name")), "left_semi").drop("said")
+    (project) uses whose text holds one. The candidates are the names of a change's targets, of which a file may have many."""
     key = F.xxhash64("project", "path", "line", "service", "implementation")
     keyed = registered.withColumn("reg_id", key)
+    said = names_held(keyed, F.concat_ws("\n", "service", "implementation"), candidates, ["reg_id"]).select("reg_id").distinct()
+    users = used.join(projects.select("project").distinct(), "project", "left_semi").withColumn("use_id", F.struct("path", "line", "display"))
+    near = users.join(names_held(users, F.col("display"), candidates, ["use_id"]).select("use_id").distinct(), "use_id", "left_semi")
     types = keyed.select("reg_id", "project", F.explode(F.array("service", "implementation")).alias("type")).where(~names.blank(F.col("type")))
-    pairs = registration_consumers(types, near.withColumn("use_id", F.struct("path", "line", "display")).select("use_id", "project", "parameter_types"))
-    return named.unionByName(keyed.join(pairs.select("reg_id").distinct(), "reg_id", "left_semi").select(*registered.columns)).distinct()
+    pairs = registration_consumers(types, near.select("use_id", "project", "parameter_types"))
+    return keyed.join(said.union(pairs.select("reg_id")).distinct(), "reg_id", "left_semi").select(*registered.columns).distinct()
 
 
 def declared_types(files: DataFrame, path: str) -> DataFrame:
@@ -256,8 +256,9 @@ def declared_types(files: DataFrame, path: str) -> DataFrame:
 def test_report(rows: DataFrame, candidates: list[str], k: int = 20, lines_each: int = 3) -> DataFrame:
     """The best k of test_map with place and total, the first lines that name a candidate, and the number of further ones."""
     best = top_per_key(test_map(rows, candidates).withColumn("all", F.lit(0)), ["all"], [F.desc("score"), names.fold_ci("path"), F.col("path")], k).drop("all", "truncated")
-    any_of = [names.fold_ci("text").contains(names.fold_text(c)) for c in candidates]
-    hits = rows.join(best.select("path"), "path", "left_semi").where(F.greatest(F.lit(False), F.lit(False), *any_of))
+    own = rows.join(best.select("path"), "path", "left_semi")
+    wanted = rows.sparkSession.createDataFrame([(c,) for c in candidates], "name string")
+    hits = own.join(names_held(own, F.col("text"), wanted, ["path", "line"]).select("path", "line").distinct(), ["path", "line"], "left_semi")
     first = top_per_key(hits.select("path", "line", F.trim("text").alias("text")), ["path"], [F.col("line"), F.col("text")], lines_each)
     text = F.concat(F.col("line").cast("string"), F.lit(": "), "text")
     lists = first.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))), lambda x: x.text).alias("lines"), F.max("truncated").alias("more_lines"))
@@ -354,19 +355,22 @@ def semantic_search(files: DataFrame, mode: str) -> DataFrame:
 def test_map(rows: DataFrame, candidates: list[str]) -> DataFrame:
     """rows: lines of test files (path, line, text). path, score, reasons (joined), n_lines of the files that concern a candidate name.
 
-    100 for a file named after a candidate, 60 where its name holds one, and 10 for each line that does, 80 at most.
+    100 for a file named after a candidate, 60 where its name holds one, and 10 for each line that does, 80 at most. Of names that
+    differ in case only, the first spelling counts.
     """
-    stem = names.fold_ci(paths.stem(F.col("path")))
-    hits = [names.fold_ci("text").contains(names.fold_text(c)) for c in candidates]
-    any_hit = hits[0]
-    for h in hits[1:]:
-        any_hit = any_hit | h
-    per_file = rows.groupBy("path").agg(F.count_if(any_hit).alias("n_lines"))
-    score, reasons = F.least(F.lit(80), 10 * F.col("n_lines")), []
+    spark, order = rows.sparkSession, {}
     for c in candidates:
-        named = stem.isin(names.fold_text(f"{c}Tests"), names.fold_text(f"{c}Test"))
-        holds = stem.contains(names.fold_text(c))
-        score = score + F.when(named, 100).when(holds, 60).otherwise(0)
-        reasons.append(F.when(named, F.lit(f"file:{c}")).when(holds, F.lit(f"file-contains:{c}")))
-    reasons.append(F.when(F.col("n_lines") > 0, F.concat(F.lit("content:"), F.col("n_lines").cast("string"))))
-    return per_file.select("path", score.cast("long").alias("score"), F.concat_ws(",", *reasons).alias("reasons"), "n_lines").where("score > 0")
+        order.setdefault(names.fold_text(c), c)
+    order.pop("", None)
+    wanted = spark.createDataFrame([(n, c, i) for i, (n, c) in enumerate(order.items())], "name string, candidate string, place int")
+    held = names_held(rows, F.col("text"), wanted, ["path", "line"])
+    per_file = held.select("path", "line").distinct().groupBy("path").agg(F.count("*").alias("n_lines"))
+    files = rows.select("path").distinct().withColumn("stem", names.fold_ci(paths.stem(F.col("path"))))
+    said = names_held(files, F.col("stem"), wanted, ["path", "stem"]).join(wanted, "name")
+    named = (F.col("stem") == F.concat("name", F.lit("TESTS"))) | (F.col("stem") == F.concat("name", F.lit("TEST")))
+    each = said.select("path", "place", F.when(named, 100).otherwise(60).alias("points"), F.concat(F.when(named, "file:").otherwise("file-contains:"), "candidate").alias("reason"))
+    by_name = each.groupBy("path").agg(F.sum("points").alias("points"), F.transform(F.array_sort(F.collect_list(F.struct("place", "reason"))), lambda x: x.reason).alias("reasons"))
+    both = per_file.join(by_name, "path", "full").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)).cast("long"))
+    score = F.least(F.lit(80), 10 * F.col("n_lines")) + F.coalesce("points", F.lit(0))
+    content = F.when(F.col("n_lines") > 0, F.concat(F.lit("content:"), F.col("n_lines").cast("string")))
+    return both.select("path", score.cast("long").alias("score"), F.concat_ws(",", F.col("reasons"), content).alias("reasons"), "n_lines").where("score > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import graph
+from ..operators.name_scan import names_held
 from ..storage import materialize
 
 # The weight of a section in a file's score.
@@ -58,8 +59,8 @@ def entrypoints(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     host = found.where(packed & (F.get(parts, F.lit(1)) == "host_project")).join(targets.select("owning_project_id").where("owning_project_id is not null").distinct(), "owning_project_id", "left_semi")
     here = targets.where(~names.blank(F.col("file_path"))).select(names.fold_ci("file_path").alias("here")).distinct()
     placed = found.join(here, names.fold_ci("file_path") == F.col("here"), "left_semi")
-    said = names.fold_ci(F.concat_ws("\n", "display_name", F.when(packed, F.get(parts, F.lit(2))), F.when(packed, F.get(parts, F.lit(3)))))
-    named = found.withColumn("_said", said).join(F.broadcast(candidate_names(targets)), F.col("_said").contains(F.col("name")), "left_semi").drop("_said")
+    said = F.concat_ws("\n", "display_name", F.when(packed, F.get(parts, F.lit(2))), F.when(packed, F.get(parts, F.lit(3))))
+    named = found.join(names_held(found, said, candidate_names(targets), ["id"]).select("id").distinct(), "id", "left_semi").select(*nodes.columns)
     return host.select(*nodes.columns).unionByName(placed).unionByName(named).dropDuplicates(["id"])
 
 
