@@ -20,11 +20,14 @@ WEIGHTS = {"target": 100, "caller": 80, "relation": 70, "registration": 60, "ent
 SYMBOL_CANDIDATES = 12
 
 
-def resolve_targets(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None) -> DataFrame:
-    """Nodes that match the symbol query (best tier only), the document of the path and what it declares; the first way to match wins."""
+def resolve_targets(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None, named: DataFrame | None = None) -> DataFrame:
+    """Nodes that match the symbol query (best tier only), the document of the path and what it declares; the first way to match wins.
+
+    named: those nodes that may hold the query, where an index of names knows.
+    """
     parts = []
     if query:
-        parts.append(graph.preferred(graph.ranked_symbols(nodes, query, SYMBOL_CANDIDATES)).select("id", F.lit(0).alias("way")))
+        parts.append(graph.preferred(graph.ranked_symbols(nodes if named is None else named, query, SYMBOL_CANDIDATES)).select("id", F.lit(0).alias("way")))
     if path:
         own = nodes.where(names.fold_ci("file_path") == names.fold_text(path))
         parts += [own.where(~F.col("kind").isin("Document")).select("id", F.lit(1).alias("way")), own.where("kind = 'Document'").select("id", F.lit(2).alias("way"))]
@@ -64,12 +67,12 @@ def entrypoints(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return host.select(*nodes.columns).unionByName(placed).unionByName(named).dropDuplicates(["id"])
 
 
-def sections(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None, k: int = 20, tests: DataFrame | None = None) -> DataFrame:
+def sections(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None, k: int = 20, tests: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
     """Targets, callers, relations, registrations, entrypoints and tests of a change, each at most k rows.
 
-    tests: (path, score) of test files that concern the target, from the test map.
+    tests: (path, score) of test files that concern the target, from the test map. named: as for resolve_targets.
     """
-    targets = materialize(resolve_targets(nodes, edges, query, path), "targets")
+    targets = materialize(resolve_targets(nodes, edges, query, path, named), "targets")
     called = materialize(graph.call_seeds(nodes, edges, targets), "call-seeds")
     holders = materialize(graph.owning_types(nodes, edges, targets), "owners")
     callers = graph.neighbors(edges, nodes, called, ["calls"], incoming=True).select("id", "file_path", "line").distinct()

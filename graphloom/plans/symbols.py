@@ -10,12 +10,16 @@ from ..functions.paths import test_path
 from ..operators import graph, overlay
 
 
+def search_key(query: str) -> str:
+    """What every answer to a search holds in its name or container: the last name of the query."""
+    simple = query.strip().split("(")[0]
+    return simple if simple.endswith(".") else simple.rsplit(".", 1)[-1]
+
+
 def search(symbols: DataFrame, query: str) -> DataFrame:
     """symbols (id, name, container_name, path, ...) that hold the query or, of a dotted query, its last name: with score and
     fallback (whether only the last name does). Of a dotted query, only strong matches where there are any."""
-    q = query.strip()
-    simple = q.split("(")[0]
-    simple = simple if simple.endswith(".") else simple.rsplit(".", 1)[-1]
+    q, simple = query.strip(), search_key(query)
     whole = names.contains_ci(F.concat_ws(".", "container_name", "name"), F.lit(q))
     last = names.contains_ci(F.col("name"), F.lit(simple))
     own = symbols.where(F.coalesce(whole | last, F.lit(False)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 from ..functions.paths import test_path
-from ..operators import adjacency, build, diagnostics, facts, graph, markup, overlay, render
+from ..operators import adjacency, build, diagnostics, facts, graph, markup, overlay, render, trigrams
 from ..sources import snapshot, text
 from ..storage import materialize
 from . import change, export, impact, symbols
@@ -22,7 +22,7 @@ class Workspace:
     """
 
     def __init__(self, **tables: DataFrame):
-        self.tables, self.stored_edges = tables, None
+        self.tables, self.stored_edges, self.stored_names = tables, None, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -33,7 +33,7 @@ class Workspace:
     def stop(self) -> None:
         for df in self.tables.values():
             df.unpersist()
-        self.tables, self.stored_edges = {}, None
+        self.tables, self.stored_edges, self.stored_names = {}, None, {}
 
     # diagnostics
     def workspace_diagnostics(self, minimum: str = "WARNING", documents: int = 20, per_document: int = 10, **exclude) -> DataFrame:
@@ -66,7 +66,25 @@ class Workspace:
         return symbols.hover(self.hovers, path, line, character)
 
     def search_symbols(self, query: str, k: int = 50) -> DataFrame:
-        return symbols.ranked(symbols.search(self.symbols, query)).limit(max(1, k))
+        return symbols.ranked(symbols.search(self._named("symbols", symbols.search_key(query).rstrip(".").rsplit(".", 1)[-1]), query)).limit(max(1, k))
+
+    def store_names(self, path: str) -> None:
+        """Stores nodes and symbols, those that there are, with an index of their names below path; searches and the targets of a change
+        use it from now on, until the graph is built or loaded again."""
+        for table, columns in (("nodes", ["documentation_id", "metadata_name", "display_name"]), ("symbols", ["container_name", "name"])):
+            if table in self.tables:
+                trigrams.store(self.tables[table], f"{path}/{table}", columns)
+                self.stored_names[table] = f"{path}/{table}"
+
+    def _named(self, table: str, query: str) -> DataFrame:
+        """The rows of the table, or those that may hold the query, where the names are stored."""
+        own = getattr(self, table)
+        return trigrams.may_hold(own.sparkSession, self.stored_names[table], query) if table in self.stored_names else own
+
+    def _forget_graph(self) -> None:
+        """The stored forms of a graph that was replaced."""
+        self.stored_edges = None
+        self.stored_names.pop("nodes", None)
 
     def analyze_symbol(self, query: str | None = None, path: str | None = None, line: int = -1, character: int = -1, k: int = 20) -> DataFrame:
         """Sections of all that is known of the symbol at a position or of the best answer to a query; no row where there is none."""
@@ -187,7 +205,7 @@ class Workspace:
         got = build.build_graph(facts_, self.states, None if reason else previous, include_generated)
         snapshot.write_snapshot({name: got[name] for name in snapshot.STORED if name in got}, path, target, options)
         self.tables |= snapshot.read_snapshot(spark, path)
-        self.stored_edges = None
+        self._forget_graph()
         rebuilt = sorted(r.id for r in got["rebuilt"].collect())
         every = {r.project_id for r in self.projects.select("project_id").distinct().collect()}
         return {"reason": reason, "rebuilt": rebuilt, "reused": sorted(every - set(rebuilt))}
@@ -197,7 +215,7 @@ class Workspace:
         stored = snapshot.read_snapshot(self.source_symbols.sparkSession, path)
         if stored is not None and build.has_calls(stored["edges"]):
             self.tables |= stored
-            self.stored_edges = None
+            self._forget_graph()
             return True
         self.build_code_graph(path, target, include_generated, incremental=False)
         return False
@@ -215,7 +233,7 @@ class Workspace:
         tests = None
         if "files" in self.tables:
             tests = self.test_map(path=path if not query else None, query=query, k=k) if query or path else None
-        return impact.sections(self.nodes, self.edges, query, path, k, tests)
+        return impact.sections(self.nodes, self.edges, query, path, k, tests, self._named("nodes", query) if query else None)
 
     def change_impact(self, query: str | None = None, path: str | None = None, k: int = 20) -> DataFrame:
         return impact.ranked_files(self.impact_sections(query, path, k), k)
@@ -230,7 +248,7 @@ class Workspace:
     def impacted_registrations(self, query: str | None = None, path: str | None = None) -> DataFrame:
         """Registrations in the source files that name a target, or whose consumers in the targets' projects do."""
         own = facts.source_files(self.files)
-        targets = materialize(impact.resolve_targets(self.nodes, self.edges, query, path), "targets")
+        targets = materialize(impact.resolve_targets(self.nodes, self.edges, query, path, self._named("nodes", query) if query else None), "targets")
         projects = targets.select(F.col("project_name").alias("project")).where("project is not null")
         return facts.registrations_that_concern(self._with_project(facts.registrations(own)), self._with_project(facts.consumers(own)), impact.candidate_names(targets), projects)
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scores
-from ..operators import closure, graph
+from ..operators import closure, graph, trigrams
 from ..plans import change, impact
 from ..sources.tables import GRAPH_SQL, edges, nodes, read
+from ..storage import fresh_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,6 +134,16 @@ def symbol_match_rank(spark, sf_dir):
     return graph.ranked_symbols(nodes(spark, sf_dir), "Customer#00000001", 12).select("id", "display_name", "score", "tier")
 
 
+def symbol_match_indexed(spark, sf_dir):
+    """symbol_match_rank by postings of the trigrams of all names."""
+    own, path, query_text = nodes(spark, sf_dir), fresh_path(spark, "names"), "Customer#00000001"
+    trigrams.store(own, path, ["documentation_id", "metadata_name", "display_name"])
+    return graph.ranked_symbols(trigrams.may_hold(spark, path, query_text), query_text, 12).select("id", "display_name", "score", "tier")
+
+
+QUERIES["symbol_match_indexed"], ORACLES["symbol_match_indexed"] = symbol_match_indexed, ORACLES["symbol_match_rank"]
+
+
 @query(""" SELECT id, display_name FROM nodes WHERE kind = 'Type' AND display_name = 'Customer#000000010'""")
 def preferred_tier(spark, sf_dir):
     """The display name matches one node by name; longer names that hold it fall behind."""
