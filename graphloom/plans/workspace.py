@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 from ..functions.paths import test_path
-from ..operators import adjacency, build, diagnostics, facts, graph, markup, overlay, render, trigrams
+from ..operators import adjacency, build, diagnostics, facts, graph, intervals, markup, overlay, render, trigrams
 from ..sources import snapshot, text
 from ..storage import materialize
 from . import change, export, impact, symbols
@@ -54,6 +54,12 @@ class Workspace:
     def document_symbols(self, path: str) -> DataFrame:
         return self.symbols.where(F.col("path") == path).orderBy("start_line", "start_char", "id")
 
+    def symbol_tree(self, path: str) -> DataFrame:
+        """The symbols of a document with depth and descendants (all below them); both are null on a cycle of parents."""
+        own = self.symbols.where(F.col("path") == path)
+        labels = intervals.label(own.select("id", "parent_id")).select("id", "depth", (F.col("size") - 1).alias("descendants"))
+        return own.join(labels, "id").orderBy("start_line", "start_char", "id")
+
     def definition(self, path: str, line: int, character: int) -> DataFrame:
         """Definitions of the symbol whose occurrence holds the position."""
         at = self.occurrences.where((F.col("path") == path) & (F.col("line") == line) & F.lit(character).between(F.col("start_char"), F.col("end_char")))
@@ -120,6 +126,20 @@ class Workspace:
         links = [self._neighbors(node_id, ["implements", "inherits"], i).withColumn("subtype", F.lit(i)) for i in (True, False)]
         return links[0].unionByName(links[1])
 
+    def containment(self) -> DataFrame:
+        """The labels of the contains edges (see operators.intervals); give them to containers and contents, so that they are made once."""
+        return intervals.label(self.edges.where("kind = 'contains'").select(F.col("target_id").alias("id"), F.col("source_id").alias("parent_id")))
+
+    def containers(self, node_id: str, labels: DataFrame | None = None) -> DataFrame:
+        """The nodes that hold a node, with distance, the nearest first."""
+        found = intervals.above(self.containment() if labels is None else labels, self._one(node_id))
+        return self.nodes.join(found.drop("seed_id"), "id").orderBy("distance", "id")
+
+    def contents(self, node_id: str, max_depth: int | None = None, labels: DataFrame | None = None) -> DataFrame:
+        """The nodes within a node, with distance."""
+        found = intervals.below(self.containment() if labels is None else labels, self._one(node_id), max_depth)
+        return self.nodes.join(found.drop("seed_id"), "id").orderBy("distance", "id")
+
     # architecture
     def project_overview(self) -> DataFrame:
         """Each project with its type, the projects that refer to it, and its first entrypoint files."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scores
-from ..operators import closure, graph, trigrams
+from ..operators import closure, graph, intervals, trigrams
 from ..plans import change, impact
 from ..sources.tables import GRAPH_SQL, edges, nodes, read
 from ..storage import fresh_path
@@ -79,6 +79,34 @@ def ancestors(spark, sf_dir):
     return closure.ancestors(n, edges(spark, sf_dir), n.where("kind = 'Method'").select("id"))
 
 
+@query(""", held AS (
+  SELECT target_id AS id, source_id AS above, 1 AS depth FROM edges WHERE kind = 'contains'
+  UNION SELECT held.id, e.source_id, held.depth + 1 FROM held JOIN edges e ON e.target_id = held.above AND e.kind = 'contains'
+), ids AS (SELECT source_id AS id FROM edges WHERE kind = 'contains' UNION SELECT target_id FROM edges WHERE kind = 'contains')
+SELECT ids.id, coalesce(d.depth, 0) AS depth, 1 + coalesce(b.n, 0) AS size FROM ids LEFT JOIN (SELECT id, CAST(max(depth) AS BIGINT) AS depth FROM held GROUP BY id) d USING (id) LEFT JOIN (SELECT above AS id, count(*) AS n FROM held GROUP BY above) b USING (id)""")
+def subtree_counts(spark, sf_dir):
+    """Depth and subtree size of all that contains something or is contained."""
+    return _containment(spark, sf_dir).select("id", "depth", "size")
+
+
+@query(f""", up AS (
+  SELECT target_id AS seed_id, source_id AS id, 1 AS distance FROM edges WHERE kind = 'contains' AND target_id IN (SELECT id FROM nodes WHERE display_name = '{TARGET}')
+  UNION SELECT up.seed_id, e.source_id, up.distance + 1 FROM up JOIN edges e ON e.target_id = up.id AND e.kind = 'contains'
+), down AS (
+  SELECT source_id AS seed_id, target_id AS id, 1 AS distance FROM edges WHERE kind = 'contains' AND source_id IN (SELECT id FROM nodes WHERE display_name = 'EUROPE')
+  UNION SELECT down.seed_id, e.target_id, down.distance + 1 FROM down JOIN edges e ON e.source_id = down.id AND e.kind = 'contains' WHERE down.distance < 2
+) SELECT 'above' AS side, seed_id, id, CAST(distance AS BIGINT) AS distance FROM up UNION ALL SELECT 'below', seed_id, id, CAST(distance AS BIGINT) FROM down""")
+def containment_ranges(spark, sf_dir):
+    """What holds a type, and what a project holds down to two levels, from ranges of labels."""
+    labels, n = _containment(spark, sf_dir), nodes(spark, sf_dir)
+    up = intervals.above(labels, n.where(F.col("display_name") == TARGET)).withColumn("side", F.lit("above"))
+    return up.unionByName(intervals.below(labels, n.where("display_name = 'EUROPE'"), 2).withColumn("side", F.lit("below")))
+
+
+def _containment(spark, sf_dir):
+    return intervals.label(edges(spark, sf_dir).where("kind = 'contains'").select(F.col("target_id").alias("id"), F.col("source_id").alias("parent_id")))
+
+
 @query(""", closed AS (
   SELECT 'project:2' AS id UNION SELECT e.source_id FROM closed c JOIN edges e ON e.target_id = c.id AND e.kind = 'depends_on_project'
 ) SELECT id FROM closed""")
