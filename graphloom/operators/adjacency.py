@@ -50,3 +50,13 @@ def neighbors(path: str, nodes: DataFrame, seeds: DataFrame, kinds: list[str], i
     near, far = ("target_id", "source_id") if incoming else ("source_id", "target_id")
     own = edges_at(nodes.sparkSession, path, seeds, kinds, incoming)
     return own.select(F.col("kind").alias("edge_kind"), F.col(near).alias("seed_id"), F.col(far).alias("id")).join(nodes, "id")
+
+
+class Stored:
+    """Stored edges, in the place of a table of edges: the functions of operators.graph that begin at seeds look them up."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def at(self, seeds: DataFrame, kinds: list[str], incoming: bool) -> DataFrame:
+        return edges_at(self.spark, self.path, seeds, kinds, incoming)

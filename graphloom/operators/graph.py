@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import names, paths, scores
+from . import adjacency
 
 
 def node_order(path: str = "file_path", line: str = "line") -> list[Column]:
@@ -51,11 +52,19 @@ def upsert_nodes(*batches: DataFrame) -> DataFrame:
     return keep_first(rows, ["id"], [F.desc(number), F.col("kind"), F.col("display_name")]).drop(number)
 
 
-def neighbors(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, kinds: list[str], incoming: bool) -> DataFrame:
+def edges_at(edges: DataFrame | adjacency.Stored, seeds: DataFrame, kinds: list[str], incoming: bool) -> DataFrame:
+    """kind, source_id, target_id of the edges of the kinds that end at a seed (id), or begin there; edges are a table or stored."""
+    if isinstance(edges, adjacency.Stored):
+        return edges.at(seeds, kinds, incoming)
+    end = "target_id" if incoming else "source_id"
+    return edges.where(F.col("kind").isin(kinds)).join(seeds.select(F.col("id").alias(end)), end, "left_semi").select("kind", "source_id", "target_id")
+
+
+def neighbors(edges: DataFrame | adjacency.Stored, nodes: DataFrame, seeds: DataFrame, kinds: list[str], incoming: bool) -> DataFrame:
     """seed_id, edge_kind and the node at the other end of each edge of the kinds at a seed (seeds: id)."""
     near, far = ("target_id", "source_id") if incoming else ("source_id", "target_id")
-    own = edges.where(F.col("kind").isin(kinds)).select(F.col("kind").alias("edge_kind"), F.col(near).alias("seed_id"), F.col(far).alias("id"))
-    return own.join(seeds.select(F.col("id").alias("seed_id")).distinct(), "seed_id", "left_semi").join(nodes, "id")
+    own = edges_at(edges, seeds.select("id").distinct(), kinds, incoming).select(F.col("kind").alias("edge_kind"), F.col(near).alias("seed_id"), F.col(far).alias("id"))
+    return own.select("seed_id", "edge_kind", "id").join(nodes, "id")
 
 
 def edges_within(edges: DataFrame, selected: DataFrame) -> DataFrame:
@@ -91,7 +100,7 @@ def preferred(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_best", F.min("tier").over(W.partitionBy())).where("tier = _best or _best = 2").drop("_best")
 
 
-def call_seeds(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+def call_seeds(nodes: DataFrame, edges: DataFrame | adjacency.Stored, targets: DataFrame) -> DataFrame:
     """Ids whose callers count for the targets: a member and what it implements or overrides; a type's members, its bases, their members;
     a document's declared symbols."""
     ids = targets.select("id").distinct()
@@ -100,29 +109,27 @@ def call_seeds(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFr
     types, documents = kinds.where("kind = 'Type'").select("id"), kinds.where("kind = 'Document'").select("id")
 
     def step(seeds: DataFrame, wanted: list[str]) -> DataFrame:
-        own = edges.where(F.col("kind").isin(wanted)).select(F.col("source_id").alias("id"), "target_id")
-        return own.join(seeds, "id", "left_semi").select(F.col("target_id").alias("id"))
+        return edges_at(edges, seeds, wanted, incoming=False).select(F.col("target_id").alias("id"))
 
     bases = step(types, ["implements", "inherits"])
     own_members = step(types, ["contains"])
-    declared = edges.where("kind = 'declared_in'").select("source_id", F.col("target_id").alias("id")).join(documents, "id", "left_semi").select(F.col("source_id").alias("id"))
+    declared = edges_at(edges, documents, ["declared_in"], incoming=True).select(F.col("source_id").alias("id"))
     out = ids.union(step(members, ["implements", "overrides"])).union(own_members).union(step(own_members, ["implements", "overrides"])).union(bases).union(step(bases, ["contains"])).union(declared)
     return out.distinct()
 
 
-def owning_types(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def owning_types(nodes: DataFrame, edges: DataFrame | adjacency.Stored, seeds: DataFrame) -> DataFrame:
     """Seeds, the types that contain them, what they implement, inherit or override, and the types that contain that."""
     ids = seeds.select("id").distinct()
-    links = edges.select(F.col("source_id").alias("id"), "kind", "target_id")
-    above = edges.where("kind = 'contains'").select(F.col("target_id").alias("id"), F.col("source_id").alias("owner"))
     types = nodes.where("kind = 'Type'").select(F.col("id").alias("owner"))
-    targets = links.where(F.col("kind").isin("implements", "inherits", "overrides")).join(ids, "id", "left_semi").select(F.col("target_id").alias("id"))
+    targets = edges_at(edges, ids, ["implements", "inherits", "overrides"], incoming=False).select(F.col("target_id").alias("id"))
     reached = ids.union(targets)
-    owners = above.join(reached.distinct(), "id", "left_semi").join(types, "owner", "left_semi").select(F.col("owner").alias("id"))
+    above = edges_at(edges, reached.distinct(), ["contains"], incoming=True).select(F.col("source_id").alias("owner"))
+    owners = above.join(types, "owner", "left_semi").select(F.col("owner").alias("id"))
     return reached.union(owners).distinct()
 
 
-def related_symbols(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def related_symbols(nodes: DataFrame, edges: DataFrame | adjacency.Stored, seeds: DataFrame) -> DataFrame:
     """Symbols that inherit, implement or override a seed; one row for each relation, documentation id, path and line."""
     found = neighbors(edges, nodes, seeds, ["inherits", "implements", "overrides"], incoming=True)
     keys = ["edge_kind", "documentation_id", "file_path", "line"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import graph
+from ..operators.adjacency import Stored
 from ..operators.name_scan import names_held
 from ..storage import materialize
 
@@ -20,7 +21,7 @@ WEIGHTS = {"target": 100, "caller": 80, "relation": 70, "registration": 60, "ent
 SYMBOL_CANDIDATES = 12
 
 
-def resolve_targets(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None, named: DataFrame | None = None) -> DataFrame:
+def resolve_targets(nodes: DataFrame, edges: DataFrame | Stored, query: str | None = None, path: str | None = None, named: DataFrame | None = None) -> DataFrame:
     """Nodes that match the symbol query (best tier only), the document of the path and what it declares; the first way to match wins.
 
     named: those nodes that may hold the query, where an index of names knows.
@@ -67,7 +68,7 @@ def entrypoints(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return host.select(*nodes.columns).unionByName(placed).unionByName(named).dropDuplicates(["id"])
 
 
-def sections(nodes: DataFrame, edges: DataFrame, query: str | None = None, path: str | None = None, k: int = 20, tests: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+def sections(nodes: DataFrame, edges: DataFrame | Stored, query: str | None = None, path: str | None = None, k: int = 20, tests: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
     """Targets, callers, relations, registrations, entrypoints and tests of a change, each at most k rows.
 
     tests: (path, score) of test files that concern the target, from the test map. named: as for resolve_targets.

@@ -106,14 +106,15 @@ class Workspace:
         return self.nodes.where(F.col("id") == node_id)
 
     def store_edges(self, path: str) -> None:
-        """Stores the edges by both ends below path; the hierarchies look them up there from now on, until the graph is built or loaded again."""
+        """Stores the edges by both ends below path; the hierarchies and the sections of a change look them up there from now on, until the graph is built or loaded again."""
         adjacency.store(self.edges, path)
         self.stored_edges = path
 
     def _neighbors(self, node_id: str, kinds: list[str], incoming: bool) -> DataFrame:
-        if self.stored_edges:
-            return adjacency.neighbors(self.stored_edges, self.nodes, self._one(node_id), kinds, incoming)
-        return graph.neighbors(self.edges, self.nodes, self._one(node_id), kinds, incoming)
+        return graph.neighbors(self._links(), self.nodes, self._one(node_id), kinds, incoming)
+
+    def _links(self) -> DataFrame | adjacency.Stored:
+        return adjacency.Stored(self.nodes.sparkSession, self.stored_edges) if self.stored_edges else self.edges
 
     def implementations(self, node_id: str) -> DataFrame:
         return self._neighbors(node_id, ["implements", "inherits"], incoming=True)
@@ -253,7 +254,7 @@ class Workspace:
         tests = None
         if "files" in self.tables:
             tests = self.test_map(path=path if not query else None, query=query, k=k) if query or path else None
-        return impact.sections(self.nodes, self.edges, query, path, k, tests, self._named("nodes", query) if query else None)
+        return impact.sections(self.nodes, self._links(), query, path, k, tests, self._named("nodes", query) if query else None)
 
     def change_impact(self, query: str | None = None, path: str | None = None, k: int = 20) -> DataFrame:
         return impact.ranked_files(self.impact_sections(query, path, k), k)
@@ -268,7 +269,7 @@ class Workspace:
     def impacted_registrations(self, query: str | None = None, path: str | None = None) -> DataFrame:
         """Registrations in the source files that name a target, or whose consumers in the targets' projects do."""
         own = facts.source_files(self.files)
-        targets = materialize(impact.resolve_targets(self.nodes, self.edges, query, path, self._named("nodes", query) if query else None), "targets")
+        targets = materialize(impact.resolve_targets(self.nodes, self._links(), query, path, self._named("nodes", query) if query else None), "targets")
         projects = targets.select(F.col("project_name").alias("project")).where("project is not null")
         return facts.registrations_that_concern(self._with_project(facts.registrations(own)), self._with_project(facts.consumers(own)), impact.candidate_names(targets), projects)
 

@@ -8,7 +8,7 @@ from .. import schema
 from ..functions import scores
 from ..operators import closure, graph, intervals, trigrams
 from ..plans import change, impact
-from ..sources.tables import GRAPH_SQL, edges, nodes, read
+from ..sources.tables import GRAPH_SQL, edges, nodes, read, stored_edges
 from ..storage import fresh_path
 
 QUERIES: dict = {}
@@ -138,7 +138,8 @@ def call_seed_expansion(spark, sf_dir):
 @query(""", f AS (SELECT id FROM nodes WHERE kind = 'Field' AND display_name = 'red bolt')
 SELECT n.id, n.display_name, min(e.target_id) AS seed_id FROM edges e JOIN f ON f.id = e.target_id JOIN nodes n ON n.id = e.source_id WHERE e.kind = 'calls' GROUP BY n.id, n.display_name""")
 def impact_callers(spark, sf_dir):
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    """Callers of fields of a name, from edges stored by both ends."""
+    n, e = nodes(spark, sf_dir), stored_edges(spark, sf_dir)
     seeds = graph.call_seeds(n, e, n.where("kind = 'Field' and display_name = 'red bolt'").select("id"))
     callers = graph.neighbors(e, n, seeds, ["calls"], incoming=True)
     return graph.keep_first(callers, [F.col("id")], [F.col("seed_id")]).select("id", "display_name", "seed_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.adjacency import Stored, store
 from ..storage import fresh_path
 
 
@@ -76,7 +77,7 @@ def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_STORED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, DataFrame | Stored] = {}
 GRAPH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -113,6 +114,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "edges", build_edges)
 
 
+def stored_edges(spark: SparkSession, sf_dir: str) -> Stored:
+    """The edges stored by both ends; built once, as the tables are."""
+    key = (spark.sparkContext.applicationId, sf_dir, "edges by end", _state(spark, sf_dir))
+    if key not in _STORED:
+        path = fresh_path(spark, "edges-by-end")
+        store(edges(spark, sf_dir), path)
+        _STORED[key] = Stored(spark, path)
+    return _STORED[key]
+
+
 #: The same two tables in SQL.
 GRAPH_SQL = """
 places AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),

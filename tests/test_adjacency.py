@@ -59,3 +59,26 @@ def test_workspace_looks_up_stored_edges(spark, tmp_path):
     ws.store_edges(f"file://{tmp_path}/own")
     for got, plain in zip([ws.call_hierarchy("n00003"), ws.implementations("n00007"), ws.type_hierarchy("n00011")], want):
         same(got, plain)
+
+
+def test_change_impact_from_stored_edges(spark, tmp_path):
+    nodes, edges = tables(spark)
+    path = f"file://{tmp_path}/impact"
+    adjacency.store(edges, path)
+    stored, ids = adjacency.Stored(spark, path), spark.createDataFrame([("n00003",), ("n00007",), ("n00003",)], "id string")
+    for f in (graph.call_seeds, graph.owning_types, graph.related_symbols):
+        same(f(nodes, stored, ids), f(nodes, edges, ids))
+    same(graph.neighbors(stored, nodes, ids, ["calls"], True), graph.neighbors(edges, nodes, ids, ["calls"], True))
+    ws = Workspace(nodes=nodes, edges=edges)
+    want = sorted(map(str, ws.impact_sections("n00003").collect()))
+    ws.store_edges(f"file://{tmp_path}/own")
+    assert sorted(map(str, ws.impact_sections("n00003").collect())) == want
+    scans = ws.impact_sections("n00003")._jdf.queryExecution().executedPlan().toString()
+    assert "target_id" in scans and str(tmp_path) in scans
+
+
+def test_impact_callers_read_row_groups_of_their_seeds(spark):
+    from graphloom.queries.graph import QUERIES
+
+    plan = QUERIES["impact_callers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "edges-by-end" in plan and ("In(target_id" in plan.replace(" ", "") or "EqualTo(target_id" in plan)
