@@ -9,7 +9,7 @@ from ..functions import scores
 from ..operators import closure, graph, intervals, trigrams
 from ..plans import change, impact
 from ..sources.tables import GRAPH_SQL, edges, nodes, read, stored_edges
-from ..storage import fresh_path
+from ..storage import fresh_path, materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,13 +138,24 @@ def call_seed_expansion(spark, sf_dir):
 @query(""", f AS (SELECT id FROM nodes WHERE kind = 'Field' AND display_name = 'red bolt')
 SELECT n.id, n.display_name, min(e.target_id) AS seed_id FROM edges e JOIN f ON f.id = e.target_id JOIN nodes n ON n.id = e.source_id WHERE e.kind = 'calls' GROUP BY n.id, n.display_name""")
 def impact_callers(spark, sf_dir):
-    """Callers of fields of a name, from edges stored by both ends."""
-    n, e = nodes(spark, sf_dir), stored_edges(spark, sf_dir)
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
     seeds = graph.call_seeds(n, e, n.where("kind = 'Field' and display_name = 'red bolt'").select("id"))
     callers = graph.neighbors(e, n, seeds, ["calls"], incoming=True)
     return graph.keep_first(callers, [F.col("id")], [F.col("seed_id")]).select("id", "display_name", "seed_id")
 
 
+def impact_callers_stored(spark, sf_dir):
+    """impact_callers from edges stored by both ends; each step's seeds are written, since a lookup counts them first."""
+    n, e = nodes(spark, sf_dir), stored_edges(spark, sf_dir)
+    fields = materialize(n.where("kind = 'Field' and display_name = 'red bolt'").select("id", "kind"), "fields")
+    seeds = materialize(graph.call_seeds(n, e, fields), "call-seeds")
+    callers = graph.neighbors(e, n, seeds, ["calls"], incoming=True)
+    return graph.keep_first(callers, [F.col("id")], [F.col("seed_id")]).select("id", "display_name", "seed_id")
+
+
+QUERIES["impact_callers_stored"], ORACLES["impact_callers_stored"] = impact_callers_stored, ORACLES["impact_callers"]
+
+
 @query(""" SELECT e.kind AS edge_kind, n.documentation_id, min(n.id) AS id FROM edges e JOIN nodes n ON n.id = e.source_id
 WHERE e.kind IN ('inherits', 'implements', 'overrides') AND e.target_id IN ('type:c:1', 'type:s:1', 'type:s:2') GROUP BY e.kind, n.documentation_id, n.file_path, n.line""")
 def related_symbols(spark, sf_dir):

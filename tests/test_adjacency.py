@@ -80,5 +80,5 @@ def test_change_impact_from_stored_edges(spark, tmp_path):
 def test_impact_callers_read_row_groups_of_their_seeds(spark):
     from graphloom.queries.graph import QUERIES
 
-    plan = QUERIES["impact_callers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["impact_callers_stored"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "edges-by-end" in plan and ("In(target_id" in plan.replace(" ", "") or "EqualTo(target_id" in plan)
