@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
+from ..storage import materialize
+from . import bloom, lexer
 from .graph import keep_first, top_per_key
 from .name_scan import names_held
 
@@ -110,27 +112,46 @@ def config_bindings(rows: DataFrame) -> DataFrame:
     return direct.unionByName(pending.select(F.concat(F.lit("bind:"), "value").alias("kind"), "path", F.col("set_at").alias("line"), names.collapse_spaces(F.col("text")).alias("text")))
 
 
-def _all_matches(pattern: str, groups: int):
-    """A vectorised function: per text all matches as (offset, groups). Offsets of matches are beyond the SQL functions."""
+def _all_matches(pattern: str, groups: int, inside: str = ""):
+    """A vectorised function: per text all matches as (offset, groups). Offsets of matches are beyond the SQL functions.
+
+    inside "()": what the bracket at the start of the last group encloses takes the place of that group, so brackets and strings within
+    don't end it. inside "{}": the text in the next pair of braces after a match is one group more. Both by the lexer.
+    """
     compiled = re.compile(pattern, re.S)
 
-    def found(text: str | None) -> list[dict]:
+    def found(text: str) -> list[re.Match]:
+        return list(compiled.finditer(text))
+
+    def rows(text: str, matches: list[re.Match], enclosed: list[str | None]) -> list[dict]:
         out, line, at = [], 1, 0
-        for m in compiled.finditer(text or ""):
+        for i, m in enumerate(matches):
             line += text.count("\n", at, m.start())
             at = m.start()
-            out.append({"line": line, "end": m.end(), "whole": m.group(0), "groups": [m.group(i + 1) or "" for i in range(groups)]})
+            own = [m.group(n + 1) or "" for n in range(groups)]
+            if inside == "()":
+                own[-1] = own[-1] if enclosed[i] is None else enclosed[i]
+            elif inside:
+                own.append(enclosed[i] or "")
+            out.append({"line": line, "end": m.end(), "whole": m.group(0), "groups": own})
         return out
 
     def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(found)
+        texts = ["" if t is None else t for t in texts]
+        matches = [found(t) for t in texts]
+        around = [[]] * len(texts)
+        if inside:
+            around = lexer.enclosed(texts, [[m.start(groups) - 1 if inside == "()" else m.end() for m in own] for own in matches], *inside, here=inside == "()")
+        return pd.Series([rows(*each) for each in zip(texts, matches, around)], dtype=object)
 
     return F.pandas_udf(apply, "array<struct<line:int,end:int,whole:string,groups:array<string>>>")
 
 
-def file_matches(files: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """path, line, end (offset after the match), whole, groups of every match in the files, over lines. Contents stay behind."""
-    found = files.where(F.col("content").rlike("(?s)" + pattern)).select("path", _all_matches(pattern, groups)("content").alias("found"))
+def file_matches(files: DataFrame, pattern: str, groups: int, inside: str = "") -> DataFrame:
+    """path, line, end (offset after the match), whole, groups of every match in the files, over lines. Contents stay behind.
+
+    inside: brackets whose content a group holds (see _all_matches)."""
+    found = files.where(F.col("content").rlike("(?s)" + pattern)).select("path", _all_matches(pattern, groups, inside)("content").alias("found"))
     return found.select("path", F.explode("found").alias("m")).select("path", "m.line", "m.end", "m.whole", "m.groups")
 
 
@@ -153,35 +174,18 @@ def registrations(files: DataFrame) -> DataFrame:
 
 
 def _parameter_types(parameters: pd.Series) -> pd.Series:
-    """Types of a parameter list: split at commas outside brackets; attributes, modifiers, names and defaults go."""
-
-    def types(text: str) -> list[str]:
-        parts, depth, start = [], 0, 0
-        for i, c in enumerate(text or ""):
-            depth += (c in "<([") - (c in ">)]")
-            if c == "," and depth == 0:
-                parts.append(text[start:i])
-                start = i + 1
-        parts.append((text or "")[start:])
-        out = []
-        for p in parts:
-            p = re.sub(r"^\s*(?:\[[^\]]*\]\s*)*(?:(?:this|in|out|ref|params|scoped|readonly)\s+)*", "", p.split("=")[0]).strip()
-            m = re.match(r"(.+?)\s+@?[A-Za-z_]\w*$", p, re.S)
-            if m:
-                out.append(re.sub(r"\s+", "", m.group(1).replace("global::", "")).rstrip("?"))
-        return out
-
-    return parameters.map(types)
+    return pd.Series(lexer.parameter_types(["" if p is None else p for p in parameters]), dtype=object)
 
 
 def parameter_types(parameters: Column) -> Column:
+    """Types of a parameter list (see lexer.parameter_types)."""
     return F.pandas_udf(_parameter_types, "array<string>")(parameters)
 
 
 def consumers(files: DataFrame) -> DataFrame:
     """path, line, display, parameter_types of primary constructors, constructors and message handlers."""
-    first = file_matches(files, PRIMARY_CONSTRUCTOR, 2)
-    second = file_matches(files, CONSTRUCTOR, 2)
+    first = file_matches(files, PRIMARY_CONSTRUCTOR, 2, "()")
+    second = file_matches(files, CONSTRUCTOR, 2, "()")
     built = first.unionByName(second).select("path", "line", names.collapse_spaces(F.concat(F.col("groups")[0], F.lit("("), F.col("groups")[1], F.lit(")"))).alias("display"), parameter_types(F.col("groups")[1]).alias("parameter_types"))
     handlers = file_matches(files, HANDLER, 2).select("path", "line", names.collapse_spaces(F.col("whole")).alias("display"), F.array(names.type_name(F.col("groups")[1])).alias("parameter_types"))
     return keep_first(built.where(F.size("parameter_types") > 0).unionByName(handlers), [F.col("path"), F.col("line"), F.col("display")], [F.size("parameter_types")])
@@ -290,47 +294,38 @@ def best_types(registered: DataFrame, types: DataFrame) -> DataFrame:
     return keep_first(found, [F.col("reg_id")], [F.desc("score"), F.col("id")]).select("reg_id", "id", "score")
 
 
-def identifier_counts(files: DataFrame) -> DataFrame:
-    return files.select(F.explode(F.regexp_extract_all("content", F.lit(IDENTIFIER), 0)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+def identifiers(files: DataFrame) -> DataFrame:
+    """(name): every identifier in the files, as often as it stands there."""
+    return files.select(F.explode(F.regexp_extract_all("content", F.lit(IDENTIFIER), 0)).alias("name"))
 
 
-def _bodies(starts: pd.Series, contents: pd.Series) -> pd.Series:
-    """From an offset, the text in the next pair of balanced braces; empty without one."""
-
-    def body(end: int, text: str) -> str:
-        depth, begin = 0, None
-        for i in range(end, len(text)):
-            if text[i] == "{":
-                depth += 1
-                begin = i + 1 if begin is None else begin
-            elif text[i] == "}" and begin is not None:
-                depth -= 1
-                if not depth:
-                    return text[begin:i]
-        return ""
-
-    return pd.Series([body(e, t) for e, t in zip(starts, contents)])
+def identifier_counts(files: DataFrame) -> DataFrame:
+    return identifiers(files).groupBy("name").agg(F.count("*").alias("n"))
 
 
-def brace_body(end: Column, content: Column) -> Column:
-    return F.pandas_udf(_bodies, "string")(end, content)
+def dead_code(files: DataFrame) -> DataFrame:
+    """kind, name, path, line, evidence of private methods, private fields and internal types whose name occurs once in all files.
 
+    The declared names are found first and make a Bloom filter; only identifiers that pass it are shuffled and counted, exactly.
+    """
 
-def dead_code(files: DataFrame) -> DataFrame:
-    """kind, name, path, line, evidence of private methods, private fields and internal types whose name occurs once in all files."""
-    once = identifier_counts(files).where("n = 1").select("name")
-
-    def declared(pattern: str, kind: str) -> DataFrame:
-        return file_matches(files, pattern, 2).select(F.lit(kind).alias("kind"), F.col("groups")[1].alias("name"), F.col("groups")[0].alias("before"), "path", "line", "end")
-
-    members = declared(PRIVATE_METHOD, "private-method").unionByName(declared(PRIVATE_FIELD, "private-field")).join(once, "name", "left_semi")
-    types = declared(INTERNAL_TYPE, "internal-type").join(once, "name", "left_semi")
-    static = types.where(F.col("before").contains("static")).join(files.select("path", "content"), "path").withColumn("body", brace_body(F.col("end"), F.col("content")))
-    methods = static.select("path", "line", F.explode(F.regexp_extract_all("body", F.lit(STATIC_METHOD), 1)).alias("member"))
-    used = methods.join(once.withColumnRenamed("name", "member"), "member", "left_anti").select("path", "line").distinct()
-    types = types.join(used, ["path", "line"], "left_anti")
-    text = F.when(F.col("kind") == "internal-type", "type name appears only in its declaration").otherwise("identifier appears only in its declaration")
-    return members.unionByName(types).select("kind", "name", "path", "line", text.alias("evidence"))
+    def declared(pattern: str, kind: str, inside: str = "") -> DataFrame:
+        groups = F.col("groups")
+        members = F.regexp_extract_all(groups[2], F.lit(STATIC_METHOD), 1) if inside else F.array().cast("array<string>")
+        found = file_matches(files, pattern, 2, inside).select(F.lit(kind).alias("kind"), groups[1].alias("name"), "path", "line", F.when(groups[0].contains("static"), members).alias("members"))
+        return found
+
+    parts = [declared(PRIVATE_METHOD, "private-method"), declared(PRIVATE_FIELD, "private-field"), declared(INTERNAL_TYPE, "internal-type", "{}")]
+    rows = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "declared")
+    asked = rows.select(F.explode(F.concat(F.array("name"), F.coalesce("members", F.array().cast("array<string>")))).alias("name")).distinct()
+    counted = identifiers(files).where(bloom.may_be_in(asked, "name", F.col("name"))).groupBy("name").agg(F.count("*").alias("n"))
+    once = materialize(counted.where("n = 1").select("name"), "once")
+    alone = rows.join(once, "name", "left_semi")
+    types = F.col("kind") == "internal-type"
+    methods = alone.where(types).select("path", "line", F.explode("members").alias("member"))
+    used = methods.join(once.withColumnRenamed("name", "member"), "member", "left_anti").select("path", "line").distinct().withColumn("kind", F.lit("internal-type"))
+    text = F.when(types, "type name appears only in its declaration").otherwise("identifier appears only in its declaration")
+    return alone.join(used, ["path", "line", "kind"], "left_anti").select("kind", "name", "path", "line", text.alias("evidence"))
 
 
 def startup_calls(rows: DataFrame) -> DataFrame:
