@@ -21,9 +21,9 @@ STEPS = (
 
 def prefer_production(targets: DataFrame) -> DataFrame:
     """Targets outside test folders, or all where there are no others."""
-    test = F.coalesce(paths.test_folder(F.col("path")), F.lit(False))
-    others = F.max((~test).cast("int")).over(W.partitionBy())
-    return targets.withColumns({"_test": test, "_others": others}).where("_others = 0 or not _test").drop("_test", "_others")
+    test, others = graph.free_name(targets, "_test"), graph.free_name(targets, "_others")
+    marked = targets.withColumn(test, F.coalesce(paths.test_folder(F.col("path")), F.lit(False)))
+    return marked.withColumn(others, F.max((~F.col(test)).cast("int")).over(W.partitionBy())).where((F.col(others) == 0) | ~F.col(test)).drop(test, others)
 
 
 def plan_steps(found: DataFrame, k: int = 10) -> DataFrame:

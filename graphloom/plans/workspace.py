@@ -10,7 +10,7 @@ from ..functions.paths import test_path
 from ..operators import adjacency, build, diagnostics, facts, graph, intervals, markup, overlay, render, trigrams
 from ..sources import snapshot, text
 from ..storage import materialize
-from . import change, export, impact, symbols
+from . import change, export, impact, steps, symbols
 
 
 class Workspace:
@@ -259,8 +259,18 @@ class Workspace:
     def change_impact(self, query: str | None = None, path: str | None = None, k: int = 20) -> DataFrame:
         return impact.ranked_files(self.impact_sections(query, path, k), k)
 
+    def _projects(self) -> tuple[DataFrame, DataFrame]:
+        """The projects (project_id, project_name, path, is_test) and solutions (path): of the table projects, else of the files."""
+        solutions = self.files.where(F.lower("path").rlike(r"[.]slnx?$")).select("path") if "files" in self.tables else self.nodes.where("kind = 'Solution'").select(F.col("file_path").alias("path"))
+        if "projects" in self.tables:
+            own = self.projects.select("project_id", "project_name", "path")
+            return own.withColumn("is_test", F.coalesce(paths.test_project(F.col("project_name"), F.col("path")), F.lit(False))), solutions
+        return text.read_projects(self.files).select(F.col("path").alias("project_id"), F.col("name").alias("project_name"), "path", "is_test"), solutions
+
     def plan_change(self, query: str | None = None, path: str | None = None, k: int = 10) -> DataFrame:
-        return change.plan_steps(self.impact_sections(query, path, k), k)
+        """The steps of a change in order: phase (inspect, edit, verify), step, kind, title, command, targets, truncated."""
+        found = materialize(self.impact_sections(query, path, max(20, 3 * k)), "impact")
+        return steps.plan(found, self.nodes, *self._projects(), k)
 
     def impacted_projects(self, query: str | None = None, path: str | None = None, k: int = 20) -> DataFrame:
         """The projects of the table projects that a change reaches."""
@@ -273,8 +283,22 @@ class Workspace:
         projects = targets.select(F.col("project_name").alias("project")).where("project is not null")
         return facts.registrations_that_concern(self._with_project(facts.registrations(own)), self._with_project(facts.consumers(own)), impact.candidate_names(targets), projects)
 
-    def verify_change(self, changed: DataFrame, query: str | None = None, path: str | None = None, minimum: str = "WARNING") -> DataFrame:
-        return change.verify_change(self.impact_sections(query, path), changed, self.diagnostics, minimum)
+    def _impact_or_none(self, changed: DataFrame | None, query: str | None, path: str | None, k: int) -> tuple[DataFrame | None, DataFrame]:
+        """The impact, where there is a query or path, and the changed files."""
+        if not (query or path) and changed is None:
+            raise ValueError("give a symbol query, a file path or changed files")
+        found = materialize(self.impact_sections(query, path, max(20, 3 * k)), "impact") if query or path else None
+        spark = self.diagnostics.sparkSession if "diagnostics" in self.tables else self.nodes.sparkSession
+        return found, spark.createDataFrame([], "path string") if changed is None else changed.select("path")
+
+    def verify_change(self, changed: DataFrame | None = None, query: str | None = None, path: str | None = None, minimum: str = "WARNING", k: int = 10) -> DataFrame:
+        """Diagnostics of the changed files (path) and of what a change reaches; of all files where neither names one."""
+        return steps.focused_diagnostics(*self._impact_or_none(changed, query, path, k), self.diagnostics, minimum, k)
+
+    def verification_steps(self, changed: DataFrame | None = None, query: str | None = None, path: str | None = None, k: int = 10) -> DataFrame:
+        """Builds, tests and diagnostics to run for changed files (path) and for what a change reaches."""
+        found, files = self._impact_or_none(changed, query, path, k)
+        return steps.verification(found, files, self.nodes if found is not None else None, *self._projects(), k)
 
     # markup (files that end in .xaml)
     def _elements(self) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import scores
 from ..operators import closure, graph, intervals, trigrams
-from ..plans import change, impact
+from ..plans import change, impact, steps
 from ..sources.tables import GRAPH_SQL, edges, nodes, read, stored_edges
 from ..storage import fresh_path, materialize
 
@@ -350,3 +350,26 @@ SELECT CAST(row_number() OVER (ORDER BY CASE section WHEN 'target' THEN 0 WHEN '
 FROM (SELECT section, string_agg(path, ',' ORDER BY k) AS files FROM tops WHERE k <= 10 GROUP BY section)""")
 def plan_change(spark, sf_dir):
     return change.plan_steps(impact.sections(nodes(spark, sf_dir), edges(spark, sf_dir), TARGET))
+
+
+@query(IMPACT_SQL + """, files AS (SELECT section, path, place, CASE section WHEN 'target' THEN 0 WHEN 'caller' THEN 1 WHEN 'relation' THEN 2 ELSE 3 END AS n FROM cut WHERE coalesce(trim(path), '') <> ''),
+prim AS (SELECT min(upper(path)) AS key FROM files WHERE n = 0 GROUP BY upper(path) ORDER BY min(place) LIMIT 10),
+steps AS (
+  SELECT 'inspect' AS phase, n, path, n AS arm, place FROM files
+  UNION ALL SELECT 'edit', 0, path, 0, place FROM files WHERE n = 0
+  UNION ALL SELECT 'edit', 1, path, n, place FROM files WHERE n IN (1, 2) AND upper(path) NOT IN (SELECT key FROM prim)
+), firsts AS (SELECT *, row_number() OVER (PARTITION BY phase, n, upper(path) ORDER BY arm, place, path) AS k FROM steps),
+tops AS (SELECT *, row_number() OVER (PARTITION BY phase, n ORDER BY arm, place, path) AS r, count(*) OVER (PARTITION BY phase, n) AS total FROM firsts WHERE k = 1),
+second AS (SELECT upper(path) AS key FROM tops WHERE phase = 'edit' AND n = 1 AND r <= 10),
+wires AS (SELECT path, place, row_number() OVER (PARTITION BY upper(path) ORDER BY place, path) AS k FROM files WHERE n = 3 AND upper(path) NOT IN (SELECT key FROM prim) AND upper(path) NOT IN (SELECT key FROM second)),
+every AS (
+  SELECT phase, n, path, r, total FROM tops
+  UNION ALL SELECT 'edit', 2, path, row_number() OVER (ORDER BY place, path), count(*) OVER () FROM wires WHERE k = 1
+)
+SELECT phase, CAST(row_number() OVER (PARTITION BY phase ORDER BY n) AS INT) AS step, files, truncated FROM (
+  SELECT phase, n, string_agg(path, ',' ORDER BY r) AS files, CAST(greatest(max(total) - 10, 0) AS BIGINT) AS truncated FROM every WHERE r <= 10 GROUP BY phase, n)""")
+def plan_steps_of_phases(spark, sf_dir):
+    """The steps that inspect and edit, of the flagship's target, with how many files are left out of each."""
+    found = materialize(impact.sections(nodes(spark, sf_dir), edges(spark, sf_dir), TARGET), "impact")
+    projects = nodes(spark, sf_dir).where("kind = 'Project'").select(F.col("id").alias("project_id"), F.col("display_name").alias("project_name"), F.col("file_path").alias("path"), F.lit(False).alias("is_test"))
+    return steps.inspect_and_edit(found, projects).select("phase", "step", F.array_join("targets", ",").alias("files"), "truncated")

@@ -220,3 +220,20 @@ SELECT id, score FROM nodes JOIN best USING (id) ORDER BY score DESC, {case('kin
 def export_project(spark, sf_dir):
     """The slice of one project: its neighbours, namespaces and types."""
     return export.select(nodes(spark, sf_dir), edges(spark, sf_dir), project="asia", max_nodes=60)[0].select("id", "score")
+
+
+@query("""
+WITH src AS (SELECT p_partkey AS k, 'src/' || p_brand || '/Members.cs' AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS line FROM part)
+SELECT 'private-method' AS kind, 'Do' || k AS name, path, line, 'identifier appears only in its declaration' AS evidence FROM src WHERE k % 3 = 0 AND NOT (k % 2 = 1 AND k + 1 IN (SELECT k FROM src))
+UNION ALL SELECT 'internal-type', 'Kit' || k, path, line, 'type name appears only in its declaration' FROM src WHERE k % 3 = 2 AND NOT (k % 2 = 0 AND k - 1 IN (SELECT k FROM src))""")
+def source_dead_code(spark, sf_dir):
+    """Methods and static classes, one for each part, some of which another part's line uses (classes by a member); braces in strings."""
+    k = F.col("p_partkey")
+    text = (
+        F.when(k % 3 == 0, F.concat(F.lit("private void Do"), k, F.lit("() { }")))
+        .when(k % 3 == 2, F.concat(F.lit("internal static class Kit"), k, F.lit(' { const string End = "}"; public static int Get'), k, F.lit("(int n) { return n; } }")))
+        .otherwise(F.when(k % 2 == 0, F.concat(F.lit("Do"), k - 1, F.lit("();"))).otherwise(F.concat(F.lit("Get"), k + 1, F.lit("(1);"))))
+    )
+    rows = read(spark, sf_dir, "part").select("p_brand", F.struct("p_partkey", text.alias("text")).alias("s"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.text), "\n")  # a file is one row by nature
+    return facts.dead_code(rows.groupBy("p_brand").agg(whole.alias("content")).select(F.concat(F.lit("src/"), "p_brand", F.lit("/Members.cs")).alias("path"), "content"))
