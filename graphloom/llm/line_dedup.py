@@ -6,8 +6,8 @@ documents that hold a key and the largest id among them. No key stands in two ru
 
 Each new batch of documents is summed to its keys and merge-joined with every run. Runs and batch lie in the same
 buckets, so no row moves. Keys that no run knows (the anti-join) become the batch's own run at level 0; known keys
-become rows of a table of changes. ``FANOUT`` runs of a level are merged into one of the next. So the first sight of a key is written
-once and merged a logarithmic number of times, and only keys that come again are ever summed up anew.
+become its changes. ``FANOUT`` runs of a level are merged into one of the next, and their changes summed. So a key is written
+once and merged a logarithmic number of times, and a logarithmic number of tables is read, however many batches there were.
 
 Documents are then anti-joined: a key of ``min_chars`` code points or more in at least ``min_docs`` documents loses
 all its lines but in the largest id that holds it. Frequent keys come from the changes and the runs' rows of the same keys.
@@ -22,14 +22,17 @@ further columns are ignored. A text of very many lines is one row throughout.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.snapshot import SnapshotConflict, _commit, _files, _last
 from .common import ASCII_LOWER, ASCII_UPPER, WHITE, ascii_lower, fresh_path, id_and_text, materialize, read, shuffle_partitions
 
 FANOUT, BATCHES = 4, 5
 RUN = "h1 long, h2 long, n_docs long, last_doc long"
-KEYS = "doc_id long, text_hash long, h1 long, h2 long, added int, batch int"
+KEYS = "doc_id long, text_hash long, h1 long, h2 long, added string, batch int"
 
 
 def stripped(line: Column) -> Column:
@@ -58,38 +61,63 @@ def with_hash(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The runs below a folder, as lists of table names by level; tables of changes; and a folder of the documents' keys."""
+    """The runs below a folder: by level, the names of tables that hold a run (known = false) and the changes that came with it (known = true).
+
+    Each add ends with a numbered manifest of the tables, so a later session goes on from the folder alone, and one that failed on the way
+    leaves the last manifest's state. Every name is new, so of two that add at once one fails and spoils nothing. What a merge replaces is
+    deleted after the manifest.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.levels = spark, path or fresh_path(spark, "line-runs"), [[]]
-        self.buckets, self.written, self.changes, self.added = shuffle_partitions(spark), 0, [], 0
+        self.spark, self.path = spark, (path or fresh_path(spark, "line-runs")).rstrip("/")
+        self.number, state = _last(spark, self.path)
+        state = state or {"levels": [[]], "buckets": shuffle_partitions(spark), "added": []}
+        self.levels, self.buckets, self.added = state["levels"], state["buckets"], state["added"]
+        self.replaced: list[str] = []
+
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
-    def _place(self, df: DataFrame, *parts: str) -> str:
+    def _place(self, df: DataFrame) -> str:
         """df as a bucketed table in the shared folder, one sorted file for each bucket."""
-        folder = self.path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
-        name, self.written = f"{folder}_{self.written}", self.written + 1
-        writer = df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.path}/{name}")
-        (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = df.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").partitionBy("known")
+        writer.format("parquet").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
-    def _read(self, name: str) -> DataFrame:
-        table = self.spark.table(name)
-        return (table.where("not known") if "known" in table.columns else table).select("h1", "h2", "n_docs", "last_doc")
+    def _read(self, name: str, known: bool) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):  # written by another session, or closed
+            self.spark.sql(f"CREATE TABLE `{name}` ({RUN}, known boolean) USING parquet PARTITIONED BY (known) CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.spark.catalog.recoverPartitions(name)
+        return self.spark.table(name).where(F.col("known") if known else ~F.col("known")).select("h1", "h2", "n_docs", "last_doc")
 
     def runs(self) -> list[DataFrame]:
-        return [self._read(name) for level in self.levels for name in level]
+        return [self._read(name, False) for name in self.names()]
+
+    def changes(self) -> list[DataFrame]:
+        return [self._read(name, True) for name in self.names()]
 
     def add(self, docs: DataFrame, min_chars: int, batches: int = 1) -> None:
         """Adds docs in batches by a hash of the id. Their lines are split and hashed once, before the first batch."""
+        if _last(self.spark, self.path)[0] != self.number:  # its merges may have deleted what this one would read
+            raise SnapshotConflict(f"another has added to {self.path} since it was opened")
         dealt = with_hash(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-        document_keys(dealt, min_chars).write.partitionBy("batch").parquet(f"{self.path}/keys/added={self.added}")
-        keys = self.keys().where(F.col("added") == self.added)
-        self.added += 1
+        self.added = [*self.added, uuid.uuid4().hex]
+        document_keys(dealt, min_chars).write.partitionBy("batch").parquet(f"{self.path}/keys/added={self.added[-1]}")
+        keys = self.keys().where(F.col("added") == self.added[-1])
         for b in range(batches):
             self._add_batch(keys.where(F.col("batch") == b))
+        _commit(self.spark, self.path, self.number + 1, {"levels": self.levels, "buckets": self.buckets, "added": self.added})
+        self.number += 1
+        self._drop(self.replaced)
+        for name in self.replaced:
+            fs, at = _files(self.spark, f"{self.path}/{name}")
+            fs.delete(at, True)
+        self.replaced = []
 
     def keys(self) -> DataFrame:
-        return self.spark.read.schema(KEYS).parquet(f"{self.path}/keys")
+        """The keys of the documents of all adds; those of one that failed stay out."""
+        return self.spark.read.schema(KEYS).parquet(f"{self.path}/keys").where(F.col("added").isin(self.added))
 
     def _add_batch(self, keys: DataFrame) -> None:
         own = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
@@ -97,34 +125,50 @@ class LineRuns:
         for i, run in enumerate(self.runs()):
             own = own.join(run.select("h1", "h2", F.lit(True).alias(f"in_{i}")), ["h1", "h2"], "left")
             known = known | F.col(f"in_{i}").isNotNull()
-        marked = own.select("h1", "h2", "n_docs", "last_doc", known.alias("known")).repartition(self.buckets, "h1", "h2")
-        name = self._place(marked, "known")
-        self.levels[0].append(name)
-        self.changes.append(name)
+        self.levels[0].append(self._place(own.select("h1", "h2", "n_docs", "last_doc", known.alias("known"))))
         self._compact()
 
     def _compact(self) -> None:
+        """Merges the runs of a full level to one of the next, and sums their changes to one row for each key."""
         level = 0
         while len(self.levels[level]) >= FANOUT:
             full, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            merged = self._read(full[0])
-            for name in full[1:]:
-                merged = merged.unionByName(self._read(name))
-            self.levels[level + 1].append(self._place(merged.repartition(self.buckets, "h1", "h2")))
+            runs, changes = ([self._read(name, known) for name in full] for known in (False, True))
+            merged = _union(runs).withColumn("known", F.lit(False)).unionByName(_summed(_union(changes)).withColumn("known", F.lit(True)))
+            self.levels[level + 1].append(self._place(merged))
+            self.replaced += full
             level += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
         """Keys in at least min_docs documents, over all runs and changes."""
-        changes = self.spark.createDataFrame([], RUN)
-        for name in self.changes:
-            changes = changes.unionByName(self.spark.table(name).where("known").select("h1", "h2", "n_docs", "last_doc"))
-        again = changes.select("h1", "h2", F.lit(True).alias("again")).distinct()
-        rows = changes
+        rows = self.spark.createDataFrame([], RUN)
+        for changed in self.changes():
+            rows = rows.unionByName(changed)
+        again = rows.select("h1", "h2", F.lit(True).alias("again")).distinct()
         for run in self.runs():
             rows = rows.unionByName(run.join(again, ["h1", "h2"], "left").where(F.col("again") | (F.col("n_docs") >= min_docs)).drop("again"))
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")).where(F.col("n_docs") >= min_docs)
+        return _summed(rows).where(F.col("n_docs") >= min_docs)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+
+    def close(self) -> None:
+        """Takes the tables' names out of the catalog; their files stay, so the folder can be opened again."""
+        self._drop([*self.names(), *self.replaced])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
 def anti_join(docs: DataFrame, runs: LineRuns, min_chars: int, min_docs: int) -> DataFrame:
@@ -149,7 +193,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     """Adds docs to fresh runs, batch by batch, then dedups docs against them."""
     runs = LineRuns(docs.sparkSession)
     runs.add(docs, min_chars, batches)
-    return anti_join(docs, runs, min_chars, min_docs)
+    kept = anti_join(docs, runs, min_chars, min_docs)  # the frequent keys are written by then
+    runs.close()
+    return kept
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import hashlib
 
+import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
 
 from graphloom.llm import line_dedup, mixing, registry
+from graphloom.sources.snapshot import SnapshotConflict
 
 SF = "/root/testdata/sf0.01"
 
@@ -100,10 +102,49 @@ def test_batches_and_compaction_equal_one_pass(spark):
     assert [len(level) for level in runs.levels] == [2, 1]
     held = [{(r.h1, r.h2) for r in run.collect()} for run in runs.runs()]
     assert sum(map(len, held)) == len(set().union(*held)) == 5  # the anti-join: no key is in two runs, and the batches after the first bring changes only
-    assert [spark.table(c).where("known").count() for c in runs.changes] == [0, 5, 5, 5, 5, 5]
+    changed = [c.agg(F.count("*"), F.sum("n_docs")).first() for c in runs.changes()]
+    added = [sum(i % 6 == b for i in range(40)) for b in range(6)]
+    assert [tuple(c) for c in changed] == [(5, added[4]), (5, added[5]), (5, sum(added[1:4]))]  # those of the first four batches are one table
     got = line_dedup.anti_join(docs, runs, 40, 5).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256)).collect()
     assert sorted([tuple(r) for r in got], key=str) == plain_dedup(rows)
 
 
+def tables(spark):
+    return {t.name for t in spark.catalog.listTables()}
+
+
+def test_runs_are_opened_again(spark):
+    before = tables(spark)
+    rows = [(i, f"line number {i % 5} that many documents hold, forty characters\nx{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = line_dedup.LineRuns(spark)
+    for b in range(3):
+        first.add(docs.where(F.col("doc_id") % 6 == b), 40)
+    first.close()
+    assert tables(spark) == before  # no name is left
+    other, late = line_dedup.LineRuns(spark, first.path), line_dedup.LineRuns(spark, first.path)
+    assert other.names() == first.names() and len(other.added) == 3
+    failed = line_dedup.LineRuns(spark, first.path)  # writes keys and a table, and stops before its manifest
+    line_dedup.document_keys(line_dedup.with_hash(docs).withColumn("batch", F.lit(0)), 40).write.partitionBy("batch").parquet(f"{failed.path}/keys/added=cut")
+    assert failed.keys().count() == sum(i % 6 < 3 for i in range(40))
+    for b in range(3, 6):
+        other.add(docs.where(F.col("doc_id") % 6 == b), 40)
+    assert [len(level) for level in other.levels] == [2, 1]
+    got = line_dedup.anti_join(docs, other, 40, 5).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == plain_dedup(rows)
+    with pytest.raises(SnapshotConflict):  # another has added since it was opened
+        late.add(docs, 40)
+    again = line_dedup.anti_join(docs, line_dedup.LineRuns(spark, first.path), 40, 5).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, again), key=str) == plain_dedup(rows)  # and loses nothing by it
+    other.close()
+    late.close()
+
+
+def test_no_names_are_left(spark):
+    before = tables(spark)
+    docs = spark.createDataFrame([(i, "a line that many documents hold, of forty characters") for i in range(9)], "doc_id long, text string")
+    assert line_dedup.line_dedup(docs).agg(F.sum("n_dropped")).first()[0] == 8 and tables(spark) == before
+
+
 def test_no_documents(no_docs):
     assert line_dedup.line_dedup(no_docs).count() == 0
