@@ -5,11 +5,16 @@ centres; codes and centres minimise the residual with its part along the vector
 2020), which is the part that changes large scores. Codebooks are fitted on a bounded sample; every row is indexed.
 
 Equal vectors become one row with the k + 1 smallest ids, which is all that a list of k without the query itself can
-need. Codes (half a byte for each two dimensions) and queries are dealt to blocks; each task scans one block of codes for one
-block of queries: per query a table of 16 scores for each subspace, two of which are read as one byte. Only codes are
-copied, once for each ``QUERY_ROWS`` queries. Rows are dealt to blocks by hash, so a block's share of a query's best rows is even
-but for chance, and each block gives its share with four deviations more; of all blocks the best ``rerank_depth`` rows of a query
-go on, their original vectors are fetched by one join, and scored exactly in double precision. The best k are the result.
+need. Rows (codes of half a byte for each two dimensions, and vectors) and queries are dealt to blocks; each task scans the codes of one
+block for one block of queries: per query a table of 16 scores for each subspace, two of which are read as one byte. Rows are
+copied once for each ``QUERY_ROWS`` queries. Rows are dealt to blocks by hash, so a block's share of a query's best rows is even
+but for chance, and each block scores its share of the best ``rerank_depth`` rows, with four deviations more, exactly.
+
+Where rows crowd together (tight clusters, a large common part, few large entries) codes hardly tell them apart, and no fixed
+depth holds the nearest. So the k-th score of that first scan is a bound for a second one. With each code stand the
+residual's part along its vector and the length of the rest, from which follows the least approximate score that a row of
+the bound or more can have (``least_approximate``). Each row that reaches it is scored exactly in double precision, so the
+result is that of comparing all with all; how many rows these are depends on how well the codes tell rows apart.
 
 Every code is compared with every query: a coarse partition of cells would save work where vectors cluster, but on
 vectors without clusters half of all cells must be probed for nine of ten neighbours.
@@ -35,6 +40,8 @@ from .common import materialize, read, shuffle_partitions
 
 CENTRES, FIT_ROWS = 16, 10_000
 BLOCK_ROWS, QUERY_ROWS = 1 << 17, 1 << 13
+#: Entries of the vectors of a block, and of the arrays that a task makes at a time.
+BLOCK_ENTRIES, STEP_ENTRIES = 1 << 22, 1 << 20
 RERANK, RERANK_ROWS, RERANK_POWER = 128, 8192, 0.4
 
 
@@ -96,6 +103,12 @@ class AnisotropicQuantiser:
                 along[:, m] = part[np.arange(len(x)), codes[:, m]]
         return codes
 
+    def residual(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each unit vector's residual the part along the vector, and the length of the rest."""
+        gap = x - np.concatenate([self.centres[m][codes[:, m]] for m in range(len(self.centres))], axis=1)
+        along = (gap * x).sum(axis=1)
+        return along, np.sqrt(((gap - along[:, None] * x) ** 2).sum(axis=1))
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         """Two four-bit codes to a byte."""
         if codes.shape[1] % 2:
@@ -110,14 +123,23 @@ class AnisotropicQuantiser:
         return np.stack([(f[:, :, None] + s[:, None, :]).reshape(len(queries), CENTRES * CENTRES) for f, s in zip(own[::2], own[1::2])], axis=1).astype(np.float32)
 
 
-def scan(tables: np.ndarray, packed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query, the rows of the largest approximate scores, and these."""
+def approximate(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """The approximate score of each query and row."""
     score = np.zeros((len(tables), len(packed)), np.float32)
     for p in range(packed.shape[1]):
         score += tables[:, p].take(packed[:, p], axis=1)
-    most = min(most, len(packed))
-    near = np.argpartition(-score, most - 1, axis=1)[:, :most]
-    return near, np.take_along_axis(score, near, axis=1)
+    return score
+
+
+def least_approximate(least: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """The least approximate score of a row whose exact score is least or more.
+
+    With score s, the query is s times the row's vector and a rest of length sqrt(1 - s^2), so the approximate score is at least
+    s (1 - along) - across sqrt(1 - s^2), which is convex in s. What float32 sums round off is taken off.
+    """
+    lowest = -(1 - along) / np.maximum(np.hypot(1 - along, across), 1e-300)
+    s = np.clip(np.maximum(least, lowest), -1, 1)
+    return s * (1 - along) - across * np.sqrt(1 - s * s) - 1e-4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -172,23 +194,43 @@ def fit_quantiser(index: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> Anisotr
 
 
 def codes(index: DataFrame, quantiser: AnisotropicQuantiser) -> DataFrame:
-    """row, code of every distinct vector."""
+    """row, ids, vector, code, along, across of every distinct vector."""
 
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1))
-                packed = quantiser.pack(quantiser.encode(unit(x)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in packed], pa.binary())], ["row", "code"])
+                x = unit(_matrix(batch.column(2)))
+                own = quantiser.encode(x)
+                packed = pa.array([c.tobytes() for c in quantiser.pack(own)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, packed, *map(pa.array, quantiser.residual(x, own))], ["row", "ids", "vector", "code", "along", "across"])
 
-    return index.select("row", "vector").mapInArrow(encode, "row long, code binary")
+    return index.select("row", "ids", "vector").mapInArrow(encode, "row long, ids array<long>, vector array<double>, code binary, along double, across double")
 
 
-def scanned(coded: DataFrame, asked: DataFrame, quantiser: AnisotropicQuantiser, n: int, depth: int, block_rows: int, query_rows: int) -> DataFrame:
-    """asked_row, row: of each query (asked_row, query) the depth rows of the largest approximate scores."""
-    tasks = min(shuffle_partitions(coded.sparkSession), max(1, n // 4096))
-    n_blocks, n_parts = max(tasks, -(-n // block_rows)), max(1, -(-asked.count() // query_rows))
+def nearest(query_id: int, score: list, ids: list, k: int) -> list[int]:
+    """Places of the rows, of these scores and lists of ids, that the k nearest ids other than query_id can come from."""
+    own = [[i for i in x if i != query_id] for x in ids]
+    kept, found, ties, last = [], set(), set(), None
+    for s, first, place in sorted((-s, x[0], place) for place, (s, x) in enumerate(zip(score, own)) if x):
+        if len(found) >= k and (s != last or len(ties) >= k):
+            break
+        ties = ties | {first} if s == last else {first}
+        found.update(own[place])
+        kept.append(place)
+        last = s
+    return kept
+
+
+def scanned(coded: DataFrame, asked: DataFrame, quantiser: AnisotropicQuantiser, n: int, k: int, depth: int, block_rows: int, query_rows: int) -> DataFrame:
+    """asked_row, query_id, ids, score: rows near each query (asked_row, query_id, query, least) with exact scores, and all of its k nearest ids if least is known.
 
+    Where least is null, a block scores its share of the depth rows of the largest approximate scores; else each row that can have
+    the score least or more.
+    """
+    dim = int(quantiser.edges[-1])
+    tasks = min(shuffle_partitions(coded.sparkSession), max(1, n // 4096))
+    n_blocks = max(tasks, -(-n // max(1, min(block_rows, BLOCK_ENTRIES // dim))))
+    n_parts = max(1, -(-asked.count() // max(1, min(query_rows, BLOCK_ENTRIES // dim))))
     most = block_depth(depth, n_blocks)
 
     def every(k):
@@ -198,41 +240,53 @@ def scanned(coded: DataFrame, asked: DataFrame, quantiser: AnisotropicQuantiser,
     right = asked.withColumn("part", F.pmod("asked_row", F.lit(n_parts)).cast("int")).withColumn("block", every(n_blocks))
 
     def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = [[], [], []]
+        found = []
         if len(own) and len(asked):
-            packed, rows = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1), own["row"].to_numpy()
-            q, ids = np.stack(asked["query"].to_numpy()).astype(float), asked["asked_row"].to_numpy()
-            step = max(1, (1 << 22) // len(own))
+            packed, ids = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1), own["ids"]
+            x, q = (np.stack(v.to_numpy()).astype(float) for v in (own["vector"], asked["query"]))
+            along, across, least = own["along"].to_numpy(), own["across"].to_numpy(), asked["least"].to_numpy(float, na_value=np.nan)
+            unit_x, unit_q, pairs = unit(x), unit(q), max(1, STEP_ENTRIES // dim)
+            step = max(1, STEP_ENTRIES // max(len(own), packed.shape[1] * CENTRES * CENTRES))
             for at in range(0, len(q), step):
-                near, score = scan(quantiser.tables(unit(q[at : at + step])), packed, most)
-                for column, values in zip(found, (np.repeat(ids[at : at + step], near.shape[1]), rows[near].ravel(), score.ravel())):
-                    column.append(values)
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in zip(("asked_row", "row", "score"), found)})
-
-    pairs = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, "asked_row long, row long, score float")
-    place = F.row_number().over(W.partitionBy("asked_row").orderBy(F.desc("score"), "row"))
-    return pairs.withColumn("place", place).where(F.col("place") <= depth).select("asked_row", "row")
-
-
-def exact_scores(pairs: DataFrame) -> DataFrame:
-    """query_id, ids, score of rows (query_id, query, ids, vector)."""
-
-    def score(batches):
-        for batch in batches:
-            if batch.num_rows:
-                q, x = (_matrix(batch.column(c)) for c in ("query", "vector"))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(cosines(q, x))], ["query_id", "ids", "score"])
-
-    return pairs.select("query_id", "query", "ids", "vector").mapInArrow(score, "query_id long, ids array<long>, score double")
+                score = approximate(quantiser.tables(unit_q[at : at + step]), packed)
+                fits = score >= least_approximate(least[at : at + step, None], along[None], across[None])
+                for i in np.flatnonzero(np.isnan(least[at : at + step])):
+                    fits[i, np.argpartition(-score[i], min(most, len(own)) - 1)[:most]] = True
+                i, j = np.nonzero(fits)
+                i += at
+                exact = np.zeros(len(i))
+                for a in range(0, len(i), pairs):
+                    some = slice(a, a + pairs)
+                    near = ~((unit_q[i[some]] * unit_x[j[some]]).sum(axis=1) < least[i[some]] - 1e-9)
+                    exact[some] = -2
+                    exact[a + np.flatnonzero(near)] = cosines(q[i[some][near]], x[j[some][near]])
+                fits = ~(exact < least[i]) & (exact > -2)
+                i, j, exact = i[fits], j[fits], exact[fits]
+                for at_query, places in pd.Series(np.arange(len(i))).groupby(i):
+                    asked_row, query_id = asked["asked_row"].iat[at_query], asked["query_id"].iat[at_query]
+                    lists, scores = [ids.iat[c].tolist() for c in j[places]], exact[places].tolist()
+                    found += [(asked_row, query_id, lists[p], scores[p]) for p in nearest(query_id, scores, lists, k)]
+        return pd.DataFrame(found, columns=["asked_row", "query_id", "ids", "score"])
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, "asked_row long, query_id long, ids array<long>, score double")
+
+
+def best_ids(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """key, vec_id, score, rank: the k nearest other ids of each key; an id of several vectors is as near as its nearest one."""
+    pairs = scored.select("*", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").groupBy(key, "vec_id").agg(F.max("score").alias("score"))
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
 def _of_one_length(rows: DataFrame, asked: DataFrame, k: int, rerank: int, block_rows: int, query_rows: int) -> DataFrame:
     index = materialize(distinct_vectors(rows, k), "distinct-vectors")
     n = index.count()
     quantiser, depth = fit_quantiser(index, n), max(rerank_depth(n, rerank), k + 1)
+    coded = materialize(codes(index, quantiser), "codes")
     queries = materialize(asked.withColumn("asked_row", F.xxhash64("query_id", "query")), "asked")
-    near = scanned(materialize(codes(index, quantiser), "codes"), queries, quantiser, n, depth, block_rows, query_rows)
-    return exact_scores(near.join(index, "row").join(queries, "asked_row"))
+    first = scanned(coded, queries.withColumn("least", F.lit(None).cast("double")), quantiser, n, k, depth, block_rows, query_rows)
+    bound = best_ids(first, "asked_row", k).where(F.col("rank") == k).select("asked_row", F.col("score").alias("least"))
+    known = queries.join(bound, "asked_row", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    return scanned(coded, materialize(known, "bounds"), quantiser, n, k, depth, block_rows, query_rows).drop("asked_row")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -245,9 +299,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RER
         own = asked.where(F.size("query") == dim)
         scored = scored.unionByName(_of_one_length(rows.where(F.size("vector") == dim), own, k, rerank, block_rows, query_rows))
     # an id with several vectors, as query or as row, meets the same neighbour more than once
-    pairs = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best_ids(scored, "query_id", k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

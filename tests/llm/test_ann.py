@@ -106,3 +106,23 @@ def test_extreme_doubles(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1e-200]), (2, [1e200, 1e200]), (3, [-5e-324, 0.0]), (4, [1e308, 1e-308])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, vector array<double>"), 5).orderBy("rank").collect()
     assert [(r.vec_id, round(r.score, 12)) for r in got] == [(4, 1.0), (2, round(0.5**0.5, 12)), (1, 0.0), (3, -1.0)]
+
+
+def test_recall_on_crowded_rows(spark):
+    """Tight clusters of more rows than are reranked, a large common part, and entries of very different sizes: codes hardly tell these rows apart."""
+    rng, n = np.random.default_rng(5), 2400
+    kinds = {
+        "clusters": rng.normal(size=(6, 32))[rng.integers(0, 6, n)] + 1e-3 * rng.normal(size=(n, 32)),
+        "common part": 30 + rng.normal(size=(n, 32)),
+        "sizes": rng.normal(size=(n, 32)) * 2.0 ** -np.arange(32) + (np.arange(32) == 0) * 50,
+        "odd length": np.abs(rng.standard_cauchy(size=(n, 7))),
+    }
+    found = {}
+    for kind, x in kinds.items():
+        vectors = frame(spark, list(enumerate(x)))
+        got = {}
+        for r in ann.search(vectors, ann.usable_vectors(vectors).where("vec_id % 50 = 0"), block_rows=900, query_rows=30).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        want = plain(list(enumerate(x)), [(i, x[i]) for i in range(0, n, 50)], 5)
+        found[kind] = sum(len({v for _, v in got[q]} & set(want[q])) for q in want) / (5 * len(want))
+    assert min(found.values()) > 0.99, found
