@@ -27,12 +27,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .chunk_encoder import CACHED_CHUNKS, encoder, in_batches
+from .chunk_encoder import CACHED_CHUNKS, encoder
 from .common import fresh_path, id_and_text, materialize, shuffle_partitions
 
 MAGIC = b"TOKSHRD1"
@@ -45,6 +46,19 @@ KEYS_PER_PART = 50_000
 RANGE_CHARS = 64
 
 
+def pieces(batches, most_bytes: int = 1 << 20):
+    """Keys and texts of Arrow batches, as Python lists of about most_bytes of text, one text at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            own = batch.slice(start, end - start)
+            yield own.column(0).to_pylist(), own.column(1).to_pylist()
+            start = end
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = 4_000_000, partitions: int | None = None, cached: int = CACHED_CHUNKS) -> None:
     """Encodes every whole text, appends end_id and writes the shards below path.
 
@@ -62,19 +76,17 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             data = b"".join([head, np.array(rows, dtype=DIRECTORY).tobytes(), *ids])
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["shard"])
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_batches(texts):
-                for key, own in zip(keys[a:b], enc.encode(texts[a:b])):
-                    n = len(own) // enc.dtype.itemsize + 1
-                    if rows and size + n > shard_ids:
-                        yield shard()
-                        block, rows, ids, size = block + 1, [], [], 0
-                    seen = seen + 1 if (key,) == last else 0
-                    last = (key,)
-                    rows.append((key or 0, key is not None, seen, n))
-                    ids += (own, end)
-                    size += n
+        for keys, texts in pieces(batches):
+            for key, own in zip(keys, enc.encode(texts)):
+                n = len(own) // enc.dtype.itemsize + 1
+                if rows and size + n > shard_ids:
+                    yield shard()
+                    block, rows, ids, size = block + 1, [], [], 0
+                seen = seen + 1 if (key,) == last else 0
+                last = (key,)
+                rows.append((key or 0, key is not None, seen, n))
+                ids += (own, end)
+                size += n
         if rows:
             yield shard()
 
@@ -111,7 +123,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def records(batches):
         for batch in batches:
             for data in batch.column("content"):
-                shard, rows, ids = _parse(data.as_py())
+                shard, rows, ids = _parse(data.as_buffer())
                 ends = np.cumsum(rows["n"].astype(np.int64))
                 starts = ends - rows["n"].astype(np.int64)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]

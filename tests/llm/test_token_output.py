@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -54,3 +55,11 @@ def test_an_index_that_misplaces_keys_is_no_silent_loss(spark, monkeypatch):
     monkeypatch.setattr(token_output, "look_up", lambda index, keys, parts: keys.where("doc_id <> 7").selectExpr("doc_id", "occurrence", "0L as shard", "0L as offset", "1L as n_tokens"))
     with pytest.raises(ValueError, match="of 20 documents"):
         token_output.token_output(docs, PATH, 2)
+
+
+def test_batches_become_python_texts_piece_by_piece():
+    texts = ["", "é" * 3, "a" * 50, None, *("b" * n for n in range(30)), "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = list(token_output.pieces([batch.slice(0, 0), batch, batch.slice(2, 5)], 40))
+    assert [p for keys, own in got for p in zip(keys, own)] == [*enumerate(texts), *list(enumerate(texts))[2:7]]
+    assert all(len(own) == 1 or sum(len((t or "").encode()) for t in own) <= 40 for _, own in got)
