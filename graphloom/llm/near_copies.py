@@ -2,7 +2,7 @@
 
 Words are those of the SimHash module; a document of fewer than five words has its whole line as its one shingle.
 Documents of equal shingle sets become one node with the smallest id. SimHash comes first: fingerprints of the five-word
-shingles within ``RADIUS`` bits, linked by that module's tiles, are candidates, and they settle most groups. At similarity 0.8
+shingles within ``RADIUS`` bits, linked by that module's tiles, are candidates, whether or not a band below has them too, and they settle most groups. At similarity 0.8
 fingerprints differ by some 9 bits, which no tiling of buckets reaches at scale, so further candidates share one of ``BANDS`` MinHash bands
 of ``ROWS`` values (a pair of similarity 0.8 is missed with probability 0.0007, one of 0.9 with less than 1e-7), and
 only pairs whose exact similarity passes are linked; the links are joined by connected components.
@@ -171,10 +171,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = materialize(cells.join(shared, "bucket").distinct(), "members")
     weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     members = materialize(members.select("bucket", "rep").join(weights, "rep"), "weighed-members")
-    asked = members.select(F.col("rep").alias("doc_id")).distinct()
+    tested = materialize(simhash_pairs(docs, same), "simhash-pairs")
+    asked = members.select(F.col("rep").alias("doc_id")).union(tested.select(F.explode(F.array("u", "v")))).distinct()
     some = materialize(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(asked, "doc_id", "left_semi").select("doc_id", "text"), "asked")
     sets = materialize(shingle_sets(some).distinct(), "shingle-sets")
-    tested = materialize(simhash_pairs(docs, same).join(asked.withColumnRenamed("doc_id", "u"), "u", "left_semi").join(asked.withColumnRenamed("doc_id", "v"), "v", "left_semi"), "simhash-pairs")
     links = links.unionByName(materialize(similar(tested, sets), "found"))
     for at in range(LEADER_ROUNDS + 1):
         parts = materialize(connected_components(links), "parts")
