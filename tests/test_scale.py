@@ -61,6 +61,46 @@ def test_best_types_against_all_pairs(spark):
     assert {r.reg_id: (r.id, r.score) for r in got.collect()} == want
 
 
+def join_rows(df):
+    """Rows that each join of the plan made in the df's last run."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = [node.metrics().get("numOutputRows").get().value()] if "Join" in kind else []
+        return own + [n for i in range(node.children().size()) for n in walk(node.children().apply(i))]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_registration_consumers_against_all_pairs(spark):
+    random.seed(9)
+    kinds = ["A.Foo", "B.Foo", "Foo", "A.Bar", "Baz", "", None]
+    registered = [(random.choice([*range(40), None]), random.choice(kinds), random.choice(["p", "q", "", None])) for _ in range(60)] + [(50, "A.Only", "p"), (51, "Only", None), (52, "X.None", None)]
+    kinds += ["Only", "A.Only", "None"]
+    used = [(random.choice([*range(40), None]), random.choice(["p", "q", "", None]), [random.choice(["{}", "{}[]", "IList<{}>", "ILogger<{}>"]).format(random.choice(kinds)) for _ in range(random.randrange(4))]) for _ in range(80)]
+    forms = {(r, p, n) for r, t, p in registered if t is not None for n in (t, t.split(".")[-1])}
+    shared = {n: len({p for _, p, m in forms if m == n and p is not None}) for _, _, n in forms}
+    bare = lambda x: x[:-2] if x.endswith("[]") else x[6:-1] if x.startswith("IList<") and len(x) > 7 else x
+    want = {(r, u) for u, own, types in used for x in types for r, p, n in forms if n == bare(x) and (shared[n] == 1 or (p is not None and p == own))}
+    r = spark.createDataFrame(registered, "reg_id int, type string, project string")
+    u = spark.createDataFrame(used, "use_id int, project string, parameter_types array<string>")
+    got = [tuple(x) for x in facts.registration_consumers(r, u).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 100
+
+
+def test_registration_consumers_make_no_pairs_beyond_the_result(spark):
+    """One name in each of 20 projects: no join makes the pairs of different projects, which are 20 times as many as the results."""
+    r = spark.range(400).select(F.col("id").alias("reg_id"), F.lit("A.Foo").alias("type"), (F.col("id") % 20).cast("string").alias("project"))
+    u = r.select(F.col("reg_id").alias("use_id"), "project", F.array("type", F.lit("Foo[]")).alias("parameter_types"))
+    found = facts.registration_consumers(r, u)
+    assert len(found.collect()) == 400 * 20
+    assert max(join_rows(found)) == 400 * 20
+
+
 def test_lines_of_matches(spark):
     own = spark.createDataFrame([("a", "x\ny x\n\nx x"), ("b", None), ("c", "nothing")], "path string, content string")
     assert [(r.path, r.line, r.end) for r in facts.file_matches(own, "x", 0).orderBy("path", "end").collect()] == [("a", 1, 1), ("a", 2, 5), ("a", 4, 8), ("a", 4, 10)]
