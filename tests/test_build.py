@@ -1,6 +1,7 @@
 """Graph builds over small tables of compiler facts, whole and after a change."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,29 @@ def test_incremental_build_equals_a_whole_one(spark):
     assert build.build_graph(changed, states(spark, Oven="2"), {**old, "project_states": states(spark, Oven="2")})["rebuilt"].count() == 0
 
 
+def shuffles(spark):
+    """Numbers of the shuffles of which files are on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names_ = (files.apply(i).getName() for i in range(files.size()))
+    return {n.split("_")[1] for n in names_ if n.startswith("shuffle_")}
+
+
+def test_steps_of_a_build_leave_little_on_disk(spark):
+    """What a step shuffles goes when it ends, and of the tables that steps write only those stay that the result is read from."""
+    given, now = facts(spark), states(spark)
+    before, stood = shuffles(spark), set(storage._WRITTEN.get(spark.sparkContext.applicationId, []))
+    build.build_graph(given, now)
+    for _ in range(50):  # files are deleted a little later
+        left = shuffles(spark) - before
+        if len(left) <= 2:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 2  # of the table of stale projects
+    kept = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._WRITTEN[spark.sparkContext.applicationId] if p not in stood}
+    assert kept == {"stale", "own-symbols", "held", "placed", "related", "called"}
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
+
+
 def test_snapshot_or_build(spark, tmp_path):
     path = f"file://{tmp_path}/g"
     ws = workspace(spark, states=states(spark))
