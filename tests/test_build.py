@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from graphloom import schema, storage
 from graphloom.operators import build
 from graphloom.plans.workspace import Workspace
+from graphloom.queries import source
 from graphloom.sources import snapshot
+from oracle import SMALLEST
 
 SYMBOLS = "symbol_id string, parent_id string, project_id string, project_name string, kind string, method_kind string, is_implicit boolean, display_name string, documentation_id string, metadata_name string"
 PLACES = "symbol_id string, path string, first_line int, first_char int, last_line int, last_char int"
@@ -115,6 +117,20 @@ def test_steps_of_a_build_leave_little_on_disk(spark):
     assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
 
 
+def test_incremental_query_keeps_of_the_first_build_the_snapshot_only(spark, monkeypatch):
+    """Of the first build only its nodes and edges are left when the second begins."""
+    stood, left = set(storage._WRITTEN.get(spark.sparkContext.applicationId, [])), []
+    plain = build.build_graph
+
+    def seen(given, now, old=None):
+        left.append({p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._WRITTEN.get(spark.sparkContext.applicationId, []) if p not in stood})
+        return plain(given, now, old)
+
+    monkeypatch.setattr(build, "build_graph", seen)
+    source.build_graph_incremental(spark, SMALLEST)
+    assert left == [set(), {"old-nodes", "old-edges"}]
+
+
 def test_snapshot_or_build(spark, tmp_path):
     path = f"file://{tmp_path}/g"
     ws = workspace(spark, states=states(spark))
