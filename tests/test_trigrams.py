@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,27 @@ def test_few_rows_are_read(spark, tmp_path):
     assert "Join" not in plan and "PushedFilters: [Or(EqualTo(id,only),IsNull(id))]" in plan
 
 
+def test_postings_are_of_blocks(spark, tmp_path):
+    """Neighbours share a posting for each of their grams: far fewer postings than grams of rows, and exactly those that the rows hold."""
+    path, own = f"file://{tmp_path}/names", nodes(spark)
+    trigrams.store(own, path, COLUMNS)
+    rows, postings = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/postings")
+    of_row = {(r.id, r.block, g) for r in rows.where("id is not null").collect() for t in (r.documentation_id, r.metadata_name, r.display_name) for n in [names.fold_text(t or "")] for g in (n[i : i + 3] for i in range(len(n) - 2))}
+    got = [(r.block, r.gram) for r in postings.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(b, g) for _, b, g in of_row}
+    assert len(got) * 4 < len(of_row)
+    assert {r.gram: r.n for r in spark.read.parquet(f"{path}/grams").collect()} == {r.gram: r.n for r in postings.groupBy("gram").agg(F.count("*").alias("n")).collect()}
+
+
+def test_grams_of_a_batch():
+    rng = random.Random(3)
+    rows = [(rng.choice([3, 4, 9 << 33]), "".join(rng.choice("ab\nß𝒳İ中") for _ in range(rng.randrange(9)))) for _ in range(300)]
+    for part in (rows, rows[:1], [(1, "")], [(1, "\n\n")], [(1, "abcab")]):
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part])], ["block", "text"])
+        got = [tuple(x.values()) for out in trigrams._block_grams(iter([batch])) for x in out.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == {(b, line[i : i + 3]) for b, t in part for line in t.split("\n") for i in range(len(line) - 2)}
+
+
 def test_empty_table(spark, tmp_path):
     trigrams.store(nodes(spark).limit(0), f"file://{tmp_path}/names", COLUMNS)
     assert trigrams.may_hold(spark, f"file://{tmp_path}/names", "order").isEmpty()
